@@ -143,21 +143,21 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF w <> ''] AS w FROM documents),
 items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark),
+  SELECT item_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF w <> ''] AS w FROM benchmark),
 sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM items WHERE len(w) > 0),
 grams AS (
-  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, at, at + size - 1), ' ') AS gram
-  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM sized)),
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS gram
+  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM sized)),
 sizes AS (SELECT DISTINCT size FROM grams),
 places AS (
-  SELECT doc_id, size, at, array_to_string(list_slice(w, at, at + size - 1), ' ') AS gram
-  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM words, sizes WHERE len(w) >= size)),
-hits AS (SELECT p.doc_id, p.at, p.size, g.item_id FROM places p JOIN grams g ON g.gram = p.gram AND g.size = p.size),
-covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) AS word FROM hits) GROUP BY doc_id),
+  SELECT doc_id, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM words, sizes WHERE len(w) >= size)),
+hits AS (SELECT p.doc_id, p.pos, p.size, g.item_id FROM places p JOIN grams g ON g.gram = p.gram AND g.size = p.size),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM hits) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
