@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
+from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.pieces import op10_piece_sampling
 from tessella.llm.token_records import op2_token_records
 from tessella.llm.toxicity import op9_toxicity_compression
@@ -15,9 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_records,
+        op3_minhash_tensored,
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
