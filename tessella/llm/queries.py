@@ -11,10 +11,12 @@ from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.pieces import op10_piece_sampling
 from tessella.llm.token_records import op2_token_records
 from tessella.llm.toxicity import op9_toxicity_compression
+from tessella.llm.warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_chunks,
         op2_token_records,
         op3_minhash_tensored,
         op8_benchmark_decontamination,
@@ -22,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_piece_sampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
