@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
+from tessella.llm.licenses import op6_license_rules
 from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.pieces import op10_piece_sampling
 from tessella.llm.token_records import op2_token_records
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_warc_chunks,
         op2_token_records,
         op3_minhash_tensored,
+        op6_license_rules,
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
