@@ -12,6 +12,7 @@ from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.pieces import op10_piece_sampling
 from tessella.llm.token_records import op2_token_records
 from tessella.llm.toxicity import op9_toxicity_compression
+from tessella.llm.vectors import OP7_SQL, op7_projection_forest
 from tessella.llm.warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_records,
         op3_minhash_tensored,
         op6_license_rules,
+        op7_projection_forest,
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_projection_forest": OP7_SQL, "op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
