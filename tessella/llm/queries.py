@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tessella.llm.licenses import op6_license_rules
 from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
+from tessella.llm.personal import op4_skip_chain
 from tessella.llm.pieces import op10_piece_sampling
 from tessella.llm.token_records import op2_token_records
 from tessella.llm.toxicity import op9_toxicity_compression
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_warc_chunks,
         op2_token_records,
         op3_minhash_tensored,
+        op4_skip_chain,
         op6_license_rules,
         op7_projection_forest,
         op8_benchmark_decontamination,
