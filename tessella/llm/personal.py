@@ -3,8 +3,9 @@
 Nodes are tokens with a digit or an @, and words that an address of the same document is made of. Neighbours in the text
 share a potential, and so do tokens that are equal or hold the same long number, however far apart; each joins the one
 before it, so links grow with the tokens. Weights are fitted by pseudo-likelihood on a bounded sample, taking the patterns'
-spans as truth; sum-product messages, damped, make the labels of a document agree. A token that is near certain to be of a
-kind and lies outside the patterns' spans becomes a span of its own.
+spans as truth and tokens equal to one of theirs as unknown. Tokens in the patterns' spans are evidence; sum-product
+messages, damped, carry it through a document. A token that is near certain to be of a kind and lies outside the patterns'
+spans becomes a span of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ _DIGIT = re.compile("[0-9]")
 #: Texts of which the field's weights are fitted, those with the smallest hash among texts with a digit or an @.
 SAMPLE = 2000
 #: The least marginal probability with which a token becomes a span.
-CERTAIN = 0.95
+CERTAIN = 0.9
+#: Added to the label that a pattern's span gives a token.
+EVIDENCE = 12.0
 ROUNDS, DAMPING = 12, 0.5
 NEAR = 24  # characters between tokens that are neighbours
 _MARK = re.compile("[0-9@]")
@@ -174,9 +177,13 @@ class Field:
     weights: np.ndarray
     potentials: np.ndarray
 
-    def marginals(self, edges: np.ndarray, features: np.ndarray) -> np.ndarray:
-        """Each node's label probabilities by damped sum-product messages along both directions of every edge."""
+    def marginals(self, edges: np.ndarray, features: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+        """Each node's label probabilities by damped sum-product messages along both directions of every edge.
+
+        evidence has each node's label by the patterns, 0 for none.
+        """
         unary = features @ self.weights
+        unary[np.flatnonzero(evidence), evidence[evidence > 0]] += EVIDENCE
         n, m = len(unary), len(edges)
         if not m:
             return _softmax(unary)
@@ -203,7 +210,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_field(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def fit_field(texts: list[str], steps: int = 1500, rate: float = 0.5, decay: float = 1e-5) -> Field:
     """Weights by pseudo-likelihood: each token given its features and its neighbours' labels, the patterns' as truth.
 
     Potentials are kept symmetric and only reward agreement in so far as the sample shows it. Without tokens all
@@ -220,7 +227,11 @@ def fit_field(texts: list[str], steps: int = 300, rate: float = 0.5, decay: floa
         weights = np.zeros((width, _LABELS))
         weights[0, 0] = 10.0
         return Field(weights, np.zeros((2, _LABELS, _LABELS)))
-    y = np.eye(_LABELS)[tokens.truth(spans)]
+    truth = tokens.truth(spans)
+    y = np.eye(_LABELS)[truth]
+    known = {(t, k) for t, k, label in zip(tokens.text, tokens.key, truth, strict=True) if label}
+    unknown = np.array([(t, k) in known for t, k in zip(tokens.text, tokens.key, strict=True)]) & (truth == 0)
+    y[unknown] = 0
     weights, potentials = np.zeros((x.shape[1], _LABELS)), np.zeros((2, _LABELS, _LABELS))
     speed_w, speed_p = np.zeros_like(weights), np.zeros_like(potentials)
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
@@ -228,7 +239,7 @@ def fit_field(texts: list[str], steps: int = 300, rate: float = 0.5, decay: floa
     around = [_sums(y[source[kind == k]], target[kind == k], len(x)) for k in (0, 1)]
     for _ in range(steps):
         p = _softmax(x @ weights + around[0] @ potentials[0] + around[1] @ potentials[1])
-        error = (p - y) / len(x)
+        error = np.where(unknown[:, None], 0, p - y) / len(x)
         speed_w = 0.9 * speed_w + x.T @ error + decay * weights
         gradient = np.stack([around[k].T @ error for k in (0, 1)])
         speed_p = 0.9 * speed_p + (gradient + gradient.transpose(0, 2, 1)) / 2 + decay * potentials
@@ -257,8 +268,8 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             tokens.add(i, text, [(a, b) for a, kind, b in spans if kind == 0])
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if tokens.text:
-        p = field.marginals(*tokens.graph())
         taken = tokens.truth(base)
+        p = field.marginals(*tokens.graph(), taken)
         label = p.argmax(axis=1)
         for i in np.flatnonzero((label > 0) & (taken == 0) & (p.max(axis=1) >= CERTAIN)):
             added[tokens.text[i]].append((tokens.start[i], int(label[i]) - 1, tokens.stop[i]))
