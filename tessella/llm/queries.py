@@ -11,6 +11,7 @@ from tessella.llm.licenses import op6_license_rules
 from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.personal import op4_skip_chain
 from tessella.llm.pieces import op10_piece_sampling
+from tessella.llm.repeats import op5_induced_suffixes
 from tessella.llm.token_records import op2_token_records
 from tessella.llm.toxicity import op9_toxicity_compression
 from tessella.llm.vectors import OP7_SQL, op7_projection_forest
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_records,
         op3_minhash_tensored,
         op4_skip_chain,
+        op5_induced_suffixes,
         op6_license_rules,
         op7_projection_forest,
         op8_benchmark_decontamination,
