@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.picking import free_name, pick
+
 WINDOW = 10
 HEAD = 3
 #: Item texts of up to so many bytes are broadcast as windows; beyond it the joins shuffle.
@@ -114,15 +116,16 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans_only: bool
     By default a document with a hit goes whole; with spans_only its hit words go, each with the separators after it,
     and the rest of the text stays. A null doc_id cannot be looked up and stays.
     """
-    hits = contaminated_words(docs, benchmark, window).filter(F.size("spans") > 0)
+    hits = contaminated_words(docs, benchmark, window).filter((F.size("spans") > 0) & F.col("doc_id").isNotNull())
     if not spans_only:
-        return docs.join(hits.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        return pick(docs, hits, ["doc_id"], "left_anti").select(*docs.columns)
     word = SEPARATORS.replace("[", "[^").replace("]+", "]")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({word}+{SEPARATORS[:-1]}*)"), 1)
-    spans = hits.select("doc_id", F.col("spans").alias("_spans"))
-    outside = F.filter(pieces, lambda piece, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["stop"])))
+    own = free_name(docs, "spans")
+    spans = hits.select("doc_id", F.col("spans").alias(own))
+    outside = F.filter(pieces, lambda piece, i: ~F.exists(own, lambda s: (i >= s["start"]) & (i < s["stop"])))
     lead = F.regexp_extract("text", f"^({SEPARATORS[:-1]}*)", 1)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(outside, "")))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(outside, "")))
     return docs.join(spans, "doc_id", "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 

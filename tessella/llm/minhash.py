@@ -4,10 +4,11 @@ A table's key pairs two sub-hashes out of COLLECTIONS small collections of ROWS
 a key come from 24 minhashes instead of 264. Two sets of similarity 0.8 share a sub-hash with probability 0.64 and become
 candidates when two of the twelve agree, all but once in 9,000 pairs.
 
-Candidates are verified on full sets. In a bucket every set is first compared with the bucket's smallest id; once the links
-found have made components, the pairs of a bucket that still lie in different components are compared too: all of them in
-buckets of up to DIRECT sets, and in larger ones those that share one of the rarest shingles that sets of that similarity
-cannot all lack. Nothing is capped or sampled.
+Candidates are verified on full sets, in three steps, after each of which the links found make components. Each set is
+compared first with the smallest id that any of its buckets holds; then with the smallest ids of all its buckets that lie in
+another component; last, in the buckets that still hold several components, with every set of another component, unless
+their one-bit sketches rule it out. Sets of similarity 0.8 differ in a tenth of the sketch's bits; pairs that differ in
+more than MAX_BITS of 256, four and a half standard deviations beyond it, are not verified. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices, utf8_of
 from tessella.llm.components import connected_components
+from tessella.llm.picking import pick
 from tessella.llm.shingles import scramble, shingle_hashes, word_hashes
 from tessella.storage import materialize
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # per cent
 COLLECTIONS, ROWS = 12, 2
-DIRECT = 64
+SKETCH, MAX_BITS = 256, 47
 SLICE_BYTES = 2 << 20
 #: Up to so many ids are broadcast to pick the texts whose sets are verified; beyond it a shuffle picks them.
 BROADCAST_IDS = 1_000_000
 
 _SEEDS = scramble(np.arange(1, 2 * COLLECTIONS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BIT_SEEDS = scramble(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BIT_XOR, _BIT_FACTOR = _BIT_SEEDS[:SKETCH, None], _BIT_SEEDS[SKETCH:, None] | np.uint64(1)
 _XOR, _FACTOR = _SEEDS[: COLLECTIONS * ROWS, None], _SEEDS[COLLECTIONS * ROWS :, None] | np.uint64(1)
 
 
@@ -62,23 +66,39 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return keyed.mapInArrow(lambda b: _signed(b, size), "doc_id long, n_shingles long, d1 long, d2 long, subs array<long>")
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH minhashes, in words of 64."""
+    if not len(shingles):
+        return np.zeros(SKETCH // 64, np.uint64)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        np.minimum(low, ((shingles[i : i + 2048] ^ _BIT_XOR) * _BIT_FACTOR).min(axis=1), out=low)
+    return np.packbits((scramble(low) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in byte_slices(batches, "text", SLICE_BYTES):
         sets = shingle_hashes(*word_hashes(*utf8_of(batch)), size)
         offsets = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _as_long(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "shingles"])
+        bits = np.array([_sketch(s) for s in sets], np.uint64).reshape(-1, SKETCH // 64)
+        columns = [batch.column("doc_id"), lists, *(_as_long(bits[:, i].copy()) for i in range(bits.shape[1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", *_BITS])
+
+
+_BITS = [f"bits{i}" for i in range(SKETCH // 64)]
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the documents in `ids` (column id, distinct)."""
+    """(id, shingles, sketch words) of the documents in `ids` (column id, distinct)."""
     count = ids.count()
     wanted = F.broadcast(ids) if count <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
-    sets = picked.mapInArrow(lambda b: _sets(b, size), "doc_id long, shingles array<long>")
-    return sets.select(F.col("doc_id").alias("id"), "shingles").dropDuplicates(["id"])
+    kinds = ", ".join(f"{b} long" for b in _BITS)
+    sets = picked.mapInArrow(lambda b: _sets(b, size), f"doc_id long, shingles array<long>, {kinds}")
+    return sets.withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -111,52 +131,71 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int =
     return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """`docs` with one document of each group of near-duplicates, that of the smallest doc_id.
+
+    Of rows that repeat a doc_id any one stays; null doc_ids, and documents without words, stay.
+    """
+    found = near_duplicates(docs, size, threshold)
+    dropped = found.filter("NOT kept").select("doc_id").distinct()
+    left = pick(docs, dropped, ["doc_id"], "left_anti").select(*docs.columns)
+    twice = materialize(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "minhash-repeated")
+    if twice.isEmpty():
+        return left
+    return pick(left, twice, ["doc_id"], "left_anti").unionByName(pick(left, twice, ["doc_id"]).dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> DataFrame:
     sub = [F.col("subs")[i] for i in range(COLLECTIONS)]
-    keys = F.array(*(F.xxhash64(F.lit(COLLECTIONS * i + j), sub[i], sub[j]) for i, j in combinations(range(COLLECTIONS), 2)))
-    placed = nodes.select("id", F.explode(keys).alias("key"))
+    tables = list(combinations(range(COLLECTIONS), 2))
+    keys = F.array(*(F.xxhash64(F.lit(COLLECTIONS * i + j), sub[i], sub[j]) for i, j in tables))
+    placed = nodes.select("id", F.posexplode(keys).alias("table", "key"))
     buckets = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     crowded = materialize(placed.join(buckets, "key"), "minhash-buckets")
-    first = materialize(crowded.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "minhash-pairs")
-    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(full_sets(docs, materialize(ids, "minhash-ids"), size), "minhash-sets")
+    sets = materialize(full_sets(docs, materialize(crowded.select("id").distinct(), "minhash-ids"), size), "minhash-sets")
+
+    hubs = crowded.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub"))
+    first = materialize(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), "minhash-pairs")
     edges = materialize(verified(first, sets, threshold), "minhash-edges")
-    rest = _remaining(crowded, first, sets, connected_components(edges), threshold)
-    return edges.unionByName(verified(rest, sets, threshold))
+    component = connected_components(edges)
 
+    others = crowded.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    second = materialize(_apart(others, component).join(first, ["a", "b"], "left_anti"), "minhash-pairs")
+    edges = materialize(edges.unionByName(verified(second, sets, threshold)), "minhash-edges")
+    component = connected_components(edges)
 
-def _remaining(crowded: DataFrame, done: DataFrame, sets: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have not been compared."""
-    members = crowded.filter("n > 2").join(components, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
-    split = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    members = materialize(members.join(split, "key"), "minhash-remaining")
-    few = members.filter(F.col("n") <= DIRECT).select("key", "id", "c")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    many = members.filter(F.col("n") > DIRECT).select("id", "c").distinct()
-    if not many.isEmpty():
-        pairs = pairs.unionByName(_sharing_rare_shingles(many, sets, threshold)).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    third = _remaining(crowded, nodes, sets, component).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    return materialize(edges.unionByName(verified(third, sets, threshold)), "minhash-edges")
 
 
-def _sharing_rare_shingles(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a > b) of different components that share one of their rarest shingles.
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components; an id without links is a component of its own."""
+    for side in ("a", "b"):
+        own = component.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.filter("ca <> cb").select("a", "b")
 
-    Sets of n shingles with the similarity asked for share at least ceil(threshold * n / 100), so they cannot all lack
-    the n - that + 1 rarest ones, by one order for all.
+
+def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs that share a bucket of three sets or more, lie in different components and have near sketches.
+
+    A pair is taken in the first bucket that it shares, which is told by its sub-hashes. The pairs of a bucket of two
+    are compared already.
     """
-    own = members.join(sets, "id")
-    each = own.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    ranks = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(ranks, "s").select("id", "c", "n", F.struct("df", "s").alias("s"))
-    lists = shared.groupBy("id", "c", "n").agg(F.sort_array(F.collect_list("s")).alias("shared"))
-    # shingles that no other member has come first in the order and use up the prefix
-    left = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("shared"))
-    prefix = lists.filter(left > 0).select("id", "c", "n", F.explode(F.slice("shared", F.lit(1), left.cast("int"))).alias("s"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-    near &= 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    known = component.select("id", F.col("component"))
+    members = crowded.filter("n > 2").join(known, "id", "left").select("key", "table", "id", F.coalesce("component", "id").alias("c"))
+    split = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    rows = members.join(split, "key").join(nodes.select("id", "subs"), "id").join(sets.select("id", *_BITS), "id")
+    rows = materialize(rows, "minhash-remaining")
+    x, y = rows.alias("x"), rows.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (differ <= MAX_BITS)
+    agree = F.array(*(F.col("x.subs")[i] == F.col("y.subs")[i] for i in range(COLLECTIONS)))
+    one = F.array_position(agree, True)
+    two = one + F.array_position(F.slice(agree, one.cast("int") + 1, COLLECTIONS), True)
+    table = F.element_at(F.array(*(F.lit(COLLECTIONS * i + j) for i, j in combinations(range(COLLECTIONS), 2))), F.col("x.table") + 1)
+    at_first = table == COLLECTIONS * (one - 1) + (two - 1)
+    return x.join(y, near & at_first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def op3_minhash_tensored(spark, sf_dir: str) -> DataFrame:

@@ -310,17 +310,16 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """`docs` with personal data in `text` replaced; null texts stay null, other columns pass as they are."""
-    columns = docs.columns
+    return docs.mapInArrow(lambda batches: _clean(batches, field), docs.schema)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text"):
-            texts = texts_of(batch)
-            done = [redacted(t, spans) for t, (_, spans) in zip(texts, spans_of(texts, field), strict=True)]
-            nulls = batch.column("text").is_null().to_pylist()
-            fresh = pa.array([None if null else t for null, t in zip(nulls, done, strict=True)], batch.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([fresh if c == "text" else batch.column(i) for i, c in enumerate(columns)], schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+def _clean(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    for batch in byte_slices(batches, "text"):
+        texts = texts_of(batch)
+        done = [redacted(t, spans) for t, (_, spans) in zip(texts, spans_of(texts, field), strict=True)]
+        nulls = batch.column("text").is_null().to_pylist()
+        fresh = pa.array([None if null else t for null, t in zip(nulls, done, strict=True)], batch.schema.field("text").type)
+        yield pa.RecordBatch.from_arrays([fresh if f.name == "text" else c for f, c in zip(batch.schema, batch.columns, strict=True)], schema=batch.schema)
 
 
 def _listed(spans: str) -> Column:

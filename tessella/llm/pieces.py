@@ -8,9 +8,9 @@ path from the chunk's end, one uniform number per piece, from a counter-based ge
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -224,64 +224,48 @@ def encode_sampled(docs: DataFrame, model_path: str, seed: int = SEED) -> DataFr
     pieces. Other columns are left out. A narrow pass without shuffle.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lattice(model_path)
-        for batch in byte_slices(batches, "text"):
-            keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            ids, offsets = table.sample(texts_of(batch), _scramble(keys), seed)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "piece_ids"])
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _encoded(batches, model_path, seed, False), "doc_id long, piece_ids array<int>"
+    )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, piece_ids array<int>")
+
+def _encoded(batches: Iterator[pa.RecordBatch], model_path: str, seed: int, checked: bool) -> Iterator[pa.RecordBatch]:
+    table = lattice(model_path)
+    for batch in byte_slices(batches, "text"):
+        docs, texts = batch.column("doc_id").cast(pa.int64()), texts_of(batch)
+        keys = docs.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        ids, offsets = table.sample(texts, _scramble(keys), seed)
+        columns = [docs, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))]
+        if checked:
+            back = [table.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns += [pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([a == b for a, b in zip(texts, back, strict=True)])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece_ids", "text_sha256", "lossless"][: len(columns)])
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows of doc_id and piece_ids; null and empty piece_ids give an empty text."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lattice(model_path)
-        for batch in batches:
-            texts = [table.decode(np.array(ids or [], np.int64)) for ids in batch.column("piece_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return encoded.select("doc_id", "piece_ids").mapInArrow(lambda batches: _decoded(batches, model_path), "doc_id long, text string")
 
-    return encoded.select("doc_id", "piece_ids").mapInArrow(decode, "doc_id long, text string")
 
+def _decoded(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
+    table = lattice(model_path)
+    for batch in batches:
+        texts = [table.decode(np.array(ids or [], np.int64)) for ids in batch.column("piece_ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-def op10_piece_sampling(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), text_sha256 of the
-    decoded text, and lossless: whether decoding gives the text again.
-    """
-    import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+def round_trips(docs: DataFrame, model_path: str, seed: int = SEED) -> DataFrame:
+    """encode_sampled with, in the same pass, text_sha256 of the decoded text and lossless: whether it is the text."""
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _encoded(batches, model_path, seed, True), "doc_id long, piece_ids array<int>, text_sha256 string, lossless boolean"
+    )
 
 
-def round_trips(docs: DataFrame, model_path: str, seed: int = SEED) -> DataFrame:
-    """Encode and decode in one pass: what op10 reports of each row, without moving the ids."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        table = lattice(model_path)
-        for batch in byte_slices(batches, "text"):
-            texts = texts_of(batch)
-            docs_of = batch.column("doc_id").cast(pa.int64())
-            keys = docs_of.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids, offsets = table.sample(texts, _scramble(keys), seed)
-            raw = ids.astype("<u4").tobytes()
-            back = [table.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    docs_of,
-                    pa.array(map(len, texts), pa.int64()),
-                    pa.array(np.diff(offsets), pa.int64()),
-                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]),
-                    pa.array([a == b for a, b in zip(texts, back, strict=True)]),
-                ],
-                names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "text_sha256", "lossless"],
-            )
-
-    schema = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, text_sha256 string, lossless boolean"
-    return docs.select("doc_id", F.col("text")).mapInArrow(check, schema)
+def op10_piece_sampling(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, piece_ids, text_sha256 of the decoded text, and lossless."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = round_trips(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "text_sha256", "lossless")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices, texts_of
+from tessella.llm.picking import free_name
 
 WORD = re.compile(r"[^\W\d_]+")
 #: At most so many labelled rows of either class are sampled to fit a model, those with the smallest hash of doc_id.
@@ -163,26 +164,29 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordi
     return ToxicityModel(base, other, tuple(centre), tuple(scale), tuple(weights), float(len(toxic) / len(rows)))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of `docs`: doc_id, the columns of `keep`, and toxicity, a double from 0 to 1.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = (), into: str = "toxicity") -> DataFrame:
+    """Per row of `docs`: doc_id, the columns of `keep`, and `into`, a double from 0 to 1.
 
     A narrow pass without shuffle. Null and empty texts have one empty window and are scored like any other; other
     columns of `docs` are left out and cannot clash. Repeated rows are scored each.
     """
     columns = list(dict.fromkeys(["doc_id", *keep]))
-    frame = docs.select(*columns, F.col("text").alias("_scored"))
-    schema = frame.select(*columns, F.lit(0.0).alias("toxicity")).schema
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model) if model.weights else None
-        for batch in byte_slices(batches, "_scored"):
-            texts = texts_of(batch, "_scored")
-            values = [scorer.score(scorer.features(t)) if scorer else model.prior for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(values, pa.float64())], names=[*columns, "toxicity"]
-            )
-
-    return frame.mapInArrow(score, schema)
+    frame = docs.select(*dict.fromkeys([*columns, "text"]))
+    schema = frame.select(*columns, F.lit(0.0).alias(into)).schema
+    return frame.mapInArrow(lambda batches: _scored(batches, model, columns, into), schema)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel, columns: list[str], into: str) -> Iterator[pa.RecordBatch]:
+    scorer = _Scorer(model) if model.weights else None
+    for batch in byte_slices(batches, "text"):
+        values = [scorer.score(scorer.features(t)) if scorer else model.prior for t in texts_of(batch)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(values, pa.float64())], names=[*columns, into])
+
+
+def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose score is below the threshold, with their columns."""
+    into = free_name(docs, "toxicity")
+    return score_toxicity(docs, model, tuple(docs.columns), into).filter(F.col(into) < threshold).select(*docs.columns)
 
 
 def op9_toxicity_compression(spark, sf_dir: str) -> DataFrame:
