@@ -1,6 +1,558 @@
-"""Registered queries of the catalog, text, retrieval and evaluation operators."""
+"""Registered queries of the catalog, text, retrieval and evaluation operators, with SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
+from tessella.operators import catalog, chunking, conversation, evaluation, index, lookup, relational, retrieval
+from tessella.sources import pages as page_source
+from tessella.streaming import querylog
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# catalog: filters, lists, counts, ranks, groups
+
+
+@register("""
+SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS ordinal, total, total > 50 AS truncated
+FROM (SELECT *, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 400000 AND o_orderdate IS NOT NULL)
+ORDER BY o_orderkey LIMIT 50""")
+def catalog_filter_list(spark, sf_dir):
+    filters = catalog.Filters(equal={"o_orderstatus": "O"}, least={"o_totalprice": 400000}, known=("o_orderdate",))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate").filter(filters.condition())
+    return catalog.listed(rows.select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@register("SELECT count(*) AS n FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND month(o_orderdate) IN (5, 6)")
+def catalog_count(spark, sf_dir):
+    filters = catalog.Filters(least={"o_totalprice": 100000}, most={"o_totalprice": 200000}, months={"o_orderdate": [5, 6]})
+    return read(spark, sf_dir, "orders").filter(filters.condition()).agg(F.count("*").alias("n"))
+
+
+@register("""
+SELECT p_partkey, p_name, p_retailprice, CAST(row_number() OVER (ORDER BY p_retailprice DESC, lower(p_name), p_partkey) AS INTEGER) AS ordinal
+FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, lower(p_name), p_partkey LIMIT 10""")
+def catalog_rank_top_n(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").filter(catalog.Filters(least={"p_size": 10}).condition())
+    return catalog.ranked(rows.select("p_partkey", "p_name", "p_retailprice"), "p_retailprice", "p_name", "p_partkey")
+
+
+@register("""
+SELECT p_partkey, p_name, p_size, CAST(row_number() OVER (ORDER BY p_size, lower(p_name), p_partkey) AS INTEGER) AS ordinal
+FROM part WHERE p_brand = 'Brand#3' ORDER BY p_size, lower(p_name), p_partkey LIMIT 20""")
+def catalog_rank_asc(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").filter(catalog.Filters(equal={"p_brand": "Brand#3"}).condition())
+    return catalog.ranked(rows.select("p_partkey", "p_name", "p_size"), "p_size", "p_name", "p_partkey", descending=False, limit=20)
+
+
+@register("""
+SELECT 'year' AS kind, CAST(year(o_orderdate) AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY 2
+UNION ALL SELECT 'priority', coalesce(o_orderpriority, 'Uncategorized'), count(*) FROM orders GROUP BY 2""")
+def catalog_summary_groups(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderdate", "o_orderpriority")
+    years = catalog.group_counts(rows, F.year("o_orderdate"), "year", "Unknown")
+    return years.unionByName(catalog.group_counts(rows, F.col("o_orderpriority"), "priority", "Uncategorized"))
+
+
+@register("""
+SELECT string_agg(value || ': ' || n, '; ' ORDER BY n DESC, value) AS answer
+FROM (SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 8)""")
+def catalog_top_groups_text(spark, sf_dir):
+    return catalog.top_groups_text(catalog.group_counts(read(spark, sf_dir, "part"), F.col("p_type"), "type", "Uncategorized"))
+
+
+@register("SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS release_month FROM orders WHERE month(o_orderdate) = 5")
+def release_month_filter(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").filter(catalog.Filters(months={"o_orderdate": [5]}).condition())
+    return rows.select("o_orderkey", F.month("o_orderdate").alias("release_month"))
+
+
+@register("SELECT month(o_orderdate)::INTEGER AS release_month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE month(o_orderdate) IN (3, 7, 11) GROUP BY 1")
+def release_month_set(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").filter(catalog.Filters(months={"o_orderdate": [3, 7, 11]}).condition())
+    return rows.groupBy(F.month("o_orderdate").alias("release_month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register("""
+SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' THEN 'kept' ELSE 'outside_release_window' END AS reason
+FROM orders""")
+def window_between(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", catalog.window_status(day, "1996-01-01", "1997-12-31").alias("reason"))
+
+
+@register("""
+SELECT p_partkey, p_name FROM part
+WHERE list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), 'blue')
+  AND list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), 'ring')""".replace("\\\\", "\\"))
+def person_token_match(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return rows.filter(catalog.name_has_tokens(F.array("p_name"), ["blue", "ring"]))
+
+
+@register("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name || ' ' || p_type), 'widget') AND contains(lower(p_name || ' ' || p_type), 'eco')")
+def topic_terms_contains(spark, sf_dir):
+    filters = catalog.Filters(terms=("widget", "eco"), term_columns=("p_name", "p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").filter(filters.condition())
+
+
+@register("""
+SELECT count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_totalprice < 10000) AS small,
+  count(*) FILTER (WHERE o_orderdate IS NULL) AS undated, count(DISTINCT o_custkey) AS customers FROM orders""")
+def quality_counters(spark, sf_dir):
+    return read(spark, sf_dir, "orders").agg(
+        F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") < 10000).alias("small"),
+        F.count_if(F.col("o_orderdate").isNull()).alias("undated"), F.count_distinct("o_custkey").alias("customers"),
+    )
+
+
+# joins and de-duplication
+
+
+@register("""
+SELECT c_custkey, n_orders, spent FROM customer LEFT JOIN (
+  SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) ON c_custkey = o_custkey""")
+def left_join_ratings(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1996)
+    sums = orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    customers = read(spark, sf_dir, "customer").select("c_custkey")
+    return customers.join(sums, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "n_orders", "spent")
+
+
+@register("""
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS cast_list FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position
+  FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
+WHERE position <= 3 GROUP BY 1""")
+def semi_join_topk_cast(spark, sf_dir):
+    kept = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(kept, "l_orderkey", "left_semi")
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    top = relational.top_per_key(lines, ["l_orderkey"], order, 3)
+    values = relational.ordered_values(top, ["l_orderkey"], F.col("l_partkey").cast("string"), F.col("position"))
+    return values.select("l_orderkey", F.array_join("values", ",").alias("cast_list"))
+
+
+@register("""
+SELECT s_nationkey, arg_min(s_name, {'s': -score, 'o': s_suppkey}) AS title, max(score) AS score
+FROM (SELECT *, CASE WHEN s_acctbal > 8000 THEN 2 WHEN s_acctbal > 4000 THEN 1 ELSE 0 END AS score FROM supplier) GROUP BY 1""")
+def argmax_regional_title(spark, sf_dir):
+    score = F.when(F.col("s_acctbal") > 8000, 2).when(F.col("s_acctbal") > 4000, 1).otherwise(0)
+    best = relational.best_by_score(read(spark, sf_dir, "supplier"), "s_nationkey", score, F.col("s_suppkey"), F.col("s_name"))
+    return best.select("s_nationkey", F.col("value").alias("title"), "score")
+
+
+@register("""
+SELECT l_orderkey, string_agg(coalesce(s_name, CAST(l_suppkey AS VARCHAR)), ', ' ORDER BY l_linenumber, l_suppkey, l_partkey) AS names
+FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey GROUP BY 1""")
+def ordered_name_lookup(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lists = relational.ordered_values(lines, ["l_orderkey"], F.col("l_suppkey"), F.struct("l_linenumber", "l_suppkey", "l_partkey"))
+    names = read(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    found = relational.names_in_order(lists, "l_orderkey", "values", names)
+    return found.select("l_orderkey", F.array_join("values", ", ").alias("names"))
+
+
+@register("""
+SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'no_match' WHEN c_mktsegment = 'MACHINERY' THEN 'join_mismatch' ELSE 'matched' END AS status,
+  coalesce(nullif(c_name, ''), 'order ' || o_orderkey) AS title
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+def merge_status_routing(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
+    joined = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    status = F.when(F.col("c_custkey").isNull(), "no_match").when(F.col("c_mktsegment") == "MACHINERY", "join_mismatch").otherwise("matched")
+    title = relational.known_text(F.col("c_name"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    return joined.select("o_orderkey", status.alias("status"), title.alias("title"))
+
+
+@register("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1997)")
+def stale_anti_join(spark, sf_dir):
+    current = read(spark, sf_dir, "lineitem").filter(F.year("l_shipdate") == 1997).select(F.col("l_partkey").alias("p_partkey"))
+    return index.stale(read(spark, sf_dir, "part").select("p_partkey"), current, "p_partkey")
+
+
+@register("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1997)")
+def existing_semi_join(spark, sf_dir):
+    current = read(spark, sf_dir, "lineitem").filter(F.year("l_shipdate") == 1997).select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name").join(current, "p_partkey", "left_semi")
+
+
+@register("""
+SELECT user_id, event_type, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def dedup_last_wins(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return relational.last_wins(events, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@register("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def dedup_first_wins(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id")
+    return relational.first_wins(docs, ["content_hash"], [F.col("doc_id")])
+
+
+@register("""
+SELECT id, name, balance, run FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run DESC) AS n FROM (
+  SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'customers' AS run FROM customer
+  UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'suppliers' FROM supplier)) WHERE n = 1""")
+def run_merge(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("customers").alias("run"))
+    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.lit("suppliers").alias("run"))
+    return relational.run_merge([customers, suppliers], "id")
+
+
+@register("""
+SELECT p_type, array_to_string(list_slice(list_sort(list_distinct([x FOR x IN list(p_brand) IF x <> 'Brand#1' AND x <> 'Brand#2'])), 1, 20), ',') AS akas
+FROM part GROUP BY 1""")
+def akas_except(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_type", "p_brand", F.lit("Brand#1").alias("title"), F.lit("Brand#2").alias("original"))
+    other = relational.other_titles(rows, "p_type", "p_brand", ["title", "original"], 20)
+    return other.select("p_type", F.array_join("titles", ",").alias("akas"))
+
+
+@register("SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1".replace("o_orderdate,", "CAST(o_orderdate AS DATE) AS day,"))
+def golden_duplicates(spark, sf_dir):
+    return evaluation.duplicate_keys(read(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), ["o_custkey", "day"])
+
+
+@register("""
+SELECT lang, coalesce(n, 0) AS n, least, coalesce(n, 0) >= least AS met FROM (VALUES ('en', 500), ('de', 200), ('fr', 100), ('it', 1)) AS w(lang, least)
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)""".replace("AS w(lang, least)", "AS w(lang, least_n)").replace("least,", "CAST(least_n AS BIGINT) AS least,").replace(">= least AS", ">= least_n AS"))
+def category_minima(spark, sf_dir):
+    return evaluation.minima_report(read(spark, sf_dir, "documents"), "lang", {"en": 500, "de": 200, "fr": 100, "it": 1})
+
+
+# chunks and indexes
+
+
+@register("""
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_number, substring(text, i * 1200 + 1, 1200) AS text
+FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 1200.0) AS BIGINT), 1))) AS i FROM documents)
+WHERE trim(substring(text, i * 1200 + 1, 1200)) <> ''""")
+def naive_windows(spark, sf_dir):
+    return chunking.fixed_windows(read(spark, sf_dir, "documents"))
+
+
+@register()
+def paragraph_chunks(spark, sf_dir):
+    return chunking.paragraph_chunks(read(spark, sf_dir, "documents"))
+
+
+@register("""
+SELECT count(*) AS n, min(length(c)) AS least, median(length(c)) AS middle, max(length(c)) AS most FROM (
+  SELECT substring(text, i * 1200 + 1, 1200) AS c
+  FROM (SELECT text, unnest(range(0, greatest(CAST(ceil(length(text) / 1200.0) AS BIGINT), 1))) AS i FROM documents)) WHERE trim(c) <> ''""")
+def chunk_distribution(spark, sf_dir):
+    return chunking.length_spread(chunking.fixed_windows(read(spark, sf_dir, "documents")))
+
+
+@register("""
+SELECT count(*) AS n_texts, count(*) FILTER (WHERE ceil(length(text) / 4.0) > 512) AS truncated FROM documents""")
+def truncation_counter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").agg(F.count("*").alias("n_texts"), F.count_if(T.chunk_tokens(F.col("text")) > 512).alias("truncated"))
+
+
+_POSTINGS = """
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2),
+l AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS length FROM documents),
+s AS (SELECT count(*) AS n, avg(length) AS avg_len FROM l)"""
+
+
+@register(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, n AS n_texts, round(avg_len, 6) AS avg_len FROM p, s GROUP BY term, n, avg_len")
+def bm25_stats(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = F.broadcast(index.corpus_stats(index.text_lengths(docs, "doc_id")))
+    terms = index.postings(docs, "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return terms.join(stats).select("term", "df", "tf", F.col("n").alias("n_texts"), F.round("avg_len", 6).alias("avg_len"))
+
+
+_BM25 = f"""
+WITH {_POSTINGS},
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+scored AS (
+  SELECT query_id, p.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len)))) AS score
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN l ON l.doc_id = p.doc_id, s GROUP BY 1, 2),
+sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 20)"""
+
+
+def _sparse(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = index.postings(read(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "term")
+    scores = index.bm25_scores(index.postings(docs, "doc_id"), index.text_lengths(docs, "doc_id"), terms, "doc_id", small_queries=False)
+    return retrieval.ranked_lists(scores.withColumn("score", F.round("score", 9)), "doc_id", 20)
+
+
+@register(f"{_BM25} SELECT query_id, doc_id, round(score, 3) AS score, rank FROM sparse")
+def bm25_topk(spark, sf_dir):
+    return _sparse(spark, sf_dir).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
+
+
+_DENSE = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+scored AS (SELECT query_id, vec_id, label, round(greatest(0, least(1, list_cosine_similarity(qe, e))), 9) AS score FROM q, v {where}),
+dense AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored) WHERE rank <= {k})"""
+
+
+def _dense(spark, sf_dir, k: int, condition=None) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_topk(vectors, queries, k, condition=condition)
+
+
+@register(_DENSE.format(where="", k=20) + " SELECT query_id, vec_id, round(score, 6) AS score, rank FROM dense")
+def dense_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, 20).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(_DENSE.format(where="WHERE label IN (1, 3, 5)", k=10) + " SELECT query_id, vec_id, round(score, 6) AS score, rank FROM dense")
+def dense_topk_filtered(spark, sf_dir):
+    found = _dense(spark, sf_dir, 10, F.col("label").isin(1, 3, 5))
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(_DENSE.format(where="", k=20) + """,
+other AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS INTEGER) AS rank FROM dense),
+fused AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, vec_id, rank FROM dense UNION ALL SELECT * FROM other) GROUP BY 1, 2)
+SELECT query_id, vec_id, round(rrf, 8) AS rrf FROM fused""")
+def rrf_hybrid(spark, sf_dir):
+    dense = _dense(spark, sf_dir, 20)
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
+    other = dense.select("query_id", "vec_id", near.alias("rank"))
+    fused = retrieval.reciprocal_rank_fusion([dense, other], "vec_id")
+    return fused.select("query_id", "vec_id", F.round("rrf", 8).alias("rrf"))
+
+
+@register(_DENSE.format(where="", k=20) + """
+SELECT query_id, vec_id, label, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM dense) WHERE n <= 2""")
+def diversity_cap(spark, sf_dir):
+    found = _dense(spark, sf_dir, 20).join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    few = retrieval.diverse(found, "label", "vec_id", [F.col("rank")], 2, ["query_id"])
+    return few.select("query_id", "vec_id", "label", "rank")
+
+
+@register(_DENSE.format(where="", k=20) + """,
+attempts AS (SELECT query_id AS attempt, vec_id, rank, score FROM dense)
+SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused, arg_max(attempt, {'s': score, 'a': -attempt}) AS attempt, round(max(score), 6) AS score FROM attempts GROUP BY 1""")
+def fusion_multi_attempt(spark, sf_dir):
+    found = _dense(spark, sf_dir, 20).withColumn("score", F.round("score", 9))
+    attempts = found.select(F.col("query_id").alias("attempt"), "vec_id", "rank", "score", F.lit(None).cast("double").alias("rerank_score"))
+    return retrieval.fuse_attempts(attempts, "vec_id").select("vec_id", "fused", "attempt", F.round("score", 6).alias("score"))
+
+
+@register()
+def hybrid_search(spark, sf_dir):
+    """Windows of all documents against the benchmark texts, sparse and dense lists fused, reranked and capped."""
+    chunks = chunking.fixed_windows(read(spark, sf_dir, "documents")).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_number"))
+    chunks = chunks.select("chunk_id", "doc_id", "text")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    terms = index.postings(asked, "query_id").select("query_id", "term")
+    sparse = retrieval.ranked_lists(index.bm25_scores(index.postings(chunks, "chunk_id"), index.text_lengths(chunks, "chunk_id"), terms, "chunk_id", small_queries=False), "chunk_id", 20)
+    queries = index.embed(asked, "query_id", "text").withColumnRenamed("vector", "embedding")
+    dense = retrieval.dense_topk(index.embed(chunks, "chunk_id", "text").withColumnRenamed("vector", "embedding"), queries, 20, key="chunk_id")
+    return retrieval.hybrid(dense, sparse, chunks, asked, "chunk_id", "doc_id")
+
+
+@register("""
+SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'wrong_dimension' WHEN n = 0 THEN 'zero_vector' WHEN abs(n - 1) > 1e-3 THEN 'not_normalised' END AS error, round(n, 6) AS length
+FROM (SELECT *, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)""")
+def vector_validation(spark, sf_dir):
+    checked = index.vector_errors(read(spark, sf_dir, "embeddings"), "embedding", 64)
+    return checked.select("vec_id", "error", F.round(T.norm(F.col("embedding")), 6).alias("length"))
+
+
+@register("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'miss' ELSE 'hit' END AS status, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def cache_hit_miss(spark, sf_dir):
+    cache = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return index.cache_status(read(spark, sf_dir, "documents").select("doc_id"), cache, ["doc_id"]).select("doc_id", "status", "quality")
+
+
+# lookup
+
+
+@register("SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size = n.n_nationkey WHERE lower(n.n_name) = 'nation_7'".replace("SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size = n.n_nationkey WHERE lower(n.n_name) = 'nation_7'", """
+WITH names AS (SELECT lower(p_name) AS t, min(p_partkey) AS p_partkey, count(*) AS n FROM part GROUP BY 1)
+SELECT c_custkey AS query_id, p_partkey, n AS parts FROM customer JOIN names ON t = split_part('blue,red,small,large,green', ',', CAST(c_custkey % 5 AS INTEGER) + 1) || ' ' || split_part('ring,bolt,widget,gear,rod,plate,anvil', ',', CAST(c_custkey % 7 AS INTEGER) + 1)"""))
+def title_exact_lookup(spark, sf_dir):
+    """A title asked by each customer, written with dashes and capitals, against the distinct part names."""
+    names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("parts"))
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % n).cast("int") + 1)
+    asked = F.upper(F.concat(pick(["blue", "red", "small", "large", "green"], 5), F.lit("-"), pick(["ring", "bolt", "widget", "gear", "rod", "plate", "anvil"], 7)))
+    queries = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), asked.alias("query"))
+    return lookup.exact_titles(queries, names, "p_name").select("query_id", "p_partkey", "parts")
+
+
+@register("SELECT s_suppkey AS alias, n_nationkey FROM supplier JOIN nation ON lower(n_name) = 'nation_' || s_nationkey")
+def alias_lookup(spark, sf_dir):
+    aliases = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("alias"), F.concat(F.lit(" Nation/"), F.col("s_nationkey").cast("string")).alias("target"))
+    return lookup.alias_targets(aliases, read(spark, sf_dir, "nation"), "n_name").select("alias", "n_nationkey")
+
+
+@register()
+def title_fuzzy_lookup(spark, sf_dir):
+    """Part names with a letter dropped, against the distinct part names."""
+    names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    queries = names.select(F.col("p_partkey").alias("query_id"), F.expr("concat(substring(p_name, 1, 2), substring(p_name, 4))").alias("query"))
+    return lookup.fuzzy_titles(queries, names, "p_partkey", "p_name")
+
+
+@register("""
+WITH n AS (SELECT DISTINCT p_type AS title FROM part UNION SELECT DISTINCT n_name FROM nation),
+q AS (SELECT s_suppkey AS query_id, 'suppliers of NATION_' || s_nationkey || ' selling ' || CASE s_suppkey % 3 WHEN 0 THEN 'promo' WHEN 1 THEN 'medium' ELSE 'any' END || ' parts' AS query FROM supplier)
+SELECT query_id, arg_max(title, {'n': length(title), 't': title}) AS title FROM q LEFT JOIN n ON contains(replace(lower(query), '_', ' '), replace(lower(title), '_', ' ')) GROUP BY 1""")
+def seed_longest_containment(spark, sf_dir):
+    titles = read(spark, sf_dir, "part").select(F.col("p_type").alias("title")).union(read(spark, sf_dir, "nation").select("n_name"))
+    kind = F.element_at(F.array(F.lit("promo"), F.lit("medium"), F.lit("any")), (F.col("s_suppkey") % 3).cast("int") + 1)
+    query = F.concat(F.lit("suppliers of NATION_"), F.col("s_nationkey").cast("string"), F.lit(" selling "), kind, F.lit(" parts"))
+    questions = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), query.alias("query"))
+    return lookup.longest_contained(questions, titles, "title")
+
+
+# conversations and logs
+
+
+@register("""
+SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant')) WHERE back <= 3""")
+def history_window(spark, sf_dir):
+    return conversation.last_turns(read(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "role", "position")
+
+
+@register(r"""
+SELECT conv_id, turn, answer_turn FROM (
+  SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answer_turn FROM conversations)
+WHERE role = 'user' AND regexp_matches(lower(text), '\b(it|its|they|them|their|this|that|these|those)\b')""")
+def conversation_reference(spark, sf_dir):
+    return conversation.with_reference(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "answer_turn")
+
+
+@register("""
+SELECT event_id, decision, CASE decision WHEN 'error' THEN 'system_error' WHEN 'refused' THEN 'refusal_review' ELSE CASE WHEN value < 10 THEN 'low_confidence' ELSE 'no_action' END END AS triage_bucket
+FROM (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'refused' ELSE 'answered' END AS decision FROM events)""")
+def query_log_triage(spark, sf_dir):
+    status = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    kind = F.when(F.col("event_type") == "view", "refusal").otherwise("answer")
+    log = read(spark, sf_dir, "events").withColumn("decision", conversation.log_decision(status, kind))
+    return log.select("event_id", "decision", conversation.triage(F.col("decision"), F.col("value")).alias("triage_bucket"))
+
+
+@register("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def query_log_recent(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", "ts")
+    return conversation.recent(log, [F.desc("ts"), F.desc("event_id")], 100, F.col("event_type") == "error").select("event_id", "user_id", "value")
+
+
+@register("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def query_log_stream(spark, sf_dir):
+    """Daily counts by a stream over the log, run until it has read what is there."""
+    return querylog.daily_counts(spark, sf_dir)
+
+
+@register("""
+SELECT event_id, array_to_string([CAST(x AS VARCHAR) FOR x IN list_distinct(regexp_extract_all('see [' || user_id || '] and [' || CAST(event_id % 7 AS VARCHAR) || ']', '\\[(\\d+)\\]', 1))], ',') AS numbers
+FROM events""".replace("\\\\", "\\").replace("list_distinct(regexp", "list_sort(list_distinct(regexp").replace("1))], ','", "1)))], ','"))
+def citation_numbers(spark, sf_dir):
+    text = F.concat(F.lit("see ["), F.col("user_id").cast("string"), F.lit("] and ["), (F.col("event_id") % 7).cast("string"), F.lit("]"))
+    numbers = F.array_sort(F.transform(T.citation_numbers(text), lambda x: x.cast("string")))
+    return read(spark, sf_dir, "events").select("event_id", F.array_join(numbers, ",").alias("numbers"))
+
+
+@register("SELECT p_partkey, 'Brand Name: ' || p_brand || ' | Part Type: ' || p_type || ' | Size: ' || p_size AS facts FROM part")
+def quick_facts_text(spark, sf_dir):
+    facts = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("part_type"), F.col("p_type"), F.lit("brand_name"), F.col("p_brand"), F.lit("empty"), F.lit(""))
+    return read(spark, sf_dir, "part").select("p_partkey", T.facts_text(facts).alias("facts"))
+
+
+# evaluation
+
+_RUNS = _DENSE.format(where="", k=20) + """,
+gold AS (SELECT query_id, list(v2.vec_id ORDER BY v2.vec_id) AS gold FROM q JOIN v v1 ON v1.vec_id = query_id JOIN v v2 ON v2.label = v1.label AND v2.vec_id <> query_id AND abs(v2.vec_id - query_id) <= 50 GROUP BY 1),
+hits AS (SELECT d.query_id, rank, list_contains(gold, vec_id) AS hit, len(gold) AS n FROM dense d JOIN gold USING (query_id)),
+items AS (
+  SELECT query_id, CASE WHEN query_id % 200 = 0 THEN 'dev' ELSE 'test' END AS split,
+    count(*) FILTER (WHERE hit AND rank <= 5) / n AS recall_5, count(*) FILTER (WHERE hit AND rank <= 20) / n AS recall_20,
+    coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0) AS rr,
+    coalesce(sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) END), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 10) + 1)]) AS ndcg_10
+  FROM hits GROUP BY query_id, n)"""
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    """Each query's neighbours against the vectors of its label that have a near number."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    near = F.broadcast(queries.withColumnRenamed("label", "_l"))
+    gold = vectors.join(near, (F.col("label") == F.col("_l")) & (F.col("vec_id").between(F.col("query_id") - 50, F.col("query_id") + 50)))
+    gold = gold.filter("vec_id <> query_id")
+    gold = gold.groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
+    found = relational.ordered_values(_dense(spark, sf_dir, 20), ["query_id"], F.col("vec_id"), F.col("rank"))
+    runs = found.withColumnRenamed("values", "found").join(gold, "query_id")
+    return evaluation.item_metrics(runs).withColumn("split", F.when(F.col("query_id") % 200 == 0, "dev").otherwise("test"))
+
+
+_METRICS = ["recall_5", "recall_20", "rr", "ndcg_10"]
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in _METRICS)
+
+
+@register(f"{_RUNS} SELECT query_id, split, {_ROUNDED} FROM items")
+def item_metrics(spark, sf_dir):
+    return _items(spark, sf_dir).select("query_id", "split", *(F.round(m, 6).alias(m) for m in _METRICS))
+
+
+@register(f"{_RUNS} SELECT 'dense' AS baseline, coalesce(split, 'all') AS split, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)} FROM items GROUP BY GROUPING SETS ((), (split))")
+def metrics_by_split(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("baseline", F.lit("dense"))
+    grouped = evaluation.grouped_metrics(items, "baseline", "split", _METRICS)
+    return grouped.select("baseline", "split", "n", *(F.round(m, 6).alias(m) for m in _METRICS))
+
+
+@register(f"""{_RUNS} SELECT failure, count(*) AS n FROM (
+  SELECT CASE WHEN recall_20 = 0 THEN 'retrieval_miss' WHEN rr < 1 THEN 'rank_failure' END AS failure FROM items) WHERE failure IS NOT NULL GROUP BY 1""")
+def failure_labels(spark, sf_dir):
+    label = evaluation.failure_label(F.lit(True), F.lit(False), F.col("recall_20"), 1 / F.nullif(F.col("rr"), F.lit(0.0)))
+    return _items(spark, sf_dir).select(label.alias("failure")).filter("failure IS NOT NULL").groupBy("failure").agg(F.count("*").alias("n"))
+
+
+@register("""
+SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(value AS DOUBLE), 0.95), 6) AS p95 FROM events GROUP BY 1""")
+def percentile_latency(spark, sf_dir):
+    found = evaluation.percentiles(read(spark, sf_dir, "events"), "value", [0.5, 0.95], ["event_type"])
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@register()
+def bootstrap_ci(spark, sf_dir):
+    return evaluation.bootstrap_means(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type", samples=1000)
+
+
+# pages
+
+
+@register("""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, nullif(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), '') AS lang,
+  length(trim(html)) >= 500 AND NOT regexp_matches(lower(html), 'captcha|access denied') AS valid FROM pages""")
+def page_metadata(spark, sf_dir):
+    return page_source.page_metadata(read(spark, sf_dir, "pages"))
