@@ -58,7 +58,7 @@ def lenient_double(text: Column) -> Column:
 
 def items_of(text: Column) -> Column:
     """A comma-separated string as its trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def iso_date(text: Column) -> Column:
@@ -121,7 +121,7 @@ def citation_numbers(text: Column) -> Column:
 
 def packed_items(text: Column) -> Column:
     """Items of a list packed with " || "."""
-    return F.filter(F.transform(F.split(text, r" \|\| "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r" \|\| "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def chunk_tokens(text: Column) -> Column:

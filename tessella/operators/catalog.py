@@ -32,7 +32,7 @@ class Filters:
         parts += [F.col(c) <= v for c, v in self.most.items()]
         parts += [F.month(c).isin(ms) for c, ms in self.months.items()]
         parts += [F.col(c).isNotNull() for c in self.known]
-        parts += [F.exists(c, lambda g, v=v: normalize(g) == normalize(F.lit(v))) for c, v in self.member.items()]
+        parts += [F.array_contains(F.transform(c, lambda g: normalize(g)), normalize(F.lit(v))) for c, v in self.member.items()]
         haystack = normalize(F.concat_ws(" ", *self.term_columns)) if self.terms else None
         parts += [haystack.contains(t) for t in self.terms]
         return all_of(parts)
