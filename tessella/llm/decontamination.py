@@ -15,6 +15,8 @@ HEAD = 3
 #: Item texts of up to so many bytes are broadcast as windows; beyond it the joins shuffle.
 BROADCAST_BYTES = 16 << 20
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same for a text as it is, with its capitals.
+RAW_SEPARATOR, RAW_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -119,12 +121,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans_only: bool
     hits = contaminated_words(docs, benchmark, window).filter((F.size("spans") > 0) & F.col("doc_id").isNotNull())
     if not spans_only:
         return pick(docs, hits, ["doc_id"], "left_anti").select(*docs.columns)
-    word = SEPARATORS.replace("[", "[^").replace("]+", "]")
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({word}+{SEPARATORS[:-1]}*)"), 1)
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({RAW_WORD}+{RAW_SEPARATOR}*)"), 1)
     own = free_name(docs, "spans")
     spans = hits.select("doc_id", F.col("spans").alias(own))
     outside = F.filter(pieces, lambda piece, i: ~F.exists(own, lambda s: (i >= s["start"]) & (i < s["stop"])))
-    lead = F.regexp_extract("text", f"^({SEPARATORS[:-1]}*)", 1)
+    lead = F.regexp_extract("text", f"^({RAW_SEPARATOR}*)", 1)
     text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(outside, "")))
     return docs.join(spans, "doc_id", "left").select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 

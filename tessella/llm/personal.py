@@ -41,6 +41,7 @@ NEAR = 24  # characters between tokens that are neighbours
 _MARK = re.compile("[0-9@]")
 _BREAK = re.compile(r"[\s,;:()<>\[\]{}\"'|]")
 _LABELS = len(KINDS) + 1
+WIDTH = 14  # features of a token
 
 
 def _luhn(digits: str) -> bool:
@@ -145,7 +146,7 @@ class Tokens:
             if (text, key) in last:
                 edges.append((last[text, key], i, 1))
             last[text, key] = i
-        return np.array(edges, np.int64).reshape(-1, 3), np.array(self.features, float).reshape(len(self.text), -1)
+        return np.array(edges, np.int64).reshape(-1, 3), np.array(self.features, float).reshape(len(self.text), WIDTH)
 
     def truth(self, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
         """Each token's label by the patterns: 0 for none, else 1 + kind of the first span that overlaps it."""
@@ -223,8 +224,7 @@ def fit_field(texts: list[str], steps: int = 1500, rate: float = 0.5, decay: flo
         tokens.add(i, text, [(a, b) for a, kind, b in found if kind == 0])
     edges, x = tokens.graph()
     if not len(x):
-        width = len(_probe())
-        weights = np.zeros((width, _LABELS))
+        weights = np.zeros((WIDTH, _LABELS))
         weights[0, 0] = 10.0
         return Field(weights, np.zeros((2, _LABELS, _LABELS)))
     truth = tokens.truth(spans)
@@ -247,12 +247,6 @@ def fit_field(texts: list[str], steps: int = 1500, rate: float = 0.5, decay: flo
     return Field(weights, potentials)
 
 
-def _probe() -> list[float]:
-    tokens = Tokens()
-    tokens.add(0, "0", [])
-    return tokens.features[0]
-
-
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on at most `sample` texts with a digit or an @, drawn by the hash of the text."""
     texts = docs.select("text").filter(F.col("text").rlike("[0-9@]")).withColumn("draw", F.xxhash64("text"))
