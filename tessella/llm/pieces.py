@@ -13,7 +13,6 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,8 +150,10 @@ class PieceLattice:
         flat = [c for chunks in found for c in chunks]
         if not flat:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        which, chunks = pd.factorize(np.array(flat, dtype=object))
-        last_node, first_node, bound, e_from, e_id = self.filter_forward(list(chunks))
+        chunks = list(dict.fromkeys(flat))
+        number = dict(zip(chunks, range(len(chunks)), strict=True))
+        which = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        last_node, first_node, bound, e_from, e_id = self.filter_forward(chunks)
         near = np.argsort(last_node[which], kind="stable")  # occurrences of a chunk side by side, for the cache's sake
         text_of = np.repeat(np.arange(len(texts)), counts)
         within = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
