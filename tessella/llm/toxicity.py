@@ -21,8 +21,13 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
 WINDOW_WORDS = 8
 BASE_WORDS = 1500
-#: The least likelihood ratio (G squared) with which a fragment enters the toxic dictionary.
-LEAST_RATIO = 30.0
+#: The least likelihood ratio (G squared) with which a fragment enters the toxic dictionary, and what it must be at least
+#: for each toxic text: a word of a few texts that copy each other stays below it.
+LEAST_RATIO, RATIO_PER_TEXT = 25.0, 0.12
+#: Words that a fragment brings along.
+WORDS_OF_FRAGMENT = 30
+#: So many times as often, at least, toxic texts have such a fragment.
+LEAST_LIFT = 5.0
 _GAINS = (1, 2, 3, 4)
 
 
@@ -94,7 +99,8 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarra
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The ordinary dictionary holds the words that most ordinary texts have, commonest last, where offsets are short.
 
-    The toxic one adds the word beginnings that toxic texts have far oftener, by their likelihood ratio.
+    The toxic one adds the word beginnings that toxic texts have far oftener, by their likelihood ratio, each with the
+    commonest words that begin so.
     """
     in_toxic: Counter[str] = Counter()
     in_ordinary: Counter[str] = Counter()
@@ -107,27 +113,38 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     seen = sorted(w for w, k in in_toxic.items() if k >= 4)
     a, b = (np.array([c[w] for w in seen], dtype=float) for c in (in_toxic, in_ordinary))
     n, m = len(toxic), len(ordinary)
-    ratio = np.where(a / n > b / m, _likelihood_ratio(a, b, n, m), 0.0) if seen else np.zeros(0)
+    lift = (a / n) / ((b + 0.5) / m) if seen else np.zeros(0)
+    ratio = np.where(lift >= LEAST_LIFT, _likelihood_ratio(a, b, n, m), 0.0) if seen else np.zeros(0)
     longer = ratio * (1 + 0.03 * np.array([len(w) for w in seen])) if seen else ratio
     fragments: list[str] = []
+    beginnings: set[str] = set()
     for i in np.argsort(-longer, kind="stable"):
-        if ratio[i] < LEAST_RATIO:
+        if ratio[i] < max(LEAST_RATIO, RATIO_PER_TEXT * n):
             break
         if not any(seen[i].startswith(f) or f.startswith(seen[i]) for f in fragments):
             fragments.append(seen[i])
+            beginnings.add(seen[i])
+    whole: Counter[str] = Counter()
+    for text in toxic:
+        whole.update(w for w in set(WORD.findall(text.lower())) if any(w[:k] in beginnings for k in range(4, 11)))
+    ranked = sorted(whole, key=lambda w: (-whole[w], w))
+    tail = list(dict.fromkeys(w for f in fragments for w in (f, *[w for w in ranked if w.startswith(f)][:WORDS_OF_FRAGMENT])))
     frequent = sorted(common, key=lambda w: (-common[w], w))[:BASE_WORDS]
     base = " ".join(reversed(frequent)).encode() + b" "
-    return base, base + " ".join(reversed(fragments)).encode() + b" "
+    return base, base + " ".join(reversed(tail)).encode() + b" "
 
 
-def _calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _calibrate(features: np.ndarray, labels: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge logistic regression, rows weighted so that the toxic ones make up their share of all labelled rows."""
     centre, scale = features.mean(0), features.std(0) + 1e-9
+    own = labels.mean()
+    weight = np.where(labels > 0, share / own, (1 - share) / (1 - own)) if 0 < own < 1 else np.ones(len(labels))
     x = np.c_[(features - centre) / scale, np.ones(len(features))]
     w, ridge = np.zeros(x.shape[1]), 0.1
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (p - labels) + ridge * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - labels)) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -151,17 +168,24 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordi
         truth.filter("toxic = 0").orderBy("draw", "doc_id").limit(ordinary_rows)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = drawn.join(texts, "doc_id").select("doc_id", "toxic", "text").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     toxic, ordinary = rows[rows.toxic == 1], rows[rows.toxic == 0]
     if not len(toxic) or not len(ordinary):
         return ToxicityModel(b"", b"", (), (), (), float(len(toxic) > 0))
-    thirds = np.arange(len(rows)) % 3
-    make, check = (rows[thirds > 0], rows[thirds == 0]) if len(rows) >= 12 else (rows, rows)
-    base, other = _dictionaries(make.text[make.toxic == 1].tolist(), make.text[make.toxic == 0].tolist())
+    return model_of(toxic.text.tolist(), ordinary.text.tolist(), counts[1] / (counts[0] + counts[1]))
+
+
+def model_of(toxic: list[str], ordinary: list[str], share: float) -> ToxicityModel:
+    """The model of texts of both classes; `share` is that of the toxic among all labelled rows."""
+    texts, labels = [*toxic, *ordinary], np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+    third = np.r_[np.arange(len(toxic)), np.arange(len(ordinary))] % 3
+    make, check = (third > 0, third == 0) if min(len(toxic), len(ordinary)) >= 6 else (third >= 0, third >= 0)
+    base, other = _dictionaries(*([t for t, y, use in zip(texts, labels, make, strict=True) if use and y == label] for label in (1, 0)))
     scorer = _Scorer(ToxicityModel(base, other, (), (), (), 0.0))
-    features = np.array([scorer.features(t) for t in check.text])
-    centre, scale, weights = _calibrate(features, check.toxic.to_numpy(dtype=float))
-    return ToxicityModel(base, other, tuple(centre), tuple(scale), tuple(weights), float(len(toxic) / len(rows)))
+    features = np.array([scorer.features(t) for t, use in zip(texts, check, strict=True) if use])
+    centre, scale, weights = _calibrate(features, labels[check], share)
+    return ToxicityModel(base, other, tuple(centre), tuple(scale), tuple(weights), share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = (), into: str = "toxicity") -> DataFrame:
