@@ -55,3 +55,16 @@ def write_flat_csv(rows: DataFrame, columns: list[str], path: str) -> None:
     kinds = dict(rows.dtypes)
     nested = [F.to_json(c).alias(c) if kinds[c].startswith(("array", "struct", "map")) else F.col(c) for c in columns]
     rows.select(*nested).write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Append query-log rows as JSON lines; id, created_at and review_status get defaults where a record has none."""
+    defaults = {"id": F.expr("uuid()"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "review_status": F.lit("unreviewed")}
+    for name, value in defaults.items():
+        records = records.withColumn(name, F.coalesce(name, value) if name in records.columns else value)
+    records.write.mode("append").json(path)
+
+
+def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
+    """Postings as a table bucketed and sorted by term, so that probing a few terms reads few files and joins without a shuffle."""
+    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)

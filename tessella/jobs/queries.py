@@ -556,3 +556,85 @@ SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, null
   length(trim(html)) >= 500 AND NOT regexp_matches(lower(html), 'captcha|access denied') AS valid FROM pages""")
 def page_metadata(spark, sf_dir):
     return page_source.page_metadata(read(spark, sf_dir, "pages"))
+
+
+@register("""
+WITH q AS (SELECT doc_id AS id, [doc_id, doc_id + 1, -1] AS ids, [substring(text, 11, 40), substring(text, 1, 30), 'x'] AS quotes FROM documents),
+e AS (SELECT id, i - 1 AS position, ids[i] AS document, quotes[i] AS quote FROM (SELECT *, unnest(range(1, 4)) AS i FROM q))
+SELECT id, CAST(position AS INTEGER) AS position, CASE WHEN d.text IS NULL THEN 'missing_document'
+  WHEN contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'supported' ELSE 'quote_not_found' END AS status
+FROM e LEFT JOIN documents d ON d.doc_id = document""".replace("\\\\", "\\"))
+def quote_containment(spark, sf_dir):
+    """Quotes from each document against it, its neighbour and none."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    quotes = F.array(F.substring("text", 11, 40), F.substring("text", 1, 30), F.lit("x"))
+    asked = docs.select("id", F.array(F.col("id"), F.col("id") + 1, F.lit(-1).cast("long")).alias("document_ids"), quotes.alias("quotes"))
+    return evaluation.quote_support(asked, docs)
+
+
+@register("""
+SELECT user_id, round(max(CASE WHEN event_type = 'click' THEN value END) - max(CASE WHEN event_type = 'view' THEN value END), 6) AS delta
+FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(DISTINCT event_type) = 2""")
+def paired_baseline_delta(spark, sf_dir):
+    deltas = evaluation.paired_deltas(read(spark, sf_dir, "events"), "user_id", "event_type", "value", "view", "click")
+    return deltas.select("user_id", F.round("delta", 6).alias("delta"))
+
+
+@register(_DENSE.format(where="WHERE label = 1", k=10) + """,
+every AS (SELECT * FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0, least(1, list_cosine_similarity(qe, e))), 9) DESC, vec_id) AS INTEGER) AS rank FROM q, v) WHERE rank <= 10),
+f AS (SELECT query_id, vec_id, rank FROM dense WHERE query_id % 200 = 0)
+SELECT query_id, vec_id, rank, false AS relaxed FROM f
+UNION ALL SELECT query_id, vec_id, rank, true FROM every WHERE query_id NOT IN (SELECT query_id FROM f)""")
+def filter_relaxation(spark, sf_dir):
+    """Searches of which half have a filter that leaves nothing, relaxed for those."""
+    filtered = _dense(spark, sf_dir, 10, F.col("label") == 1).filter("query_id % 200 = 0").select("query_id", "vec_id", "rank")
+    return retrieval.relaxed(filtered, _dense(spark, sf_dir, 10).select("query_id", "vec_id", "rank"))
+
+
+@register("""
+SELECT user_id AS attempt, max(value) FILTER (WHERE event_type = 'purchase') AS rerank_score, count(*) AS n FROM events GROUP BY 1""")
+def attempt_strength(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("rerank_score"), F.col("value").alias("score"))
+    return retrieval.strength(rows, "attempt").select("attempt", "rerank_score", "n")
+
+
+@register("""
+SELECT event_id FROM events WHERE (event_type = 'purchase' AND value >= 10) OR CAST(ts AS TIMESTAMP) > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 48 HOURS""")
+def cache_freshness(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "matched").otherwise("no_match")
+    dated = F.when(F.col("value") >= 10, F.lit("2024-01-01"))
+    cache = read(spark, sf_dir, "events").select("event_id", status.alias("status"), dated.alias("release_date"), F.col("ts").alias("fetched_at"))
+    return relational.fresh(cache, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 48).select("event_id")
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+def resume_unfinished(spark, sf_dir):
+    state = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linestatus") == "F", "completed").otherwise("failed").alias("status"))
+    return relational.unfinished(read(spark, sf_dir, "orders").select("o_orderkey"), state, "o_orderkey")
+
+
+@register("""
+SELECT doc_id, array_to_string([e FOR e IN [CASE WHEN n_words > 25 THEN 'quote_too_long' END, CASE WHEN contains(lower(text), 'license') THEN 'domain_term' END] IF e IS NOT NULL], ',') AS errors
+FROM (SELECT doc_id, text, len(regexp_extract_all(regexp_replace(substring(text, 1, 160), '[^ -~]', ' ', 'g'), '\\b[\\w''-]+\\b')) AS n_words FROM documents WHERE lang = 'en')""")
+def question_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
+    asked = docs.select("doc_id", F.col("text").alias("question"), F.lit(True).alias("answerable"), F.array(F.col("doc_id")).alias("document_ids"), F.array(F.regexp_replace(F.substring("text", 1, 160), "[^ -~]", " ")).alias("quotes"))
+    found = evaluation.question_errors(asked, 25, "license")
+    return found.select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
+@register("""
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN toxic IS NULL THEN 'unsupported' WHEN quality = 1 AND toxic = 0 THEN 'match' ELSE 'mismatch' END AS status
+  FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1""")
+def seed_audit_histogram(spark, sf_dir):
+    joined = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(F.col("toxic").isNull(), "unsupported").when((F.col("quality") == 1) & (F.col("toxic") == 0), "match").otherwise("mismatch")
+    return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("""
+SELECT event_id, round(1 / (1 + exp(-(value - 25) / 10)), 6) AS confidence, value >= 20.5 AS confident FROM events""")
+def confidence_gate(spark, sf_dir):
+    score = T.sigmoid((F.col("value") - 25) / 10)
+    return read(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("confidence"), (F.col("value") >= 20.5).alias("confident"))

@@ -98,3 +98,38 @@ def failure_label(answerable: Column, refused: Column, recall: Column, first_hit
         .when(answerable & (recall == 0), "retrieval_miss")
         .when(answerable & (first_hit > 1), "rank_failure")
     )
+
+
+def quote_support(questions: DataFrame, documents: DataFrame, ids: str = "document_ids", quotes: str = "quotes") -> DataFrame:
+    """(id, position, status) of each packed document id with its quote: missing_document, quote_not_found or supported.
+
+    White space is squeezed on both sides before the quote is looked for; documents shuffle by id, not by quote.
+    """
+    pairs = questions.select("id", F.posexplode(F.arrays_zip(F.col(ids).alias("document"), F.col(quotes).alias("quote"))).alias("position", "p"))
+    each = pairs.select("id", "position", F.col("p.document").alias("document"), F.col("p.quote").alias("quote"))
+    found = each.join(documents.select(F.col("id").alias("document"), F.col("text").alias("body")), "document", "left")
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    status = F.when(F.col("body").isNull(), "missing_document").when(F.contains(squeezed(F.col("body")), squeezed(F.coalesce("quote", F.lit("")))), "supported")
+    return found.select("id", "position", status.alias("status")).withColumn("status", F.coalesce("status", F.lit("quote_not_found")))
+
+
+def paired_deltas(items: DataFrame, key: str, baseline: str, metric: str, first: str, second: str) -> DataFrame:
+    """(key, delta) of items that both baselines have: second minus first; one grouping instead of a self-join."""
+    one = lambda name: F.max(F.when(F.col(baseline) == name, F.col(metric)))
+    both = items.filter(F.col(baseline).isin(first, second)).groupBy(key).agg(one(first).alias("a"), one(second).alias("b"))
+    return both.filter("a IS NOT NULL AND b IS NOT NULL").select(key, (F.col("b") - F.col("a")).alias("delta"))
+
+
+def question_errors(questions: DataFrame, most_words: int = 25, banned: str | None = None) -> DataFrame:
+    """Questions (id, question, answerable, document_ids, quotes) with an array of what is wrong with each."""
+    words = lambda q: F.regexp_count(q, F.lit(r"\b[\w'-]+\b"))
+    rules = [
+        (F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question"),
+        (F.col("answerable") & (F.size("document_ids") == 0), "answerable_without_document"),
+        (~F.col("answerable") & (F.size("document_ids") > 0), "unanswerable_with_document"),
+        (F.size("document_ids") != F.size("quotes"), "lists_differ_in_length"),
+        (F.exists("quotes", lambda q: words(q) > most_words), "quote_too_long"),
+    ]
+    if banned:
+        rules.append((F.col("question").rlike(f"(?i){banned}"), "domain_term"))
+    return questions.withColumn("errors", F.array_compact(F.array(*(F.when(rule, name) for rule, name in rules))))

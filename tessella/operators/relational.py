@@ -68,3 +68,22 @@ def other_titles(titles: DataFrame, key: str, title: str, own: list[str], most:
     """Each key's distinct titles other than its own, sorted, the first `most`."""
     sets = titles.groupBy(key).agg(F.collect_set(title).alias("all"), F.array(*(F.first(c) for c in own)).alias("own"))
     return sets.select(key, F.slice(F.array_sort(F.array_except("all", "own")), 1, most).alias("titles"))
+
+
+def fresh(cache: DataFrame, now: Column, hours: int) -> DataFrame:
+    """Cached rows that can be used: matched ones with a date for ever, others while younger than so many hours."""
+    lasting = (F.col("status") == "matched") & (F.coalesce("release_date", F.lit("")) != "")
+    return cache.filter(lasting | (F.col("fetched_at") > now - F.expr(f"INTERVAL {hours} HOURS")))
+
+
+def unfinished(seeds: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Seeds that no run has completed."""
+    return seeds.join(state.filter("status = 'completed'").select(key), key, "left_anti")
+
+
+def text_catalog(catalog: DataFrame, texts: DataFrame, least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Catalog rows (slug) with their text (slug, text), and (slug, reason) of those with none or too short a one."""
+    joined = catalog.join(texts, "slug", "left")
+    reason = F.when(F.col("text").isNull(), "missing_text").when(F.char_length(F.trim("text")) < least, "text_too_short")
+    marked = joined.withColumn("reason", reason)
+    return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL").select("slug", "reason")

@@ -140,3 +140,16 @@ def hybrid(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, queries: Data
     few = diverse(without_near_duplicates(ordered, key), document, key, [F.col("rank")], per_document, ["query_id"])
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return few.withColumn("rank", number).filter(F.col("rank") <= final).select("query_id", key, document, "rrf", "score", "rank")
+
+
+def strength(rows: DataFrame, attempt: str) -> DataFrame:
+    """Attempts by how strong their best row is: rerank score, then score, missing ones last; one row each."""
+    lowest = F.lit(float("-inf"))
+    best = F.max(F.struct(F.coalesce("rerank_score", lowest).alias("rerank_score"), F.coalesce("score", lowest).alias("score")))
+    return rows.groupBy(attempt).agg(best.alias("best"), F.count("*").alias("n")).select(attempt, "best.*", "n")
+
+
+def relaxed(filtered: DataFrame, unfiltered: DataFrame, group: str = "query_id") -> DataFrame:
+    """Each query's filtered rows, or its unfiltered ones, marked, where the filters leave none."""
+    rest = unfiltered.join(filtered.select(group).distinct(), group, "left_anti")
+    return filtered.withColumn("relaxed", F.lit(False)).unionByName(rest.withColumn("relaxed", F.lit(True)))

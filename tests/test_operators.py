@@ -243,3 +243,42 @@ def test_stream_in_append_mode_holds_back_the_last_day(spark, sf_dir, tmp_path):
     run = querylog.daily(log).writeStream.outputMode("append").format("memory").queryName("held").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination()
     assert 0 < spark.table("held").count() < querylog.daily_counts(spark, sf_dir).count()
+
+
+def test_quotes_and_question_rules(spark):
+    docs = spark.createDataFrame([("d1", "A  long\nstory here."), ("d2", None)], "id string, text string")
+    asked = spark.createDataFrame(
+        [("q1", "Who?", True, ["d1", "d2", "d9"], ["long story", "x", "y"]), ("q2", " ", True, [], []), ("q3", "film of 1999", False, ["d1"], ["w " * 30])],
+        "id string, question string, answerable boolean, document_ids array<string>, quotes array<string>",
+    )
+    got = {(r.id, r.position): r.status for r in evaluation.quote_support(asked, docs).collect()}
+    assert got == {("q1", 0): "supported", ("q1", 1): "missing_document", ("q1", 2): "missing_document", ("q3", 0): "quote_not_found"}
+    errors = {r.id: r.errors for r in evaluation.question_errors(asked, banned=r"\bfilms?\b").collect()}
+    assert errors == {"q1": [], "q2": ["empty_question", "answerable_without_document"], "q3": ["unanswerable_with_document", "quote_too_long", "domain_term"]}
+
+
+def test_relaxation_and_strength(spark):
+    rows = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "query_id long, k string")
+    got = sorted((r.query_id, r.k, r.relaxed) for r in retrieval.relaxed(rows.filter("query_id = 0 AND k = 'a'"), rows).collect())
+    assert got == [(0, "a", False), (1, "c", True)]
+    attempts = spark.createDataFrame([(0, None, 0.9), (1, -2.0, 0.1), (1, -3.0, 0.8)], "attempt int, rerank_score double, score double")
+    best = {r.attempt: (r.rerank_score, r.score) for r in retrieval.strength(attempts, "attempt").collect()}
+    assert best == {0: (float("-inf"), 0.9), 1: (-2.0, 0.1)}
+
+
+def test_caches_seeds_and_texts(spark):
+    cache = spark.createDataFrame([("a", "matched", "2026-01-01", "2020-01-01 00:00:00"), ("b", "no_match", None, "2020-01-01 00:00:00"), ("c", "matched", "", "2026-01-01 23:00:00")], "id string, status string, release_date string, fetched_at string")
+    cache = cache.withColumn("fetched_at", F.to_timestamp("fetched_at"))
+    assert sorted(r.id for r in relational.fresh(cache, F.lit("2026-01-02 00:00:00").cast("timestamp"), 24).collect()) == ["a", "c"]
+    seeds = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [r.id for r in relational.unfinished(seeds, spark.createDataFrame([("a", "completed"), ("b", "failed")], "id string, status string"), "id").collect()] == ["b"]
+    good, bad = relational.text_catalog(spark.createDataFrame([("x",), ("y",), ("z",)], "slug string"), spark.createDataFrame([("x", "t" * 200), ("y", "t")], "slug string, text string"))
+    assert [r.slug for r in good.collect()] == ["x"] and sorted((r.slug, r.reason) for r in bad.collect()) == [("y", "text_too_short"), ("z", "missing_text")]
+
+
+def test_log_appends_with_defaults(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    for query in ("one", "two"):
+        publish.append_log(spark.createDataFrame([(query, "answered")], "query string, decision string"), path)
+    rows = spark.read.json(path).collect()
+    assert {r["query"] for r in rows} == {"one", "two"} and len({r["id"] for r in rows}) == 2 and {r["review_status"] for r in rows} == {"unreviewed"}
