@@ -7,8 +7,8 @@ candidates when two of the twelve agree, all but once in 9,000 pairs.
 Candidates are verified on full sets, in three steps, after each of which the links found make components. Each set is
 compared first with the smallest id that any of its buckets holds; then with the smallest ids of all its buckets that lie in
 another component; last, in the buckets that still hold several components, with every set of another component, unless
-their one-bit sketches rule it out. Sets of similarity 0.8 differ in a tenth of the sketch's bits; pairs that differ in
-more than MAX_BITS of 256, four and a half standard deviations beyond it, are not verified. Nothing is capped or sampled.
+their sizes without the shingles that no other such set has, or their one-bit sketches, rule it out. Sets of similarity 0.8 differ in a tenth of the sketch's bits; pairs that differ in
+more than MAX_BITS of 512, over four standard deviations beyond it, are not verified. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tessella.storage import materialize
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # per cent
 COLLECTIONS, ROWS = 12, 2
-SKETCH, MAX_BITS = 256, 47
+SKETCH, MAX_BITS = 512, 80
 SLICE_BYTES = 2 << 20
 #: Up to so many ids are broadcast to pick the texts whose sets are verified; beyond it a shuffle picks them.
 BROADCAST_IDS = 1_000_000
@@ -164,7 +164,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     edges = materialize(edges.unionByName(verified(second, sets, threshold)), "minhash-edges")
     component = connected_components(edges)
 
-    third = _remaining(crowded, nodes, sets, component).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    third = _remaining(crowded, nodes, sets, component, threshold).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
     return materialize(edges.unionByName(verified(third, sets, threshold)), "minhash-edges")
 
 
@@ -176,26 +176,34 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb").select("a", "b")
 
 
-def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs that share a bucket of three sets or more, lie in different components and have near sketches.
+def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that share a bucket of three sets or more, lie in different components and may be near.
 
     A pair is taken in the first bucket that it shares, which is told by its sub-hashes. The pairs of a bucket of two
-    are compared already.
+    are compared already. Shingles that one of these sets has alone are in no intersection: with m the others of n,
+    the similarity asked for needs (100 + threshold) * least m >= threshold * (sum of n).
     """
     known = component.select("id", F.col("component"))
     members = crowded.filter("n > 2").join(known, "id", "left").select("key", "table", "id", F.coalesce("component", "id").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    rows = members.join(split, "key").join(nodes.select("id", "subs"), "id").join(sets.select("id", *_BITS), "id")
-    rows = materialize(rows, "minhash-remaining")
+    members = materialize(members.join(split, "key"), "minhash-remaining")
+    own = sets.join(members.select("id").distinct(), "id", "left_semi")
+    alone = own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("sets"))
+    alone = alone.filter("sets = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    facts = own.select("id", F.size("shingles").alias("size"), *_BITS).join(alone, "id", "left").join(nodes.select("id", "subs"), "id")
+    facts = facts.withColumn("others", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    able = facts.filter(100 * F.col("others") >= threshold * F.col("size"))  # else near to no other set at all
+    rows = materialize(members.join(able, "id"), "minhash-remaining")
     x, y = rows.alias("x"), rows.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (differ <= MAX_BITS)
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+    near &= (100 + threshold) * F.least("x.others", "y.others") >= threshold * (F.col("x.size") + F.col("y.size"))
     agree = F.array(*(F.col("x.subs")[i] == F.col("y.subs")[i] for i in range(COLLECTIONS)))
     one = F.array_position(agree, True)
     two = one + F.array_position(F.slice(agree, one.cast("int") + 1, COLLECTIONS), True)
     table = F.element_at(F.array(*(F.lit(COLLECTIONS * i + j) for i, j in combinations(range(COLLECTIONS), 2))), F.col("x.table") + 1)
     at_first = table == COLLECTIONS * (one - 1) + (two - 1)
-    return x.join(y, near & at_first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return x.join(y, near & (differ <= MAX_BITS) & at_first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def op3_minhash_tensored(spark, sf_dir: str) -> DataFrame:
