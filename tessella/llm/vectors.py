@@ -183,7 +183,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     if lengths is None:
         return packed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     size, count = lengths["bytes"], lengths["count"]
-    drawn = nodes.filter(F.octet_length("raw") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("raw").collect()
+    share = int(min(1.0, 1.5 * sample / count) * (1 << 30))  # thinned where they stand, so that tasks send few in all
+    able = nodes.filter((F.octet_length("raw") == size) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share))
+    drawn = able.orderBy(F.xxhash64("id"), "id").limit(sample).select("raw").collect()
     unit = _unit([r["raw"] for r in drawn])
     depth = max(0, int(np.ceil(np.log2(count / LEAF)))) if count > BLOCK else 0
     depth = min(depth, max(0, int(np.log2(len(unit) / 8))))
