@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from math import exp
+from math import log as ln
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ _CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Distinct chunks whose lattices are computed side by side.
 GROUP = 1 << 16
+#: Chunks of more characters are summed one by one.
+LONG = 64
 _HASH_BASE = 0x2545F4914F6CDD1D
 _NO_PIECE = np.uint32(0x110000)
 
@@ -98,14 +102,70 @@ class PieceLattice:
         last, first = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
         bounds, origins, pieces, used = [], [], [], 0
         by_size = np.argsort(-sizes, kind="stable")
-        for i in range(0, len(chunks), GROUP):
+        long = int((sizes > LONG).sum())
+        for j in by_size[:long].tolist():
+            first[j], last[j] = used, used + sizes[j]
+            used = self._filter_long(chunks[j], used, bounds, origins, pieces)
+        for i in range(long, len(chunks), GROUP):
             group = by_size[i : i + GROUP]
             used = self._filter_group([chunks[j] for j in group], sizes[group], used, group, last, first, bounds, origins, pieces)
         return last, first, np.concatenate(bounds), np.concatenate(origins), np.concatenate(pieces)
 
-    def _filter_group(self, chunks, sizes, used, group, last, first, bounds, origins, pieces) -> int:
+    def _filter_long(self, chunk, used, bounds, origins, pieces) -> int:
+        """One long chunk: its edges found at all places at once, its sums taken place by place."""
+        codes = self._codes([chunk])
+        n = len(codes)
+        spread = (codes.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes, stops, sizes, logs, ids = np.zeros(n, np.uint64), [], [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            hashes = hashes[: n - size + 1] * self.base + spread[size - 1 :]
+            at = self._find(self._mix(hashes, size))
+            hit = np.flatnonzero(at >= 0)
+            stops.append(hit + size)
+            sizes.append(np.full(len(hit), size))
+            logs.append(self.logs[at[hit]])
+            ids.append(self.ids[at[hit]])
+            if size == 1:
+                miss = np.flatnonzero(at < 0)
+                width, piece = self._spelt(codes[miss])
+                stops.append(miss + 1)
+                sizes.append(np.ones(len(miss), np.int64))
+                logs.append(BYTE_LOG * width)
+                ids.append(piece)
+        stop, size, log, piece = (np.concatenate(x) for x in (stops, sizes, logs, ids))
+        order = np.argsort(stop, kind="stable")
+        stop, size, log, piece = stop[order], size[order], log[order], piece[order]
+        heads = np.searchsorted(stop, np.arange(n + 2)).tolist()
+        start, weight = (stop - size).tolist(), log.tolist()
+        alpha, share = [0.0] * (n + 1), np.empty(len(stop))
+        for k in range(1, n + 1):
+            a, b = heads[k], heads[k + 1]
+            here = [alpha[i] + w for i, w in zip(start[a:b], weight[a:b], strict=True)]
+            top, running = max(here), 0.0
+            for i, x in enumerate(here, a):
+                running += exp(x - top)
+                share[i] = running
+            share[a:b] /= running
+            share[b - 1] = 1.0
+            alpha[k] = top + ln(running)
+        bounds.append(used + stop + share)
+        origins.append(used + stop - size)
+        pieces.append(piece)
+        return used + n + 1
+
+    @staticmethod
+    def _codes(chunks: list[str]) -> np.ndarray:
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes == 0x2581, _NO_PIECE, np.where(codes == 0x20, 0x2581, codes)).astype(np.int64)
+        return np.where(codes == 0x2581, _NO_PIECE, np.where(codes == 0x20, 0x2581, codes)).astype(np.int64)
+
+    def _spelt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of characters that are no piece, and the byte's piece or, of several bytes, minus the character."""
+        c = np.where(codes == _NO_PIECE, 0x2581, codes)
+        width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        return width, np.where(width == 1, self.byte_id[c & 0xFF], -c)
+
+    def _filter_group(self, chunks, sizes, used, group, last, first, bounds, origins, pieces) -> int:
+        codes = self._codes(chunks)
         starts = np.cumsum(sizes) - sizes
         longest = int(sizes[0])
         reach = np.searchsorted(-sizes, -np.arange(longest + 1), "right")  # chunks of at least so many characters
@@ -127,10 +187,8 @@ class PieceLattice:
                 ids[hit, size - 1] = self.ids[found]
                 if size == 1 and len(hit) < n:
                     miss = np.flatnonzero(at < 0)
-                    c = np.where(code[miss] == _NO_PIECE, 0x2581, code[miss])
-                    width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+                    width, ids[miss, 0] = self._spelt(code[miss])
                     logs[miss, 0] = alpha[k - 1][miss] + BYTE_LOG * width
-                    ids[miss, 0] = np.where(width == 1, self.byte_id[c & 0xFF], -c)
             top = logs.max(axis=1)
             running = np.cumsum(np.exp(logs - top[:, None]), axis=1)
             total = running[:, -1]

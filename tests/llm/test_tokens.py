@@ -93,7 +93,9 @@ def test_draws_depend_on_row_and_seed_alone(spark, docs_of):
     assert len({tuple(r.piece_ids) for r in again}) > 1
 
 
-def test_samples_follow_the_lattice():
+@pytest.mark.parametrize("long", [64, 2])
+def test_samples_follow_the_lattice(monkeypatch, long):
+    monkeypatch.setattr(pieces, "LONG", long)
     table = pieces.lattice(MODEL)
     n = 60_000
     ids, offsets = table.sample(["thed"] * n, np.arange(n).astype(np.uint64), 3)
@@ -118,3 +120,13 @@ def test_samples_follow_the_lattice():
 
 def test_no_rows(spark, docs_of):
     assert pieces.round_trips(docs_of([]), MODEL).count() == 0
+
+
+def test_very_long_texts(spark, docs_of):
+    texts = ["word " * 60_000, "x" * 120_000, "\n" * 50_000, "é" * 40_000]
+    docs = docs_of(texts)
+    assert all(r.lossless for r in pieces.round_trips(docs, MODEL).collect())
+    folder = shared_folder(spark, "token-test")
+    rows = token_records.read_records(token_records.write_records(docs, BPE, folder), folder).orderBy("doc_id").collect()
+    encoder = token_records.WordEncoder(BPE)
+    assert [r.n_tokens for r in rows] == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
