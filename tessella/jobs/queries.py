@@ -102,10 +102,10 @@ def window_between(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", catalog.window_status(day, "1996-01-01", "1997-12-31").alias("reason"))
 
 
-@register("""
+@register(r"""
 SELECT p_partkey, p_name FROM part
-WHERE list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), 'blue')
-  AND list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), 'ring')""".replace("\\\\", "\\"))
+WHERE list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\s+', ' ', 'g'))), ' '), 'blue')
+  AND list_contains(string_split(lower(trim(regexp_replace(regexp_replace(p_name, '[-_/]+', ' ', 'g'), '\s+', ' ', 'g'))), ' '), 'ring')""")
 def person_token_match(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     return rows.filter(catalog.name_has_tokens(F.array("p_name"), ["blue", "ring"]))
@@ -232,14 +232,15 @@ def akas_except(spark, sf_dir):
     return other.select("p_type", F.array_join("titles", ",").alias("akas"))
 
 
-@register("SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1".replace("o_orderdate,", "CAST(o_orderdate AS DATE) AS day,"))
+@register("""
+SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
 def golden_duplicates(spark, sf_dir):
     return evaluation.duplicate_keys(read(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), ["o_custkey", "day"])
 
 
 @register("""
-SELECT lang, coalesce(n, 0) AS n, least, coalesce(n, 0) >= least AS met FROM (VALUES ('en', 500), ('de', 200), ('fr', 100), ('it', 1)) AS w(lang, least)
-LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)""".replace("AS w(lang, least)", "AS w(lang, least_n)").replace("least,", "CAST(least_n AS BIGINT) AS least,").replace(">= least AS", ">= least_n AS"))
+SELECT lang, coalesce(n, 0) AS n, CAST(least_n AS BIGINT) AS least, coalesce(n, 0) >= least_n AS met FROM (VALUES ('en', 500), ('de', 200), ('fr', 100), ('it', 1)) AS w(lang, least_n)
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)""")
 def category_minima(spark, sf_dir):
     return evaluation.minima_report(read(spark, sf_dir, "documents"), "lang", {"en": 500, "de": 200, "fr": 100, "it": 1})
 
@@ -394,9 +395,9 @@ def cache_hit_miss(spark, sf_dir):
 # lookup
 
 
-@register("SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size = n.n_nationkey WHERE lower(n.n_name) = 'nation_7'".replace("SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size = n.n_nationkey WHERE lower(n.n_name) = 'nation_7'", """
+@register("""
 WITH names AS (SELECT lower(p_name) AS t, min(p_partkey) AS p_partkey, count(*) AS n FROM part GROUP BY 1)
-SELECT c_custkey AS query_id, p_partkey, n AS parts FROM customer JOIN names ON t = split_part('blue,red,small,large,green', ',', CAST(c_custkey % 5 AS INTEGER) + 1) || ' ' || split_part('ring,bolt,widget,gear,rod,plate,anvil', ',', CAST(c_custkey % 7 AS INTEGER) + 1)"""))
+SELECT c_custkey AS query_id, p_partkey, n AS parts FROM customer JOIN names ON t = split_part('blue,red,small,large,green', ',', CAST(c_custkey % 5 AS INTEGER) + 1) || ' ' || split_part('ring,bolt,widget,gear,rod,plate,anvil', ',', CAST(c_custkey % 7 AS INTEGER) + 1)""")
 def title_exact_lookup(spark, sf_dir):
     """A title asked by each customer, written with dashes and capitals, against the distinct part names."""
     names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("parts"))
@@ -472,9 +473,9 @@ def query_log_stream(spark, sf_dir):
     return querylog.daily_counts(spark, sf_dir)
 
 
-@register("""
-SELECT event_id, array_to_string([CAST(x AS VARCHAR) FOR x IN list_distinct(regexp_extract_all('see [' || user_id || '] and [' || CAST(event_id % 7 AS VARCHAR) || ']', '\\[(\\d+)\\]', 1))], ',') AS numbers
-FROM events""".replace("\\\\", "\\").replace("list_distinct(regexp", "list_sort(list_distinct(regexp").replace("1))], ','", "1)))], ','"))
+@register(r"""
+SELECT event_id, array_to_string([CAST(x AS VARCHAR) FOR x IN list_sort(list_distinct(regexp_extract_all('see [' || user_id || '] and [' || CAST(event_id % 7 AS VARCHAR) || ']', '\[(\d+)\]', 1)))], ',') AS numbers
+FROM events""")
 def citation_numbers(spark, sf_dir):
     text = F.concat(F.lit("see ["), F.col("user_id").cast("string"), F.lit("] and ["), (F.col("event_id") % 7).cast("string"), F.lit("]"))
     numbers = F.array_sort(F.transform(T.citation_numbers(text), lambda x: x.cast("string")))
@@ -558,12 +559,12 @@ def page_metadata(spark, sf_dir):
     return page_source.page_metadata(read(spark, sf_dir, "pages"))
 
 
-@register("""
+@register(r"""
 WITH q AS (SELECT doc_id AS id, [doc_id, doc_id + 1, -1] AS ids, [substring(text, 11, 40), substring(text, 1, 30), 'x'] AS quotes FROM documents),
 e AS (SELECT id, i - 1 AS position, ids[i] AS document, quotes[i] AS quote FROM (SELECT *, unnest(range(1, 4)) AS i FROM q))
 SELECT id, CAST(position AS INTEGER) AS position, CASE WHEN d.text IS NULL THEN 'missing_document'
-  WHEN contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'supported' ELSE 'quote_not_found' END AS status
-FROM e LEFT JOIN documents d ON d.doc_id = document""".replace("\\\\", "\\"))
+  WHEN contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(quote, '\s+', ' ', 'g'))) THEN 'supported' ELSE 'quote_not_found' END AS status
+FROM e LEFT JOIN documents d ON d.doc_id = document""")
 def quote_containment(spark, sf_dir):
     """Quotes from each document against it, its neighbour and none."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
