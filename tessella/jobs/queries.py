@@ -302,7 +302,7 @@ sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_i
 def _sparse(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     terms = index.postings(read(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "term")
-    scores = index.bm25_scores(index.postings(docs, "doc_id"), index.text_lengths(docs, "doc_id"), terms, "doc_id", small_queries=False)
+    scores = index.bm25_scores(index.postings(docs, "doc_id", only=terms), index.text_lengths(docs, "doc_id"), terms, "doc_id", small_queries=False)
     return retrieval.ranked_lists(scores.withColumn("score", F.round("score", 9)), "doc_id", 20)
 
 
@@ -372,7 +372,7 @@ def hybrid_search(spark, sf_dir):
     chunks = chunks.select("chunk_id", "doc_id", "text")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     terms = index.postings(asked, "query_id").select("query_id", "term")
-    sparse = retrieval.ranked_lists(index.bm25_scores(index.postings(chunks, "chunk_id"), index.text_lengths(chunks, "chunk_id"), terms, "chunk_id", small_queries=False), "chunk_id", 20)
+    sparse = retrieval.ranked_lists(index.bm25_scores(index.postings(chunks, "chunk_id", only=terms), index.text_lengths(chunks, "chunk_id"), terms, "chunk_id", small_queries=False), "chunk_id", 20)
     queries = index.embed(asked, "query_id", "text").withColumnRenamed("vector", "embedding")
     dense = retrieval.dense_topk(index.embed(chunks, "chunk_id", "text").withColumnRenamed("vector", "embedding"), queries, 20, key="chunk_id")
     return retrieval.hybrid(dense, sparse, chunks, asked, "chunk_id", "doc_id")

@@ -19,10 +19,22 @@ LEAST_IDF = 1e-6
 TOKEN = "[a-z0-9]+"
 
 
-def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf) of ASCII tokens, lower-cased, unstemmed; write it bucketed by term to probe few terms often."""
+#: So many query terms, at most, are broadcast; more of them shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def postings(texts: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf) of ASCII tokens, lower-cased, unstemmed; write it bucketed by term to probe few terms often.
+
+    With `only` (a column term), tokens of other terms are dropped before anything is shuffled.
+    """
     terms = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    return texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tokens = texts.select(key, F.explode(terms).alias("term"))
+    if only is not None:
+        wanted = only.select("term").distinct()
+        small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        tokens = tokens.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def text_lengths(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
