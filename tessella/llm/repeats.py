@@ -199,12 +199,15 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD
 
 
 def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pieces of each key, with any one place and their copies; and all places of those with several."""
-    least = [F.min(c).alias(c) for c in ("id", "d", "start")]
-    pieces = materialize(rows.groupBy("key", "piece").agg(*least, F.sum("copies").alias("copies")), "repeats-distinct")
+    """Distinct pieces of each key, with one real place and their copies; and all places of those with several.
+
+    A row of several copies stands for them at one of their places; all were given out when it was made, so none is here.
+    """
+    least = rows.groupBy("key", "piece").agg(F.min(F.struct("id", "d", "start")).alias("place"), F.sum("copies").alias("copies"))
+    pieces = materialize(least.select("key", "piece", "place.*", "copies"), "repeats-distinct")
     sign = [F.xxhash64("piece").alias("g"), F.hash("piece").alias("h")]
     several = pieces.filter("copies > 1").select("key", *sign)
-    lean = rows.select("key", *sign, "id", "d", "start", (F.col("start") + F.octet_length("piece")).alias("stop"))
+    lean = rows.filter("copies = 1").select("key", *sign, "id", "d", "start", (F.col("start") + F.octet_length("piece")).alias("stop"))
     return pieces, lean.join(several, ["key", "g", "h"]).select("id", "d", "start", "stop")
 
 

@@ -143,6 +143,20 @@ def test_repeats_equal_brute_force(spark, docs_of, limits):
     assert len(rows) == len(texts) and got == dict(enumerate(brute_repeats(texts, 80)))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_anchors_keep_real_places(spark, docs_of, seed):
+    """Passages at other offsets in near copies, split several times: nothing else goes."""
+    random.seed(seed)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    core, texts = word(80), []
+    for _ in range(8):
+        passage = word(60) + core + word(60)
+        texts += [word(random.randint(0, 600)) + passage + word(random.randint(0, 600)) for _ in range(2)]
+    rows = repeats.remove_repeats(docs_of(texts), 80, 3000, 400).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows}
+    assert got == dict(enumerate(brute_repeats(texts, 80)))
+
+
 def test_repeats_of_nothing_and_of_repeated_rows(spark, docs_of):
     assert repeats.remove_repeats(docs_of([]), 80).count() == 0
     rows = repeats.remove_repeats(docs_of(["q" * 10 + "abc" * 40, "unlike " * 3, "q" * 10 + "abc" * 40], ids=[1, 1, None]), 80).collect()
