@@ -51,14 +51,16 @@ class WordEncoder:
     """Encodes texts word by word: the tokenizers library's BPE sees each distinct word once and is remembered.
 
     Byte-level BPE merges only within the words of its split pattern, so a text's ids are its words' ids in order.
-    Texts with characters of which the split depends on Unicode tables go to the library whole.
+    Texts with characters of which the split depends on Unicode tables, and those that hold an added token's content,
+    which the library finds before it splits, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER.pattern, *added]))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.memo = _Memo(self.tokenizer.model.tokenize, "H" if self.width == 2 else "I")
@@ -71,7 +73,7 @@ class WordEncoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         ids_of = self.memo.__getitem__
-        return [self._whole(t) if _OTHER.search(t) else b"".join(map(ids_of, _WORDS.findall(t))) for t in texts]
+        return [self._whole(t) if self.whole.search(t) else b"".join(map(ids_of, _WORDS.findall(t))) for t in texts]
 
 
 class _Memo(dict):

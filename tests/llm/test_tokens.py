@@ -28,6 +28,19 @@ def test_words_encode_as_the_library_does():
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
 
 
+def test_added_tokens_are_the_librarys(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(BPE), token_records.WordEncoder(BPE)
+    texts = ODD + ["<|endoftext|> x", "a<|endoftext|>", "it's <|endoftext|", "<|endoftext|><|endoftext|>é漢"] + noise(50)
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[len(ODD)] == [50256, 2124]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+    folder = shared_folder(spark, "token-test")
+    rows = token_records.read_records(token_records.write_records(docs_of(texts), BPE, folder), folder, with_ids=True)
+    assert [r.ids for r in rows.orderBy("doc_id").collect()] == [ids + [2] for ids in want]
+
+
 def test_records_hold_every_document_in_order(spark, docs_of):
     texts = ODD + [None] + noise(20)
     folder = shared_folder(spark, "token-test")
