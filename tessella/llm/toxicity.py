@@ -21,9 +21,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
 WINDOW_WORDS = 8
 BASE_WORDS = 1500
-#: The least likelihood ratio (G squared) with which a fragment enters the toxic dictionary, and what it must be at least
-#: for each toxic text: a word of a few texts that copy each other stays below it.
-LEAST_RATIO, RATIO_PER_TEXT = 25.0, 0.12
+#: The least likelihood ratio (G squared) with which a fragment enters the toxic dictionary, whatever the sample's size.
+LEAST_RATIO = 25.0
 #: Words that a fragment brings along.
 WORDS_OF_FRAGMENT = 30
 #: So many times as often, at least, toxic texts have such a fragment.
@@ -119,7 +118,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     fragments: list[str] = []
     beginnings: set[str] = set()
     for i in np.argsort(-longer, kind="stable"):
-        if ratio[i] < max(LEAST_RATIO, RATIO_PER_TEXT * n):
+        if ratio[i] < LEAST_RATIO:
             break
         if not any(seen[i].startswith(f) or f.startswith(seen[i]) for f in fragments):
             fragments.append(seen[i])

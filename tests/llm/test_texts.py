@@ -208,3 +208,12 @@ def test_toxicity_without_labels(spark, docs_of):
     kept = toxicity.reject_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == 3
     assert toxicity.score_toxicity(docs_of([]), toxicity.fit(docs_of([]), labels.limit(0))).count() == 0
+
+
+def test_rare_toxic_words_enter_whatever_the_sample():
+    random.seed(3)
+    plain = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    text = lambda *extra: " ".join([*random.choices(plain, k=20), *extra])
+    toxic = [text("common") for _ in range(960)] + [text("zorkelquist") for _ in range(40)]
+    _, words = toxicity._dictionaries(toxic, [text() for _ in range(2000)])
+    assert b"common" in words and b"zorkelquist" in words
