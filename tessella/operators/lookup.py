@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessella.functions.text import normalize
 
@@ -73,19 +74,57 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * _partial(a, b), 0.95 * scale * _tokens_ratio(a, b))
 
 
-def fuzzy_titles(queries: DataFrame, catalog: DataFrame, key: str, title: str, least: float = LEAST_SCORE, margin: float = MARGIN) -> DataFrame:
-    """(query_id, key, score): the best record, if it scores enough and leads the second one by the margin.
+@F.pandas_udf(ArrayType(StringType()))
+def _forms(texts: pd.Series) -> pd.Series:
+    """A text as it is, its tokens, and its distinct tokens: what scores compare, up to the order of tokens."""
+    return texts.map(lambda t: [] if not t else sorted({t, " ".join(t.split()), " ".join(sorted(set(t.split())))}))
+
+
+def _candidates(left: DataFrame, right: DataFrame, key: str, floor: float) -> DataFrame:
+    """(query_id, query, key, title) of all pairs whose weighted ratio can reach `floor` (of 1).
 
-    Candidates share a token or the first letters of one with the query, so no query meets the whole catalog.
+    Shared tokens go by token. Without one, a score needs a ratio of `floor` between padded forms, or of floor / 0.9
+    between the shorter text and a window: both bound how many bigrams of the shorter one (s characters, s + 1 padded
+    bigrams) the other can lack, whatever the tokens' order. So among one more of its rarest bigrams the other has one.
+    Where the bound exceeds s + 1, the texts share a letter, and the longer is at most 8 times as long.
     """
+    part = min(1.0, floor / 0.9)
+    lost = 4 * (1 - part) / (2 - part)
+    short = int(1 / (1 - lost) + 1e-9)
+    size = F.char_length("form")
+    padded = F.concat(F.lit(" "), F.col("form"), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), size + 1), lambda i: padded.substr(i, F.lit(2)))
+    letters = lambda most: F.when(size <= most, F.split("form", "")).otherwise(F.array().cast("array<string>"))
+    missing = F.greatest(3 * (1 - floor) * size, 2 + lost * size)
+    reach = (F.floor(missing + 1e-9) + 1).cast("int")
+
+    sides = [df.distinct().withColumn("form", F.explode(_forms(normalize(F.col(text))))) for df, text in ((left, "query"), (right, "title"))]
+    counts = sides[1].select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def blocks(rows: DataFrame, columns: list[str], rare: str, full: str, few: str, many: str) -> DataFrame:
+        tag = lambda name, values: F.transform(values, lambda v: F.concat(F.lit(name), v))
+        own = F.concat(tag("t", F.split("form", " ")), tag(full, grams), tag(few, letters(short)), tag(many, letters(8 * short)))
+        found = rows.select(*columns, F.explode(own).alias("block"))
+        each = rows.select(*columns, "form", reach.alias("reach"), F.explode(grams).alias("gram")).join(counts, "gram", "left")
+        ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))["gram"]
+        rarest = each.groupBy(*columns, "form", "reach").agg(ordered.alias("ordered"))
+        return found.unionByName(rarest.select(*columns, F.explode(tag(rare, F.slice("ordered", F.lit(1), F.col("reach")))).alias("block"))).distinct()
+
+    asked = blocks(sides[0], ["query_id", "query"], "a", "b", "c", "d")
+    named = blocks(sides[1], [key, "title"], "b", "a", "d", "c")
+    return asked.join(named, "block").select("query_id", "query", key, "title").distinct()
 
-    def blocks(text: str) -> F.Column:
-        tokens = F.split(normalize(F.col(text)), " ")
-        return F.array_distinct(F.concat(tokens, F.transform(tokens, lambda t: F.concat(F.lit("^"), F.substring(t, 1, 3)))))
 
-    left = queries.select("query_id", "query", F.explode(blocks("query")).alias("block"))
-    right = catalog.select(key, F.col(title).alias("title"), F.explode(blocks(title)).alias("block"))
-    pairs = left.join(right, "block").select("query_id", "query", key, "title").distinct()
+def fuzzy_titles(queries: DataFrame, catalog: DataFrame, key: str, title: str, least: float = LEAST_SCORE, margin: float = MARGIN) -> DataFrame:
+    """(query_id, key, score): the best record, if it scores enough and leads the second one by the margin.
+
+    Candidates are all pairs that can score over least - margin (see `_candidates`); up to two thirds nothing bounds them,
+    and every pair is scored.
+    """
+    floor = (least - margin) / 100
+    left = queries.select("query_id", "query")
+    right = catalog.select(key, F.col(title).alias("title"))
+    pairs = _candidates(left, right, key, floor) if floor > 2 / 3 else left.crossJoin(right).distinct()
 
     @F.pandas_udf("double")
     def scored(q: pd.Series, t: pd.Series) -> pd.Series:

@@ -168,6 +168,27 @@ def test_fuzzy_lookup_refuses_ambiguity(spark):
     assert {r.query_id: r.id for r in lookup.fuzzy_titles(asked, titles, "id", "title").collect()} == {10: 1, 11: 3} or {r.query_id for r in lookup.fuzzy_titles(asked, titles, "id", "title").collect()} == {11}
 
 
+def test_fuzzy_lookup_equals_scoring_every_title(spark):
+    random.seed(5)
+    word = lambda n: "".join(random.choice("abcdeimnoprst") for _ in range(n))
+    titles = ["oppenheimer", "a", "ab", "up", "cat", "oppenheimers", "the cat", *(word(random.randint(2, 12)) for _ in range(150))]
+    titles += [f"{word(random.randint(2, 8))} {word(random.randint(3, 9))}" for _ in range(60)]
+    asked = ["openheimer", "cats", "b", "a a b", "xppenheimer", "heimer"]
+    for t in titles:
+        i = random.randrange(len(t))
+        asked += [t[:i] + t[i + 1 :], t[:i] + "z" + t[i + 1 :], " ".join(reversed((t[:i] + "e" + t[i:]).split()))]
+    norm = lambda t: " ".join(t.lower().split())
+    want = {}
+    for q, query in enumerate(asked):
+        scores = sorted(((lookup.weighted_ratio(norm(query), norm(t)), -k) for k, t in enumerate(titles)), reverse=True)
+        if scores[0][0] >= 86 and scores[0][0] - scores[1][0] >= 3:
+            want[q] = (-scores[0][1], round(scores[0][0], 6))
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    catalog = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    got = {r.query_id: (r.id, round(r.score, 6)) for r in lookup.fuzzy_titles(queries, catalog, "id", "title").collect()}
+    assert got == want and len(want) > 100
+
+
 def test_item_metrics(spark):
     rows = spark.createDataFrame([([1, 2], [3, 1, 2]), ([], [1]), ([9], [1])], "gold array<int>, found array<int>")
     a, b, c = evaluation.item_metrics(rows).collect()
