@@ -3,8 +3,8 @@
 1. Winnowing: the least hash of ANCHORS[0]-byte strings within any MATCH bytes is an anchor, so equal strings of MATCH bytes
    share one. Only places around anchors that occur again can hold a repeated string.
 2. Those places' bytes go to shards by the anchor. Equal pieces are one piece with a number of copies, covered whole.
-3. A shard's suffix array is induced; strings that start more than once stand together in it, and are told apart from the
-   same place seen through two anchors by their document and offset.
+3. A shard's suffix array is induced. Strings that start more than once stand together in it: their permuted common
+   prefixes reach the match. They are told apart from the same place seen through two anchors by document and offset.
 An anchor whose pieces exceed a shard is split by anchors of longer strings, up to MATCH bytes, where all pieces are equal.
 """
 
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices
+from tessella.llm.picking import BROADCAST_KEYS, join_hot
 from tessella.llm.shingles import scramble
-from tessella.llm.suffixes import hashes, prefix_sums, reaching, suffix_array
+from tessella.llm.suffixes import hashes, permuted_prefixes, prefix_sums, suffix_array
 from tessella.storage import materialize
 
 MATCH = 400
@@ -30,8 +31,6 @@ SHARD_BYTES = 1 << 20
 #: Pieces of one anchor of more bytes are split by longer anchors.
 HOT_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
-#: Up to so many documents are broadcast to pick texts; beyond it a shuffle picks them.
-BROADCAST_IDS = 1_000_000
 _SEPARATOR = 256
 _LOWEST = -(1 << 63)
 
@@ -120,8 +119,8 @@ def repeated_in_shard(shard: pd.DataFrame, match: int) -> pd.DataFrame:
     starts = stops - sizes
     text = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8).astype(np.int16)
     text[stops] = _SEPARATOR
-    order = suffix_array(text, match)
-    joined = reaching(text, order, match)
+    order = suffix_array(text)
+    joined = permuted_prefixes(text, order)[order[1:]] >= match
     piece = np.repeat(np.arange(len(raws)), sizes + 1)
     inside = order + match <= stops[piece[order]]
     joined &= inside[1:] & inside[:-1]
@@ -146,7 +145,7 @@ def repeated_in_shard(shard: pd.DataFrame, match: int) -> pd.DataFrame:
 
 def _picked(texts: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of `texts` whose (id, d) is among the distinct ones of `ids`, or is not."""
-    small = ids.count() <= BROADCAST_IDS
+    small = ids.count() <= BROADCAST_KEYS
     return texts.join(F.broadcast(ids) if small else ids, ["id", "d"], how)
 
 
@@ -166,15 +165,16 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD
     texts = keyed_texts(docs).filter(F.octet_length("text") >= match)
     facts = materialize(texts.select("id", "d", F.sha1(F.col("text").cast("binary")).alias("sha"), F.octet_length("text").alias("n")), "repeats-texts")
     several = facts.groupBy("sha", "n").agg(F.min(F.struct("id", "d")).alias("kept"), F.count("*").alias("rows")).filter("rows > 1")
-    copied = materialize(facts.join(several, ["sha", "n"]).select("id", "d", (F.struct("id", "d") == F.col("kept")).alias("first")).distinct(), "repeats-copies")
+    several = materialize(several, "repeats-texts")
+    copied = materialize(join_hot(facts, several, ["sha", "n"], "rows").select("id", "d", (F.struct("id", "d") == F.col("kept")).alias("first")).distinct(), "repeats-copies")
     whole, later = copied.select("id", "d"), copied.filter("NOT first").select("id", "d")
 
     found = texts.select("id", "d", "text").mapInArrow(
         lambda batches: _anchored(batches, sizes[0], match), "id long, d long, key long, start long, stop long, times long"
     )
     found = materialize(_picked(found, later, "left_anti").distinct(), "repeats-anchors")
-    again = found.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
-    places = found.join(again, "key").groupBy("id", "d").agg(F.collect_list(F.struct("key", "start", "stop")).alias("places"))
+    again = found.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).filter("times > 1").select("key", "rows")
+    places = join_hot(found, materialize(again, "repeats-again"), ["key"], "rows").groupBy("id", "d").agg(F.collect_list(F.struct("key", "start", "stop")).alias("places"))
     places = materialize(places, "repeats-places")
     held = _picked(texts.select("id", "d", "text"), places.select("id", "d")).dropDuplicates(["id", "d"])
     cut = materialize(held.join(places, ["id", "d"]).mapInArrow(_cut, "key long, id long, d long, start long, piece binary"), "repeats-pieces")
@@ -206,9 +206,9 @@ def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = rows.groupBy("key", "piece").agg(F.min(F.struct("id", "d", "start")).alias("place"), F.sum("copies").alias("copies"))
     pieces = materialize(least.select("key", "piece", "place.*", "copies"), "repeats-distinct")
     sign = [F.xxhash64("piece").alias("g"), F.hash("piece").alias("h")]
-    several = pieces.filter("copies > 1").select("key", *sign)
+    several = materialize(pieces.filter("copies > 1").select("key", *sign, "copies"), "repeats-equal")
     lean = rows.filter("copies = 1").select("key", *sign, "id", "d", "start", (F.col("start") + F.octet_length("piece")).alias("stop"))
-    return pieces, lean.join(several, ["key", "g", "h"]).select("id", "d", "start", "stop")
+    return pieces, join_hot(lean, several, ["key", "g", "h"], "copies").select("id", "d", "start", "stop")
 
 
 def _sharded(pieces: DataFrame, match: int, shard_bytes: int) -> DataFrame:
@@ -262,5 +262,9 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD
 
 
 def op5_induced_suffixes(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document: remove_repeats with its defaults.
+
+    A null text is an empty one; rows without a repeat of 400 bytes keep all their bytes.
+    """
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

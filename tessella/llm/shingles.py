@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _ALL = (1 << 64) - 1
@@ -20,22 +18,27 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+_grown: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        step = np.full(n, b, np.uint64)
-        step[0] = 1
-        out.append(np.cumprod(step, dtype=np.uint64))
-    return out[0], out[1]
+    """Powers of a base and of its inverse, `n` of them at least; a worker keeps the longest run that it has needed."""
+    if not _grown or len(_grown[0]) < n:
+        size = 1 << max(21, int(n - 1).bit_length())
+        made = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            step = np.full(size, b, np.uint64)
+            step[0] = 1
+            made.append(np.cumprod(step, dtype=np.uint64))
+        _grown[:] = made
+    return _grown[0], _grown[1]
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts laid end to end, A-Z lower-cased, and the n + 1 offsets of each text's words."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    size = 1 << max(21, int(len(raw)).bit_length())
-    powers, inverse = _powers(size)
+    powers, inverse = _powers(len(raw))
     inside = _WORD[raw]
     before = np.r_[False, inside[:-1]]
     after = np.r_[inside[1:], False]

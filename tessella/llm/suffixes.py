@@ -1,24 +1,29 @@
-"""Suffix arrays by induced sorting, vectorised bucket by bucket, and permuted common prefixes up to a bound."""
+"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from tessella.llm.shingles import _powers, scramble
 
-_SPREAD = scramble(np.arange(1 << 9, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
-#: Alphabets of up to so many letters are sorted by induction; reduced strings over more are ranked by doubling.
-LETTERS = 1 << 9
+_SALT = np.uint64(0xA24BAED4963EE407)
+_SPREAD = scramble(np.arange(1 << 12, dtype=np.uint64) + _SALT)
+#: Reduced strings over more letters are written with two digits a letter, so that a letter's bucket is never tiny.
+LETTERS = 1 << 10
 
 
 def prefix_sums(text: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any substring of `text` (letters below 512) follows."""
-    powers, _ = _powers(1 << max(21, int(len(text)).bit_length()))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SPREAD[text] * powers[: len(text)], dtype=np.uint64)])
+    """Sums from which the hash of any substring of `text` follows."""
+    powers, _ = _powers(len(text))
+    small = not len(text) or int(text.max()) < len(_SPREAD)
+    spread = _SPREAD[text] if small else scramble(text.astype(np.uint64) + _SALT)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread * powers[: len(text)], dtype=np.uint64)])
 
 
 def hashes(sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
-    _, inverse = _powers(1 << max(21, int(len(sums) - 1).bit_length()))
+    _, inverse = _powers(len(sums))
     return (sums[start + size] - sums[start]) * inverse[start]
 
 
@@ -36,145 +41,176 @@ def _leftmost(small: np.ndarray) -> np.ndarray:
     return np.flatnonzero(small[1:] & ~small[:-1]) + 1
 
 
-def _split(groups: list[list[np.ndarray]], places: np.ndarray, letters: np.ndarray) -> None:
-    """Append places to the groups of their letters, keeping their order."""
-    if not len(places):
-        return
-    order = np.argsort(letters, kind="stable")
-    places, letters = places[order], letters[order]
-    heads = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
-    for a, b in zip(heads, np.r_[heads[1:], len(letters)], strict=True):
-        groups[letters[a]].append(places[a:b])
-
-
-def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """The order of all suffixes, induced from that of the leftmost-smaller ones.
-
-    Going up the letters, each suffix puts the larger one before it at the end of that one's letter; then, going down,
-    each puts the smaller one before it at the front. What a letter puts into itself is scanned as it comes.
-    """
-    given: list[list[np.ndarray]] = [[] for _ in range(size)]
-    _split(given, seeds, text[seeds])
-    large: list[list[np.ndarray]] = [[] for _ in range(size)]
-    n = len(text)
-    if not small[n - 1]:
-        large[text[n - 1]].append(np.array([n - 1]))
-    is_large = ~small
-    for c in range(size):
-        large[c] = _scan(large, c, text, is_large)
-        _induce_from(large, _joined(given[c]), text, is_large)
-    lower: list[list[np.ndarray]] = [[] for _ in range(size)]
-    for c in range(size - 1, -1, -1):
-        lower[c] = _scan(lower, c, text, small)
-        _induce_from(lower, _joined(large[c])[::-1], text, small)
-    return np.concatenate([part for c in range(size) for part in (_joined(large[c]), _joined(lower[c])[::-1])])
-
-
-def _joined(blocks: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-
-
-def _scan(groups: list[list[np.ndarray]], c: int, text: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
-    """Induce from a letter's places, and from those that it puts into itself, until none is new; all of them in order."""
-    done = []
-    while groups[c]:
-        block, groups[c] = _joined(groups[c]), []
-        done.append(block)
-        _induce_from(groups, block, text, wanted)
-    return done
-
-
-def _induce_from(groups: list[list[np.ndarray]], block: np.ndarray, text: np.ndarray, wanted: np.ndarray) -> None:
-    before = block[block > 0] - 1
-    before = before[wanted[before]]
-    _split(groups, before, text[before])
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+class _Buckets:
+    """The order under construction: a bucket per letter, larger suffixes from its front, smaller ones from its back."""
+
+    def __init__(self, text: np.ndarray, size: int) -> None:
+        self.text, self.size, n = text, size, len(text)
+        self.ends = np.cumsum(np.bincount(text, minlength=size))
+        self.begins = np.r_[0, self.ends[:-1]]
+        self.order = np.empty(n, np.int64)
+        fresh = np.r_[True, text[1:] != text[:-1]]
+        self.before = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # equal letters to the left
+
+    def induce(self, seeds: np.ndarray) -> np.ndarray:
+        """The order of all suffixes, induced from that of the leftmost-smaller ones; each suffix is moved once a pass.
+
+        Going up the letters, each suffix puts the larger one before it at the front of that one's bucket; going down,
+        each puts the smaller one before it at the back.
+        """
+        text, order, begins, ends = self.text, self.order, self.begins, self.ends
+        letters = text[seeds]
+        seeds = seeds[np.argsort(letters, kind="stable")]
+        bounds = np.r_[0, np.cumsum(np.bincount(letters, minlength=self.size))].tolist()
+        head, n = begins.copy(), len(text)
+        order[head[text[n - 1]]] = n - 1
+        head[text[n - 1]] += 1
+        full = begins.copy()
+        for c, a in enumerate(begins.tolist()):
+            block = seeds[bounds[c] : bounds[c + 1]]
+            if head[c] > a:
+                large = self._with_runs(order[a : head[c]])
+                full[c] = a + len(large)
+                order[a : full[c]] = large
+                block = np.concatenate([large, block])
+            if len(block):
+                self._put(block, head, c, 1)
+        tail = ends.copy()
+        for c in range(self.size - 1, -1, -1):
+            b = int(ends[c])
+            block = order[begins[c] : full[c]][::-1]
+            if tail[c] < b:
+                lower = self._with_runs(order[tail[c] : b][::-1])
+                order[b - len(lower) : b] = lower[::-1]
+                block = np.concatenate([lower, block])
+            if len(block):
+                self._put(block, tail, c, -1)
+        return order
+
+    def _with_runs(self, block: np.ndarray) -> np.ndarray:
+        """The suffixes of a bucket that others put there, and after them those that they put into it themselves: the
+        ones before them in a run of the letter, the nearest first.
+        """
+        more = self.before[block]
+        if not more.any():
+            return block
+        lengths = more + 1
+        k = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return (np.repeat(block, lengths) - k)[np.argsort(k, kind="stable")]
+
+    def _put(self, block: np.ndarray, free: np.ndarray, c: int, step: int) -> None:
+        """Put the suffixes before those of a block, if of the pass's type, at the free places of their letters."""
+        letters = self.text[block - 1]  # of the whole text's first suffix the last letter, which is taken out next
+        wanted = letters > c if step > 0 else letters < c
+        wanted &= block > 0
+        places, letters = block[wanted] - 1, letters[wanted]
+        if not len(places):
+            return
+        by = letters.argsort(kind="stable")
+        places, letters = places[by], letters[by]
+        if self.size <= LETTERS:
+            counts = np.bincount(letters, minlength=self.size)
+            shift = free - step * (counts.cumsum() - counts)
+            at = shift[letters] + step * np.arange(len(letters))
+            free += step * counts
+        else:
+            heads = np.concatenate([[0], np.flatnonzero(letters[1:] != letters[:-1]) + 1])
+            counts = np.concatenate([heads[1:], [len(letters)]]) - heads
+            own = letters[heads]
+            at = np.repeat(free[own] - step * heads, counts) + step * np.arange(len(letters))
+            free[own] += step * counts
+        self.order[at if step > 0 else at - 1] = places
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start places of the suffixes of `text` in order, the end of the text being smaller than any letter.
 
-    With a depth, suffixes that agree on so many letters may stand in any order. The leftmost-smaller suffixes are sorted
-    through the string of their substrings' names: by induction again where that has few letters, else by doubling.
+    The leftmost-smaller substrings are sorted by a first induction and named; while names are shared, the string of the
+    names is sorted the same way, down to any depth; its order seeds the final induction. A name beyond LETTERS letters is
+    written as two digits, which keeps the order of suffixes that start at a first digit.
     """
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text)
     n = len(text)
     if n < 2:
         return np.arange(n)
     size = int(text.max()) + 1
-    if size > LETTERS:
-        return _doubled(text, n if depth is None else depth)
+    text = text.astype(np.uint16 if size <= 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
     small = classify(text)
     left = _leftmost(small)
+    buckets = _Buckets(text, size)
+    first = buckets.induce(left)
     if len(left) < 2:
-        return _induce(text, small, left, size)
-    first = _induce(text, small, left, size)
+        return first
     is_left = np.zeros(n, bool)
     is_left[left] = True
     ordered = first[is_left[first]]
-    # substrings run to the next leftmost-smaller place inclusive; equal neighbours in order get one name
-    number = np.empty(n, np.int64)
-    number[left] = np.arange(len(left))
-    stops = np.r_[left[1:] + 1, n]
-    sums = prefix_sums(text)
-    lengths = stops - left
-    key = hashes(sums, left, lengths)
+    names, count = _named(text, left, ordered)
+    if count < len(left):
+        if count > LETTERS and 5 * len(left) <= 2 * n:
+            base = math.isqrt(count - 1) + 1
+            digits = suffix_array(np.stack([names // base, names % base], axis=1).ravel())
+            ordered = left[digits[digits % 2 == 0] // 2]
+        else:
+            ordered = left[suffix_array(names)]
+    return buckets.induce(ordered)
+
+
+def _named(text: np.ndarray, left: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each leftmost-smaller substring's name by its order, equal ones alike, and the number of names.
+
+    Substrings run to the next leftmost-smaller place inclusive; that to the end of the text has no equal.
+    """
+    m = len(left)
+    number = np.empty(len(text), np.int64)
+    number[left] = np.arange(m)
+    lengths = np.r_[left[1:] + 1, len(text)] - left
+    key = hashes(prefix_sums(text), left, lengths)
     at = number[ordered]
-    same = (key[at[1:]] == key[at[:-1]]) & (lengths[at[1:]] == lengths[at[:-1]]) & (at[1:] != len(left) - 1) & (at[:-1] != len(left) - 1)
-    names = np.empty(len(left), np.int64)
+    same = (key[at[1:]] == key[at[:-1]]) & (lengths[at[1:]] == lengths[at[:-1]]) & (at[1:] != m - 1) & (at[:-1] != m - 1)
+    names = np.empty(m, np.int64)
     names[at] = np.cumsum(np.r_[0, ~same])
-    if names.max() + 1 < len(left):
-        ordered = left[suffix_array(names, depth)]
-    return _induce(text, small, ordered, size)
+    return names, int(names.max()) + 1
 
 
-def _doubled(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order by ranks of ever longer prefixes, until all differ or `depth` letters are compared."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1] + 1
-    covered = 1
-    order = np.argsort(rank, kind="stable")
-    while covered < depth:
-        key = rank * np.int64(n + 2)
-        key[: n - covered] += rank[covered:] if covered < n else 0
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[1, key[1:] != key[:-1]])
-        if rank[order[-1]] == n:
-            break
-        covered *= 2
-    return order
-
-
-def permuted_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
-    """By place in the text: the length, up to `bound`, of the common prefix of a suffix and the one before it in order.
-
-    Lengths are found by halves, on hashes of substrings, all suffixes at once.
+def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """By place in the text: the length of the common prefix of a suffix and the one before it in the order.
+
+    Where the letters before both are equal, the length is that of the place before less one; only at the other places
+    are prefixes compared, by hashes of doubling and then halving length, all of those places at once.
     """
     n = len(text)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    sums = prefix_sums(text)
-    a, b = order[1:].copy(), order[:-1].copy()
-    room = np.minimum(n - np.maximum(a, b), bound)
-    length = np.zeros(n - 1, np.int64)
-    step = 1 << max(0, int(bound).bit_length() - 1)
-    while step:
-        fits = np.flatnonzero(length + step <= room)
-        x, y = a[fits] + length[fits], b[fits] + length[fits]
-        equal = hashes(sums, x, step) == hashes(sums, y, step)
-        length[fits[equal]] += step
-        step >>= 1
-    out[a] = length
-    return out
-
-
-def reaching(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
-    """By place in the order, from its second one: whether the common prefix with the one before reaches `bound`."""
-    out = np.zeros(max(0, len(text) - 1), bool)
-    if len(text) > bound:
-        fits = np.flatnonzero(np.maximum(order[1:], order[:-1]) + bound <= len(text))
-        sums = prefix_sums(text)
-        out[fits] = hashes(sums, order[1:][fits], bound) == hashes(sums, order[:-1][fits], bound)
-    return out
+    other = np.full(n, -1)
+    other[order[1:]] = order[:-1]
+    reducible = np.zeros(n, bool)
+    reducible[1:] = (other[1:] > 0) & (other[:-1] >= 0)
+    at = np.flatnonzero(reducible)
+    reducible[at] = text[at - 1] == text[other[at] - 1]
+    own = np.flatnonzero(~reducible & (other >= 0))
+    out[own] = _common(prefix_sums(text), own, other[own], n)
+    last = np.maximum.accumulate(np.where(reducible, 0, np.arange(n)))
+    return out[last] - np.where(reducible, np.arange(n) - last, 0)
+
+
+def _common(sums: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    length, room = np.zeros(len(a), np.int64), n - np.maximum(a, b)
+    less_than = np.zeros(len(a), np.int64)  # a prefix is shorter than what was found and the step that failed
+
+    def tried(rows: np.ndarray, step: int) -> np.ndarray:
+        rows = rows[length[rows] + step <= room[rows]]
+        x, y = a[rows] + length[rows], b[rows] + length[rows]
+        rows = rows[hashes(sums, x, step) == hashes(sums, y, step)]
+        length[rows] += step
+        return rows
+
+    going, step = np.arange(len(a)), 8
+    while len(going):
+        less_than[going] = step
+        going = tried(going, step)
+        step *= 2
+    while step > 1:
+        step //= 2
+        tried(np.flatnonzero(less_than > step), step)
+    return length

@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm import minhash, repeats, vectors
+from tessella.llm import minhash, repeats, suffixes, vectors
 from tessella.llm.components import connected_components
-from tessella.llm.suffixes import permuted_prefixes, reaching, suffix_array
+from tessella.llm.suffixes import permuted_prefixes, suffix_array
 
 
 def smallest_reachable(ids, links):
@@ -94,20 +94,24 @@ def test_one_document_of_each_group_stays(spark, docs_of):
     assert minhash.keep_one_of_each(docs_of([])).count() == 0
 
 
-def test_suffix_arrays_equal_sorting():
+@pytest.mark.parametrize("most", [1024, 3, 2])
+def test_suffix_arrays_equal_sorting(monkeypatch, most):
+    """Down to small alphabets, where names are written as digits and sorted again, level by level."""
+    monkeypatch.setattr(suffixes, "LETTERS", most)
     random.seed(3)
-    for _ in range(400):
-        n, letters = random.randint(0, 60), random.choice([1, 2, 3, 6])
-        text = np.array([random.randint(0, letters - 1) for _ in range(n)], np.int64)
-        order = suffix_array(text)
-        assert order.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
-        lengths = permuted_prefixes(text, order, 7)
-        near = reaching(text, order, 3)
-        for r, (a, b) in enumerate(zip(order[1:], order[:-1], strict=True)):
+    for _ in range(300):
+        n, letters = random.randint(0, 70), random.choice([1, 2, 3, 6, 40])
+        text = [random.randint(0, letters - 1) for _ in range(n)]
+        if random.random() < 0.3:
+            text = text[: random.randint(1, 9)] * 7
+        order = suffix_array(np.array(text, np.int64))
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        lengths = permuted_prefixes(np.array(text, np.int64), order)
+        for a, b in zip(order[1:], order[:-1], strict=True):
             k = 0
-            while k < 7 and a + k < n and b + k < n and text[a + k] == text[b + k]:
+            while a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
                 k += 1
-            assert lengths[a] == k and near[r] == (k >= 3)
+            assert lengths[a] == k
 
 
 def brute_repeats(texts, match):
@@ -157,6 +161,25 @@ def test_hot_anchors_keep_real_places(spark, docs_of, seed):
     assert got == dict(enumerate(brute_repeats(texts, 80)))
 
 
+def test_repeats_in_very_long_texts_and_a_hot_passage(spark, docs_of, monkeypatch):
+    """Texts far longer than a slice, runs of one letter, and a passage in so many documents that its anchor is hot."""
+    from tessella.llm import picking
+
+    monkeypatch.setattr(picking, "HOT_ROWS", 5)
+    random.seed(6)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = word(500)
+    long = word(3_000_000)
+    texts = [long, "q" * 50_000, word(30) + passage + word(40) + "q" * 700, long[1_000_000:1_000_900]]
+    texts += [word(random.randint(0, 90)) + passage + word(random.randint(0, 90)) for _ in range(30)]
+    rows = {r.doc_id: r for r in repeats.remove_repeats(docs_of(texts)).collect()}
+    assert (rows[0].n_removed, rows[0].n_spans) == (900, 1) and bytes(rows[0].kept) == (long[:1_000_000] + long[1_000_900:]).encode()
+    assert rows[1].n_removed == 50_000 and rows[3].n_removed == 900
+    assert rows[2].n_removed >= 1200 and rows[2].n_spans == 2
+    want = brute_repeats(texts[4:], 400)
+    assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, bytes(rows[i].kept)) for i in range(4, 34)] == want
+
+
 def test_repeats_of_nothing_and_of_repeated_rows(spark, docs_of):
     assert repeats.remove_repeats(docs_of([]), 80).count() == 0
     rows = repeats.remove_repeats(docs_of(["q" * 10 + "abc" * 40, "unlike " * 3, "q" * 10 + "abc" * 40], ids=[1, 1, None]), 80).collect()
