@@ -1,8 +1,8 @@
 """Removal of repeated passages: suffix arrays of shards that hold every copy of a passage.
 
-1. Winnowing: the least hash of ANCHORS[0]-byte strings within any MATCH bytes is an anchor, so equal strings of MATCH bytes
-   share one. Only places around anchors that occur again can hold a repeated string.
-2. Those places' bytes go to shards by the anchor. Equal pieces are one piece with a number of copies, covered whole.
+1. Winnowing: the least hash of the shorter strings within any MATCH bytes is their anchor, so equal strings of MATCH bytes
+   share it. Only strings whose anchor occurs again can repeat.
+2. Runs of such strings go to shards by the anchor. Equal pieces are one piece with a number of copies, covered whole.
 3. A shard's suffix array is induced. Strings that start more than once stand together in it: their permuted common
    prefixes reach the match. They are told apart from the same place seen through two anchors by document and offset.
 An anchor whose pieces exceed a shard is split by anchors of longer strings, up to MATCH bytes, where all pieces are equal.
@@ -27,7 +27,7 @@ from tessella.storage import materialize
 MATCH = 400
 #: Lengths of anchors as shares of the match, from the first to the last split.
 LADDER = (0.5, 0.75, 0.9, 0.97, 1.0)
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 #: Pieces of one anchor of more bytes are split by longer anchors.
 HOT_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
@@ -45,26 +45,21 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(onward[:n], up_to[width - 1 : width - 1 + n])
 
 
-def anchors(raw: np.ndarray, size: int, match: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the `size`-byte strings that are the least of some `match` bytes; `raw` has at least `match`."""
+def pieces_of(raw: np.ndarray, size: int, match: int) -> tuple[np.ndarray, ...]:
+    """(key, start, stop, times) of the runs of `match`-byte strings that have the same anchor, the least hash of their
+    `size`-byte strings; times counts the places of that anchor in `raw`, which has at least `match` bytes.
+    """
     sums = prefix_sums(raw)
     own = scramble(hashes(sums, np.arange(len(raw) - size + 1), size))
     width = match - size + 1
     least = _slide(own, width, np.minimum)
+    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    tails = np.concatenate([heads[1:], [len(least)]]) - 1
     edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == own)
-    return at, own[at]
-
-
-def pieces_of(raw: np.ndarray, size: int, match: int) -> tuple[np.ndarray, ...]:
-    """(key, start, stop, times): for each anchor the bytes of all strings around it, overlapping ones of a key joined."""
-    at, own = anchors(raw, size, match)
-    order = np.lexsort((at, own))
-    at, own = at[order], own[order]
-    fresh = np.r_[True, (own[1:] != own[:-1]) | (at[1:] - at[:-1] > match)]
-    heads = np.flatnonzero(fresh)
-    tails = np.r_[heads[1:], len(at)] - 1
-    return own[heads].view(np.int64), np.maximum(at[heads] - (match - size), 0), np.minimum(at[tails] + match, len(raw)), tails - heads + 1
+    anchors = own[_slide(np.concatenate([edge, least, edge]), width, np.maximum) == own]
+    names, counts = np.unique(anchors, return_counts=True)
+    keys = least[heads]
+    return keys.view(np.int64), heads, tails + match, counts[np.searchsorted(names, keys)]
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], size: int, match: int) -> Iterator[pa.RecordBatch]:
@@ -215,7 +210,7 @@ def _sharded(pieces: DataFrame, match: int, shard_bytes: int) -> DataFrame:
     pieces = materialize(pieces, "repeats-sharded")
     total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(1, int(np.ceil(total / shard_bytes)))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard")
     found = dealt.groupBy("shard").applyInPandas(lambda shard: repeated_in_shard(shard, match), "id long, d long, start long, stop long")
     return materialize(found, "repeats-found")
 

@@ -46,6 +46,7 @@ class _Buckets:
 
     def __init__(self, text: np.ndarray, size: int) -> None:
         self.text, self.size, n = text, size, len(text)
+        self.previous = np.concatenate([text[-1:], text[:-1]])  # each suffix's letter before; the first one's is set by the pass
         self.ends = np.cumsum(np.bincount(text, minlength=size))
         self.begins = np.r_[0, self.ends[:-1]]
         self.order = np.empty(n, np.int64)
@@ -66,6 +67,7 @@ class _Buckets:
         order[head[text[n - 1]]] = n - 1
         head[text[n - 1]] += 1
         full = begins.copy()
+        self.previous[0] = 0
         for c, a in enumerate(begins.tolist()):
             block = seeds[bounds[c] : bounds[c + 1]]
             if head[c] > a:
@@ -76,6 +78,7 @@ class _Buckets:
             if len(block):
                 self._put(block, head, c, 1)
         tail = ends.copy()
+        self.previous[0] = self.size - 1
         for c in range(self.size - 1, -1, -1):
             b = int(ends[c])
             block = order[begins[c] : full[c]][::-1]
@@ -91,7 +94,7 @@ class _Buckets:
         """The suffixes of a bucket that others put there, and after them those that they put into it themselves: the
         ones before them in a run of the letter, the nearest first.
         """
-        more = self.before[block]
+        more = self.before.take(block)
         if not more.any():
             return block
         lengths = more + 1
@@ -100,18 +103,17 @@ class _Buckets:
 
     def _put(self, block: np.ndarray, free: np.ndarray, c: int, step: int) -> None:
         """Put the suffixes before those of a block, if of the pass's type, at the free places of their letters."""
-        letters = self.text[block - 1]  # of the whole text's first suffix the last letter, which is taken out next
-        wanted = letters > c if step > 0 else letters < c
-        wanted &= block > 0
-        places, letters = block[wanted] - 1, letters[wanted]
-        if not len(places):
+        letters = self.previous.take(block)
+        wanted = np.flatnonzero(letters > c if step > 0 else letters < c)
+        if not len(wanted):
             return
+        letters = letters.take(wanted)
         by = letters.argsort(kind="stable")
-        places, letters = places[by], letters[by]
+        letters, places = letters.take(by), block.take(wanted.take(by)) - 1
         if self.size <= LETTERS:
             counts = np.bincount(letters, minlength=self.size)
             shift = free - step * (counts.cumsum() - counts)
-            at = shift[letters] + step * np.arange(len(letters))
+            at = shift.take(letters) + step * np.arange(len(letters))
             free += step * counts
         else:
             heads = np.concatenate([[0], np.flatnonzero(letters[1:] != letters[:-1]) + 1])
@@ -134,7 +136,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     size = int(text.max()) + 1
-    text = text.astype(np.uint16 if size <= 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
+    text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int64)  # short ones sort by radix
     small = classify(text)
     left = _leftmost(small)
     buckets = _Buckets(text, size)
