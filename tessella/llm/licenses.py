@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,43 +40,49 @@ class Scanner:
         self.rules = [(rule, _compiled(rule.pattern)) for rule in rules()]
         self.base = [(label, phrase.split(" ")[-1].encode(), _compiled(phrase)) for phrase, label in BASE]
         # a keyword of several words is looked for by its longest one, as any separators may stand between them
-        needed = [{max(k.split(" "), key=len) for k in rule.keywords} for rule, _ in self.rules]
+        needed = [{max(k.split(" "), key=len) for k in rule.keywords if k} for rule, _ in self.rules]
         names = sorted(set().union(*needed))
         number = {name: i for i, name in enumerate(names)}
-        self.needed = [{number[k] for k in keys} for keys in needed]
+        often = Counter(k for keys in needed for k in keys)
+        #: Rules by the keyword that fewest rules share, with the other keywords that they need.
+        self.gated: dict[int, list[tuple[int, frozenset[int]]]] = {}
+        for i, keys in enumerate(needed):
+            self.gated.setdefault(number[min(keys, key=lambda k: (often[k], k))], []).append((i, frozenset(number[k] for k in keys)))
         self.automaton = ahocorasick.Automaton()
         for name, i in number.items():
             self.automaton.add_word(name, i)
         self.automaton.make_automaton()
-        # of the words that a match cannot lack, at least one stands in a text with a match
-        self.gate = re.compile(b"|".join(sorted({b"licen", b"spdx", b"copyright", b"domain", b"reserved", b"reproduced", b"permission",
-            b"redistribut", b"proprietary", b"internal", b"warrant", *(max(n.split(" "), key=len).encode() for n in _UNMARKED)})))
 
     def base_places(self, text: bytes) -> list[tuple[int, int, str]]:
         return sorted((m.start(), m.end(), label) for label, word, p in self.base if word in text for m in p.finditer(text))
 
     def detections(self, text: bytes) -> list[tuple[int, int, str, int]]:
         """(start, stop, label, priority) that remain, by start; bytes of the lower-cased text."""
-        if not self.gate.search(text):
-            return []
         seen = {i for _, i in self.automaton.iter(text.decode("latin-1"))}
-        if not seen:
-            return []
         found: dict[int, list[tuple[int, int, int, str]]] = {}
-        for (rule, pattern), needed in zip(self.rules, self.needed, strict=True):
-            if needed <= seen:
-                found.setdefault(-rule.priority, []).extend((m.start(), -m.end(), rule.rank, rule.label) for m in pattern.finditer(text))
-        kept: list[tuple[int, int, str, int]] = []
-        for negative in sorted(found):
-            taken = _merged([(a, b) for a, b, _, _ in kept])
-            starts = [a for a, _ in taken]
-            furthest = -1
-            for start, minus_stop, _, label in sorted(found[negative]):
-                i = bisect_left(starts, -minus_stop) - 1  # the last span of higher priority that starts before its end
-                if -minus_stop > furthest and (i < 0 or taken[i][1] <= start):
-                    kept.append((start, -minus_stop, label, -negative))
-                    furthest = -minus_stop
-        return sorted(kept)
+        for gate in seen & self.gated.keys():
+            for i, needed in self.gated[gate]:
+                if needed <= seen:
+                    rule, pattern = self.rules[i]
+                    found.setdefault(-rule.priority, []).extend((m.start(), -m.end(), rule.rank, rule.label) for m in pattern.finditer(text))
+        return resolved(found)
+
+
+def resolved(found: dict[int, list[tuple[int, int, int, str]]]) -> list[tuple[int, int, str, int]]:
+    """What remains of matches (start, -stop, rank, label) by negative priority: a match that overlaps a kept one of higher
+    priority goes, and so does one that lies within a kept one of its own priority; of equal spans the first rule stays.
+    """
+    kept: list[tuple[int, int, str, int]] = []
+    for negative in sorted(found):
+        taken = _merged([(a, b) for a, b, _, _ in kept])
+        starts = [a for a, _ in taken]
+        furthest = -1
+        for start, minus_stop, _, label in sorted(found[negative]):
+            i = bisect_left(starts, -minus_stop) - 1  # the last span of higher priority that starts before its end
+            if -minus_stop > furthest and (i < 0 or taken[i][1] <= start):
+                kept.append((start, -minus_stop, label, -negative))
+                furthest = -minus_stop
+    return sorted(kept)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,10 +95,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-# Names that can stand alone and hold none of the gate's common words.
-_UNMARKED = ("agpl", "creative commons", "cc by", "cc0", "cddl", "cecill", "eupl", "gfdl", "gpl", "odbl", "wtfpl")
-
-
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     return Scanner()
