@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-A tree splits by random directions at the median of a sample; vectors near a split go down both sides. Vectors are compared
-within leaves only. A pair that meets in several leaves is counted in the first of them, which each leaf can tell by
+A tree splits by random directions at the median of a sample; vectors near a split go down both sides. The upper levels are
+fitted on a sample of all vectors. Leaves that hold more than MOST are split again, on samples of their own, until none does
+that can be split, so that a leaf's size does not grow with the table. Vectors are compared within leaves only. A pair that meets in several leaves is counted in the first of them, which each leaf can tell by
 itself, so a leaf gives counts and a spanning forest of its links and never all its pairs.
 """
 
@@ -27,9 +28,17 @@ TREES = 6
 #: Half the width of the band around a split that goes down both sides, for unit vectors.
 SPILL = 0.02
 LEAF = 400
+#: Leaves of more vectors are split again, on at most so many of their vectors and by so many levels at a time.
+MOST, SPLIT_SAMPLE, SPLIT_DEPTH, SPLIT_ROUNDS = 2048, 2048, 8, 3
+#: A node is no more split where its split would send more than this share of its sample down both sides.
+OVERLAP = 0.5
+#: Up to so many splits are broadcast to the rows of their leaves; beyond it rows and splits are shuffled.
+BROADCAST_SPLITS = 10_000
 #: Leaves of more vectors are compared block by block, every pair of blocks in a task of its own.
 BLOCK = 1024
 SEED = 7
+#: Trees from this number on are those of vectors that have another length than the most.
+OTHERS = 1000
 
 
 @dataclass(frozen=True)
@@ -45,23 +54,29 @@ class Tree:
         rows, nodes = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         for _ in range(self.depth):
             side = np.einsum("ij,ij->i", unit[rows], self.directions[nodes]) - self.thresholds[nodes]
-            left, right = side <= SPILL, side >= -SPILL
+            left, right = ~(side > SPILL), side >= -SPILL  # without a threshold all go left
             rows, nodes = np.r_[rows[left], rows[right]], np.r_[2 * nodes[left] + 1, 2 * nodes[right] + 2]
         return rows, nodes
 
 
-def fit_tree(sample: np.ndarray, depth: int, seed: int) -> Tree:
-    random = np.random.default_rng(seed)
-    inner = (1 << depth) - 1
-    directions = random.standard_normal((max(inner, 1), sample.shape[1]))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    thresholds, held = np.zeros(max(inner, 1)), {0: sample}
-    for node in range(inner):
+def _directions(depth: int, dimension: int, seed) -> np.ndarray:
+    directions = np.random.default_rng(seed).standard_normal((max((1 << depth) - 1, 1), dimension))
+    return directions / np.linalg.norm(directions, axis=1, keepdims=True)
+
+
+def fit_tree(sample: np.ndarray, depth: int, seed) -> Tree:
+    """A tree whose splits are at the sample's medians; a node that cannot be split has NaN for a threshold."""
+    directions = _directions(depth, sample.shape[1], seed)
+    thresholds, held = np.full(len(directions), np.nan), {0: sample}
+    for node in range((1 << depth) - 1):
         part = held.pop(node)
         side = part @ directions[node]
-        if len(part):
-            thresholds[node] = np.median(side)
-        held[2 * node + 1], held[2 * node + 2] = part[side <= thresholds[node]], part[side > thresholds[node]]
+        if len(part) > 1:
+            middle = np.median(side)
+            if (np.abs(side - middle) <= SPILL).mean() <= OVERLAP:
+                thresholds[node] = middle
+        left = ~(side > thresholds[node])
+        held[2 * node + 1], held[2 * node + 2] = part[left], part[~left]
     return Tree(directions, thresholds, depth)
 
 
@@ -98,8 +113,8 @@ def _indexed(batches: Iterator[pa.RecordBatch], trees: list[Tree], dimension: in
             for number, tree in enumerate(trees):
                 for row, leaf in zip(*(x.tolist() for x in tree.leaves(unit)), strict=True):
                     places[same[row]].append((number, leaf))
-        for i in other:  # vectors of another length meet in one leaf for their length
-            places[i].append((0, -len(raws[i])))
+        for i in other:  # vectors of another length have trees of their own, which begin as one leaf
+            places[i] += [(OTHERS + len(trees) * (len(raws[i]) // 8) + t, 0) for t in range(len(trees))]
         origin = np.repeat(np.arange(len(raws)), [len(p) for p in places])
         codes = [[(t << 40) + leaf for t, leaf in p] for p in places]
         flat = [x for p in places for x in p]
@@ -109,6 +124,63 @@ def _indexed(batches: Iterator[pa.RecordBatch], trees: list[Tree], dimension: in
         yield pa.RecordBatch.from_arrays(columns, names=["id", "copies", "raw", "tree", "leaf", "places"])
 
 
+def _fitted_split(group: pd.DataFrame, leaf_size: int) -> pd.DataFrame:
+    """The thresholds of a leaf's split, from a sample of its vectors; none where it cannot be split."""
+    tree, leaf, n = (int(group[c].iloc[0]) for c in ("tree", "leaf", "n"))
+    depth = min(SPLIT_DEPTH, max(1, int(np.ceil(np.log2(n / leaf_size)))))
+    fitted = fit_tree(_unit(group["raw"].tolist()), depth, [SEED, tree, leaf])
+    if np.isnan(fitted.thresholds[0]):
+        return pd.DataFrame({"tree": [], "leaf": [], "thresholds": []}).astype({"tree": "int32", "leaf": "int64", "thresholds": object})
+    return pd.DataFrame({"tree": [np.int32(tree)], "leaf": [leaf], "thresholds": [fitted.thresholds.tobytes()]})
+
+
+def _resettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of leaves that are split, each in its new leaves; rows come sorted by leaf."""
+    for batch in batches:
+        trees, leaves = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "leaf"))
+        heads = np.flatnonzero(np.r_[True, (trees[1:] != trees[:-1]) | (leaves[1:] != leaves[:-1])]) if len(trees) else np.zeros(0, int)
+        origin, fresh = [], []
+        for a, b in zip(heads, np.r_[heads[1:], len(trees)], strict=True):
+            thresholds = np.frombuffer(batch.column("thresholds")[a].as_py())
+            depth, unit = len(thresholds).bit_length(), _unit(batch.column("raw").slice(a, b - a).to_pylist())
+            tree = Tree(_directions(depth, unit.shape[1], [SEED, int(trees[a]), int(leaves[a])]), thresholds, depth)
+            rows, nodes = tree.leaves(unit)
+            origin.append(a + rows)
+            fresh.append((int(leaves[a]) << SPLIT_DEPTH + 1) + nodes)
+        if origin:
+            same = pa.array(np.concatenate(origin))
+            columns = [batch.column(c).take(same) for c in ("id", "copies", "raw", "tree")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(fresh), pa.int64())], names=["id", "copies", "raw", "tree", "leaf"])
+
+
+def split_large_leaves(placed: DataFrame) -> DataFrame:
+    """`placed` with its leaves of more than MOST vectors split again, and the places of vectors as they then are."""
+    before, leaf_size = placed, LEAF
+    for _ in range(SPLIT_ROUNDS):
+        large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > MOST)
+        large = materialize(large, "vectors-large")
+        many = large.count()
+        if not many:
+            break
+        hint = F.broadcast if many <= BROADCAST_SPLITS else (lambda frame: frame)
+        drawn = placed.join(hint(large), ["tree", "leaf"]).filter(F.pmod(F.xxhash64("id", "tree", "leaf"), "n") < SPLIT_SAMPLE)
+        splits = drawn.select("tree", "leaf", "n", "raw").groupBy("tree", "leaf").applyInPandas(
+            lambda group: _fitted_split(group, leaf_size), "tree int, leaf long, thresholds binary"
+        )
+        splits = materialize(splits, "vectors-splits")
+        if splits.isEmpty():
+            break
+        rows = placed.select("id", "copies", "raw", "tree", "leaf")
+        moved = rows.join(hint(splits), ["tree", "leaf"]).sortWithinPartitions("tree", "leaf")
+        moved = moved.mapInArrow(_resettled, "id long, copies long, raw binary, tree int, leaf long")
+        stay = rows.join(hint(splits.select("tree", "leaf")), ["tree", "leaf"], "left_anti")
+        placed = materialize(stay.select(moved.columns).unionByName(moved), "vectors-placed")
+    if placed is before:
+        return placed
+    code = F.shiftleft(F.col("tree").cast("long"), 40) + F.col("leaf")
+    return placed.join(placed.groupBy("id").agg(F.collect_list(code).alias("places")), "id")
+
+
 def _met_before(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, place: int) -> np.ndarray:
     """Which of the pairs share a leaf whose code is below `place`: one of an earlier tree, or an earlier one of this."""
     involved = np.unique(np.r_[a, b])
@@ -187,15 +259,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     able = nodes.filter((F.octet_length("raw") == size) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share))
     drawn = able.orderBy(F.xxhash64("id"), "id").limit(sample).select("raw").collect()
     unit = _unit([r["raw"] for r in drawn])
-    depth = max(0, int(np.ceil(np.log2(count / LEAF)))) if count > BLOCK else 0
-    depth = min(depth, max(0, int(np.log2(len(unit) / 8))))
-    forest = [fit_tree(unit, depth, seed + t) for t in range(trees if depth else 1)]
+    depth = min(max(1, int(np.ceil(np.log2(count / LEAF)))), max(0, int(np.log2(len(unit) / 8))))
+    forest = [fit_tree(unit, depth, seed + t) for t in range(trees)]
     shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by the sample's
     placed = nodes.select("id", "copies", "raw").mapInArrow(
         lambda batches: _indexed(batches, shared.value, size // 8),
         "id long, copies long, raw binary, tree int, leaf long, places array<long>",
     )
-    placed = materialize(placed, "vectors-placed")
+    placed = split_large_leaves(materialize(placed, "vectors-placed"))
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -220,6 +291,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 
 def op7_projection_forest(spark, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector: near_vectors with its defaults."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

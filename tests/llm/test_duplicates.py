@@ -221,15 +221,62 @@ def test_vectors_equal_brute_force(spark):
     check_vectors(spark, rows)
 
 
-def test_forest_with_spill_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LEAF", 40)
-    monkeypatch.setattr(vectors, "BLOCK", 64)
-    rows = near_rows(400, [150, 20, 3], seed=4)
+def recall_of(spark, rows):
     links = brute_links(rows)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
-    total = sum(map(len, links.values()))
-    assert all(got[i] <= len(links[i]) for i in links) and sum(got.values()) >= 0.97 * total
+    assert len(got) == len(rows) and all(got[i] <= len(links[i]) for i in links)
+    return sum(got.values()), sum(map(len, links.values()))
+
+
+def test_forest_with_spill_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    found, total = recall_of(spark, near_rows(400, [150, 20, 3], seed=4))
+    assert found >= 0.97 * total
+
+
+def linked_rows(n, seed):
+    """Pairs and small groups of 64 dimensions with cosines around 0.95."""
+    random = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < n:
+        centre = random.normal(size=64)
+        rows += [centre + random.normal(size=64) * random.uniform(0.1, 0.17) for _ in range(random.integers(1, 5))]
+    return rows
+
+
+@pytest.mark.parametrize("tight", [0, 300])
+def test_leaves_are_split_until_they_are_small(spark, monkeypatch, tight):
+    """A small sample fits few levels, so that most splits are made leaf by leaf; a tight group cannot be split."""
+    for name, value in (("LEAF", 40), ("BLOCK", 64), ("MOST", 120), ("SPLIT_SAMPLE", 100)):
+        monkeypatch.setattr(vectors, name, value)
+    random = np.random.default_rng(3)
+    centre = random.normal(size=64)
+    rows = linked_rows(2500, 5) + [centre + random.normal(size=64) * 0.01 for _ in range(tight)]
+    links = {i: 0 for i in range(len(rows))}
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = near.sum(axis=1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_vectors(frame, sample=64).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum() and links[:2500].sum() > 1000
+    if tight:
+        assert (found[-tight:] >= tight - 1).all() and len({got[i].component_id for i in range(len(rows) - tight, len(rows))}) == 1
+
+
+def test_a_split_leaf_is_bounded():
+    random = np.random.default_rng(1)
+    unit = random.normal(size=(4000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tree = vectors.fit_tree(unit, 4, 1)
+    _, leaves = tree.leaves(unit)
+    assert np.bincount(leaves).max() < 800
+    same = np.repeat(unit[:1], 50, axis=0) + random.normal(size=(50, 64)) * 1e-4
+    rows, _ = vectors.fit_tree(same, 4, 1).leaves(same)
+    assert len(rows) == 50  # no split, no copies
 
 
 def test_vectors_of_nothing(spark):
