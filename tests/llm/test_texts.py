@@ -313,6 +313,39 @@ def test_toxicity_on_held_out_labels(spark, docs_of, tmp_path):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_features_equal_plain_compression():
+    """Every window compressed afresh, without a memory of windows."""
+    texts, toxic = labelled(200, 5)
+    model = toxicity.model_of([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y], 0.3)
+    scorer = toxicity._Scorer(model)
+    for text in [*texts[:30], "", "a", "one two", "É!" * 5000]:
+        words = re.findall(r"[^\W\d_]+", text.lower()) or [""]
+        want = [np.log(len(words))]
+        for times in toxicity.WRITTEN:
+            for other in (model.toxic, model.strong):
+                sizes = [[len(toxicity._Scorer._compressor(d).compress((f" {w}" * times + " ").encode())) for d in (model.ordinary, other)] for w in words[:400]]
+                gains = sorted((a - b for a, b in sizes), reverse=True)
+                if len(words) > 400:
+                    gains = gains[:1] * len(words)
+                want += [gains[0], sum(gains[:3]) / 3]
+                for least in toxicity._GAINS:
+                    n = sum(g > least for g in gains)
+                    want += [n / len(words), np.log1p(n)]
+        for _ in range(2):  # from memory the second time
+            assert np.allclose(scorer.features(text), want)
+
+
+def test_copies_of_a_toxic_text_count_once():
+    assert toxicity._unlike(["bad words here", "Bad words, here!", "other words", ""]) == ["bad words here", "other words", ""]
+
+
+def test_toxicity_of_very_long_texts(spark, docs_of):
+    texts, toxic = labelled(200, 5)
+    model = toxicity.model_of([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y], 0.3)
+    rows = toxicity.score_toxicity(docs_of([" ".join(texts[:100]) * 60, "z" * 3_000_000]), model).collect()
+    assert len(rows) == 2 and all(0 <= r.toxicity <= 1 for r in rows)
+
+
 def test_toxicity_without_labels(spark, docs_of):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     docs = docs_of(["a", None, "b"], ids=[1, 2, None])
@@ -328,5 +361,5 @@ def test_rare_toxic_words_enter_whatever_the_sample():
     plain = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
     text = lambda *extra: " ".join([*random.choices(plain, k=20), *extra])
     toxic = [text("common") for _ in range(960)] + [text("zorkelquist") for _ in range(40)]
-    _, words = toxicity._dictionaries(toxic, [text() for _ in range(2000)])
+    _, words, _ = toxicity._dictionaries(toxic, [text() for _ in range(2000)])
     assert b"common" in words and b"zorkelquist" in words
