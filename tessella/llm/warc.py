@@ -22,6 +22,8 @@ from tessella.llm.files import open_folder, whole_file
 from tessella.storage import materialize, shared_folder
 
 CHUNK_BYTES = 1 << 20
+#: Chunks leave a task in batches of about so many bytes, however long their payload is.
+BATCH_BYTES = 4 << 20
 #: Payloads of at least so many bytes become revisits of an equal one.
 REVISIT_BYTES = 1000
 #: Copies of the table of equal payloads, so that a payload that many pages share is joined in so many tasks.
@@ -66,23 +68,28 @@ def chunk_records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, least: int =
 
 def _chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in byte_slices(batches, "html"):
-        payloads = batch.column("html").fill_null("").cast(pa.binary())
-        origin, number, last, chunks, digests = [], [], [], [], []
-        for i, value in enumerate(payloads):
+        out: list[tuple] = []
+        held = 0
+        for i, value in enumerate(batch.column("html").fill_null("").cast(pa.binary())):
             view = memoryview(value.as_buffer())
             state = hashlib.sha1()
             for k, start in enumerate(range(0, max(1, len(view)), chunk_bytes)):
                 piece = view[start : start + chunk_bytes]
                 state.update(piece)
-                origin.append(i)
-                number.append(k)
-                last.append(start + chunk_bytes >= len(view))
-                chunks.append(bytes(piece))
-                digests.append(state.copy().hexdigest())
-        same = pa.array(origin, pa.int32())
-        columns = [batch.column(c).take(same) for c in _FIELDS]
-        columns += [pa.array(number, pa.int32()), pa.array(last), pa.array(chunks, pa.binary()), pa.array(digests)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*_FIELDS, "chunk_no", "is_last", "chunk", "sha1_so_far"])
+                out.append((i, k, start + chunk_bytes >= len(view), bytes(piece), state.copy().hexdigest()))
+                held += len(piece)
+                if held >= BATCH_BYTES:
+                    yield _chunks(batch, out)
+                    out, held = [], 0
+        if out:
+            yield _chunks(batch, out)
+
+
+def _chunks(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    origin, number, last, chunks, digests = zip(*rows, strict=True)
+    columns = [batch.column(c).take(pa.array(origin, pa.int32())) for c in _FIELDS]
+    columns += [pa.array(number, pa.int32()), pa.array(last), pa.array(chunks, pa.binary()), pa.array(digests)]
+    return pa.RecordBatch.from_arrays(columns, names=[*_FIELDS, "chunk_no", "is_last", "chunk", "sha1_so_far"])
 
 
 def write_archives(chunks: DataFrame, folder: str, date: str = DATE) -> DataFrame:
@@ -159,7 +166,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     its header says; a revisit's are those of its header.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, n_segments int"
-    spread = files.select("path").repartition(max(1, files.count()), "path")
+    spread = files.select("path").coalesce(1).repartition(max(1, files.count()))  # dealt in turn from one list of names
     return spread.mapInArrow(lambda batches: _read_archives(batches, folder), schema)
 
 
@@ -227,6 +234,9 @@ def _records(parts: Iterator[bytes]) -> Iterator[tuple]:
 
 
 def op1_warc_chunks(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as the archives that were written
+    from `pages` read back; a null html is an empty payload.
+    """
     folder = shared_folder(spark, "warc")
     files = write_archives(chunk_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     return read_archives(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -34,6 +34,17 @@ def test_chunks_carry_digests_so_far(spark):
     assert [r.sha1_so_far for r in rows[:3]] == [hashlib.sha1(b"abcdefghij"[:n]).hexdigest() for n in (4, 8, 10)]
 
 
+def test_chunks_of_an_oversized_payload_leave_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    html = "abcd" * 6_000_000
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "sha1": [""], "n_bytes": [len(html)], "refers_to": pa.array([None], pa.int64()), "html": [html]})
+    parts = list(warc._chunked([batch], 1 << 20))
+    assert max(p.nbytes for p in parts) < 6 << 20 and sum(p.num_rows for p in parts) == -(-len(html) // (1 << 20))
+    _, _, found = archive(spark, [(1, "u", html, "")], 1 << 20)
+    assert [(r.payload_bytes, r.payload_digest) for r in found] == [(len(html), hashlib.sha1(html.encode()).hexdigest())]
+
+
 def test_repeated_and_null_pages(spark):
     text = "y" * 2000
     _, _, found = archive(spark, [(1, "u", text, ""), (1, "u", text, ""), (None, "u", text, ""), (None, None, None, "")])
