@@ -95,12 +95,14 @@ class _Memo(dict):
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of every text in ascending doc_id order; one row per file: part, path, index, n_docs, n_tokens.
 
-    Texts are dealt by ranges of doc_id, so files follow each other in that order, and sorted within them. Null texts
+    Texts are dealt by ranges of doc_id and, within one that many rows have, of the text's hash, so files follow each other in
+    that order, and sorted within them. Null texts
     are empty documents, which hold the end id alone; null doc_ids come first; repeated rows are written each, in any
     order among themselves. No rows: no files.
     """
     ordered = docs.select("doc_id", "text")
-    ordered = ordered.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
 
     files = ordered.mapInArrow(
         lambda batches: _write_part(batches, tokenizer_path, folder, end_id),
@@ -161,7 +163,7 @@ def read_records(files: DataFrame, folder: str, with_ids: bool = False) -> DataF
     parts = files.select("part", "path", "n_docs", "n_tokens")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row per file
-    spread = parts.repartition(max(1, files.count()), "part")
+    spread = parts.coalesce(1).repartition(max(1, files.count()))  # dealt in turn from one list of names
     kind = "doc_id long, local long, n_tokens long, ids_crc32 long, part int" + (", ids array<int>" if with_ids else "")
     rows = spread.mapInArrow(lambda batches: _read_parts(batches, folder, with_ids), kind).join(F.broadcast(offsets), "part")
     return rows.select(
@@ -200,6 +202,9 @@ def shuffled_places(system, index_path: str, seed: int) -> list[tuple[int, int,
 
 
 def op2_token_records(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files that were written; a null text has the end
+    id alone.
+    """
     import public_tokenizers
 
     folder = shared_folder(spark, "tokens")
