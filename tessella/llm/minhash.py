@@ -6,9 +6,9 @@ candidates when two of the twelve agree, all but once in 9,000 pairs.
 
 Candidates are verified on full sets, in three steps, after each of which the links found make components. Each set is
 compared first with the smallest id that any of its buckets holds; then with the smallest ids of all its buckets that lie in
-another component; last, in the buckets that still hold several components, with every set of another component, unless
-their sizes without the shingles that no other such set has, or their one-bit sketches, rule it out. Sets of similarity 0.8 differ in a tenth of the sketch's bits; pairs that differ in
-more than MAX_BITS of 512, over four standard deviations beyond it, are not verified. Nothing is capped or sampled.
+another component; last, in the buckets that still hold several components, with every set of another component, unless bounds
+prove that it is not near: their sizes without the shingles that no other such set has, and the parities of their shingles
+in SKETCH cells, which differ in no more cells than the sets differ in shingles. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -23,21 +23,21 @@ from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices, utf8_of
 from tessella.llm.components import connected_components
-from tessella.llm.picking import pick
+from tessella.llm.picking import BROADCAST_KEYS, HOT_KEYS, HOT_ROWS, pick
 from tessella.llm.shingles import scramble, shingle_hashes, word_hashes
 from tessella.storage import materialize
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # per cent
 COLLECTIONS, ROWS = 12, 2
-SKETCH, MAX_BITS = 512, 80
+SKETCH = 512
 SLICE_BYTES = 2 << 20
-#: Up to so many ids are broadcast to pick the texts whose sets are verified; beyond it a shuffle picks them.
-BROADCAST_IDS = 1_000_000
+#: Shingles of a text that are hashed at once.
+STRIDE = 1 << 15
+#: Hubs that more pairs have are copied for so many parts of their pairs.
+SALTS = 32
 
 _SEEDS = scramble(np.arange(1, 2 * COLLECTIONS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BIT_SEEDS = scramble(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_BIT_XOR, _BIT_FACTOR = _BIT_SEEDS[:SKETCH, None], _BIT_SEEDS[SKETCH:, None] | np.uint64(1)
 _XOR, _FACTOR = _SEEDS[: COLLECTIONS * ROWS, None], _SEEDS[COLLECTIONS * ROWS :, None] | np.uint64(1)
 
 
@@ -52,7 +52,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         subs = np.zeros((len(sets), COLLECTIONS), np.uint64)
         for i, s in enumerate(sets):
             if len(s):
-                low = ((s ^ _XOR) * _FACTOR).min(axis=1).reshape(COLLECTIONS, ROWS)
+                low = np.min([((s[k : k + STRIDE] ^ _XOR) * _FACTOR).min(axis=1) for k in range(0, len(s), STRIDE)], axis=0).reshape(COLLECTIONS, ROWS)
                 subs[i] = scramble(low[:, 0] * np.uint64(0x9E3779B97F4A7C15) + low[:, 1])
                 digest[i] = s.sum(dtype=np.uint64), scramble(s).sum(dtype=np.uint64)
         flat = pa.FixedSizeListArray.from_arrays(_as_long(subs.ravel()), COLLECTIONS).cast(pa.list_(pa.int64()))
@@ -67,13 +67,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """One bit of each of SKETCH minhashes, in words of 64."""
-    if not len(shingles):
-        return np.zeros(SKETCH // 64, np.uint64)
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        np.minimum(low, ((shingles[i : i + 2048] ^ _BIT_XOR) * _BIT_FACTOR).min(axis=1), out=low)
-    return np.packbits((scramble(low) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    """Whether each of SKETCH cells has an odd number of the shingles, in words of 64."""
+    cells = np.bincount((scramble(shingles) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -92,8 +88,7 @@ _BITS = [f"bits{i}" for i in range(SKETCH // 64)]
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, shingles, sketch words) of the documents in `ids` (column id, distinct)."""
-    count = ids.count()
-    wanted = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
     kinds = ", ".join(f"{b} long" for b in _BITS)
@@ -102,9 +97,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= threshold * union."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs (a, b), a stored table, whose sets have 100 * intersection >= threshold * union.
+
+    A hub b that many pairs share has its set copied SALTS times, and its pairs dealt among the copies.
+    """
+    counts = pairs.groupBy("b").count()
+    bar = max(HOT_ROWS, pairs.count() // HOT_KEYS)
+    hot = materialize(counts.filter(F.col("count") > bar).select("b", F.lit(SALTS).alias("salts")), "minhash-hubs")
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    salted = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", salt)
+    left = salted.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    hubs = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(F.broadcast(hot), "b", "left")
+    hubs = hubs.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = left.join(hubs, ["b", "salt"])
     smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     near = both.filter(100 * smaller >= threshold * larger).select("a", "b", shared.alias("i"), (smaller + larger).alias("n"))
@@ -165,6 +170,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     component = connected_components(edges)
 
     third = _remaining(crowded, nodes, sets, component, threshold).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    third = materialize(third, "minhash-pairs")
     return materialize(edges.unionByName(verified(third, sets, threshold)), "minhash-edges")
 
 
@@ -180,7 +186,8 @@ def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component:
     """Pairs that share a bucket of three sets or more, lie in different components and may be near.
 
     A pair is taken in the first bucket that it shares, which is told by its sub-hashes. The pairs of a bucket of two
-    are compared already. Shingles that one of these sets has alone are in no intersection: with m the others of n,
+    are compared already. Near sets have at most (100 - threshold) / (100 + threshold) of their sizes' sum in one of them
+    alone, and so differ in at most so many parities. Shingles that one of these sets has alone are in no intersection: with m the others of n,
     the similarity asked for needs (100 + threshold) * least m >= threshold * (sum of n).
     """
     known = component.select("id", F.col("component"))
@@ -203,10 +210,12 @@ def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component:
     two = one + F.array_position(F.slice(agree, one.cast("int") + 1, COLLECTIONS), True)
     table = F.element_at(F.array(*(F.lit(COLLECTIONS * i + j) for i, j in combinations(range(COLLECTIONS), 2))), F.col("x.table") + 1)
     at_first = table == COLLECTIONS * (one - 1) + (two - 1)
-    return x.join(y, near & (differ <= MAX_BITS) & at_first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near &= (100 + threshold) * differ <= (100 - threshold) * (F.col("x.size") + F.col("y.size"))
+    return x.join(y, near & at_first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def op3_minhash_tensored(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document: near_duplicates on shingles of four words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
 
 

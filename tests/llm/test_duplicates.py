@@ -85,6 +85,33 @@ def test_near_misses_in_crowded_buckets(spark, docs_of):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(texts)).collect()} == want
 
 
+def test_a_hub_of_many_and_very_long_texts(spark, docs_of, monkeypatch):
+    """A hub that is dealt among copies, and texts whose shingles take many strides."""
+    monkeypatch.setattr(minhash, "HOT_ROWS", 4)
+    random.seed(11)
+    base = [f"p{i}" for i in range(100)]
+    long = [f"v{random.randint(0, 50_000)}" for _ in range(120_000)]
+    texts = [" ".join(long), " ".join(long[:110_000] + ["new"] * 3)]
+    for i in range(40):
+        words = list(base)
+        words[i * 2] = f"e{i}"
+        texts.append(" ".join(words))
+    sets = {i: shingle_set(t, 5) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    rows = minhash.near_duplicates(docs_of(texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == smallest_reachable(sets, links) and (0, 1) in links
+    assert {r.doc_id: r.n_shingles for r in rows} == {i: len(s) for i, s in sets.items()}
+
+
+def test_parities_never_differ_in_more_cells_than_sets():
+    random = np.random.default_rng(4)
+    for _ in range(200):
+        whole = random.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = whole[random.random(400) < 0.9], whole[random.random(400) < 0.8]
+        apart = len(np.setxor1d(a, b))
+        assert int(np.bitwise_count(minhash._sketch(a) ^ minhash._sketch(b)).sum()) <= apart
+
+
 def test_one_document_of_each_group_stays(spark, docs_of):
     long = " ".join(f"w{i}" for i in range(50))
     docs = docs_of([long, long + " x", None, "", "other", "other2", long], ids=[3, 1, 4, 5, 6, 6, None])
