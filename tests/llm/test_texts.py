@@ -283,13 +283,29 @@ def test_spans_or_documents_go(spark, docs_of):
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
     docs = docs_of(["clean text", f"- before, {passage.upper()}; after.", None, passage], ids=[1, 2, 3, None])
     whole = decontamination.remove_contaminated(docs, items)
-    assert whole.columns == docs.columns and sorted(r.doc_id or 0 for r in whole.collect()) == [0, 1, 3]
+    assert whole.columns == docs.columns and sorted(r.doc_id or 0 for r in whole.collect()) == [1, 3]
     cut = {r.doc_id: r.text for r in decontamination.remove_contaminated(docs, items, spans_only=True).collect()}
-    assert cut == {1: "clean text", 2: "- before, after.", 3: None, None: passage}
+    assert cut == {1: "clean text", 2: "- before, after.", 3: None, None: ""}
     assert decontamination.remove_contaminated(docs, items.limit(0)).count() == 4
     assert decontamination.contaminated_words(docs_of([]), items).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_contaminated_rows_without_an_id_of_their_own(spark, docs_of, monkeypatch, broadcast):
+    """Null and repeated ids, equal rows, a very long text: a row each."""
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    passage = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    long = "word " * 200_000 + passage + " tail"
+    docs = docs_of([passage, passage, "x y", passage, "x y", "x y", long], ids=[None, None, None, 5, 5, 5, 6])
+    rows = decontamination.contaminated_words(docs, items)
+    got = sorted((r.doc_id or 0, r.n_words, len(r.spans)) for r in rows.collect())
+    assert got == [(0, 2, 0), (0, 10, 1), (0, 10, 1), (5, 2, 0), (5, 2, 0), (5, 10, 1), (6, 200_011, 1)]
+    assert decontamination.contaminated_words(docs, items.limit(0)).count() == 7
+    assert sorted(r.doc_id or 0 for r in decontamination.remove_contaminated(docs, items).collect()) == [0, 5, 5]
+
+
 def labelled(n, seed):
     random.seed(seed)
     plain = [f"{a}{b}" for a in ("tion", "ran", "the", "ouv", "ber") for b in ("er", "ing", "ed", "al", "on", "is", "um")]
