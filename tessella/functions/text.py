@@ -20,13 +20,13 @@ def normalize(text: Column) -> Column:
 
 @pandas_udf(StringType())
 def fold_title(titles: pd.Series) -> pd.Series:
-    """Compatibility-decomposed, without accents, lower-cased, other than letters and digits to single blanks."""
+    """Compatibility-decomposed, without accents, lower-cased, all but ASCII letters and digits to single blanks."""
 
     def fold(title: str | None) -> str | None:
         if title is None:
             return None
         plain = "".join(c for c in unicodedata.normalize("NFKD", title) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
+        return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())
 
     return titles.map(fold, na_action="ignore")
 

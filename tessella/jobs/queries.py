@@ -336,13 +336,19 @@ def dense_topk_filtered(spark, sf_dir):
 
 
 @register(_DENSE.format(where="", k=20) + """,
-other AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS INTEGER) AS rank FROM dense),
+other AS (
+  SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS INTEGER) AS rank
+  FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) JOIN (SELECT vec_id FROM embeddings) ON abs(vec_id - query_id) BETWEEN 1 AND 10),
 fused AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, vec_id, rank FROM dense UNION ALL SELECT * FROM other) GROUP BY 1, 2)
 SELECT query_id, vec_id, round(rrf, 8) AS rrf FROM fused""")
 def rrf_hybrid(spark, sf_dir):
-    dense = _dense(spark, sf_dir, 20)
+    """Two lists of their own for each query, by cosine and by nearness of number; most vectors stand in one of them only."""
+    dense = _dense(spark, sf_dir, 20).select("query_id", "vec_id", "rank")
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id")
+    steps = F.explode(F.filter(F.sequence(F.lit(-10), F.lit(10)), lambda i: i != 0)).alias("step")
+    wanted = vectors.filter("vec_id % 100 = 0").distinct().select(F.col("vec_id").alias("query_id"), steps)
     near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
-    other = dense.select("query_id", "vec_id", near.alias("rank"))
+    other = wanted.withColumn("vec_id", F.col("query_id") + F.col("step")).join(vectors, "vec_id").select("query_id", "vec_id", near.alias("rank"))
     fused = retrieval.reciprocal_rank_fusion([dense, other], "vec_id")
     return fused.select("query_id", "vec_id", F.round("rrf", 8).alias("rrf"))
 
@@ -452,13 +458,31 @@ def conversation_reference(spark, sf_dir):
 
 
 @register("""
-SELECT event_id, decision, CASE decision WHEN 'error' THEN 'system_error' WHEN 'refused' THEN 'refusal_review' ELSE CASE WHEN value < 10 THEN 'low_confidence' ELSE 'no_action' END END AS triage_bucket
+SELECT event_id, decision, CASE WHEN decision = 'error' THEN 'system_error' WHEN decision = 'refused' THEN 'needs_review'
+  WHEN event_type = 'signup' OR value >= 40 THEN 'recall_miss_recovered' ELSE 'answered' END AS triage_bucket
 FROM (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'refused' ELSE 'answered' END AS decision FROM events)""")
 def query_log_triage(spark, sf_dir):
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
     kind = F.when(F.col("event_type") == "view", "refusal").otherwise("answer")
+    stage, selected = F.when(F.col("event_type") == "signup", "escalation"), F.when(F.col("value") >= 40, "multi_query_hyde_rrf")
     log = read(spark, sf_dir, "events").withColumn("decision", conversation.log_decision(status, kind))
-    return log.select("event_id", "decision", conversation.triage(F.col("decision"), F.col("value")).alias("triage_bucket"))
+    return log.select("event_id", "decision", conversation.triage(F.col("decision"), stage, selected).alias("triage_bucket"))
+
+
+@register(r"""
+WITH t AS (
+  SELECT *, CASE WHEN role = 'assistant' AND regexp_extract(text, '[a-z]{6,}', 0) <> '' THEN regexp_extract(text, '[a-z]{6,}', 0) END AS own FROM conversations),
+w AS (
+  SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM t),
+r AS (
+  SELECT conv_id, turn, title, CASE WHEN regexp_matches(lower(text), '\b(it|its|they|them|their|this|that|these|those)\b')
+    THEN regexp_replace(trim(text), '\b(it|its|they|them|their|this|that|these|those)\b', title, 'gi') END AS rewritten FROM w WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN rewritten IS NOT NULL THEN title END AS referenced_title, rewritten FROM r""")
+def reference_rewrite(spark, sf_dir):
+    """User turns with words that refer back replaced by the one source of the answer before, here its first long word."""
+    word = F.regexp_extract("text", "[a-z]{6,}", 0)
+    turns = read(spark, sf_dir, "conversations").withColumn("titles", F.array(word))
+    return conversation.resolved_references(turns).select("conv_id", "turn", "referenced_title", "rewritten")
 
 
 @register("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -546,7 +570,7 @@ def percentile_latency(spark, sf_dir):
 
 @register()
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap_means(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type", samples=1000)
+    return evaluation.bootstrap_means(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type")
 
 
 # pages
@@ -615,11 +639,15 @@ def resume_unfinished(spark, sf_dir):
 
 
 @register("""
-SELECT doc_id, array_to_string([e FOR e IN [CASE WHEN n_words > 25 THEN 'quote_too_long' END, CASE WHEN contains(lower(text), 'license') THEN 'domain_term' END] IF e IS NOT NULL], ',') AS errors
-FROM (SELECT doc_id, text, len(regexp_extract_all(regexp_replace(substring(text, 1, 160), '[^ -~]', ' ', 'g'), '\\b[\\w''-]+\\b')) AS n_words FROM documents WHERE lang = 'en')""")
+SELECT doc_id, array_to_string([e FOR e IN [CASE WHEN trim(text) = '' THEN 'empty_question' END, CASE WHEN longest > 25 THEN 'quote_too_long' END,
+  CASE WHEN contains(lower(text), 'license') THEN 'domain_term' END] IF e IS NOT NULL], ',') AS errors
+FROM (SELECT doc_id, text, list_max([len(regexp_extract_all(regexp_replace(q, '[^ -~]', ' ', 'g'), '\\b[\\w''-]+\\b')) FOR q IN string_split(text, chr(10))]) AS longest
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def question_rules(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
-    asked = docs.select("doc_id", F.col("text").alias("question"), F.lit(True).alias("answerable"), F.array(F.col("doc_id")).alias("document_ids"), F.array(F.regexp_replace(F.substring("text", 1, 160), "[^ -~]", " ")).alias("quotes"))
+    """Every document as a question whose quotes are its lines, whole texts in every language."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("question"))
+    quotes = F.transform(F.split("question", "\n", -1), lambda q: F.regexp_replace(q, "[^ -~]", " "))
+    asked = docs.select("doc_id", "question", F.lit(True).alias("answerable"), F.transform(quotes, lambda q: F.col("doc_id")).alias("document_ids"), quotes.alias("quotes"))
     found = evaluation.question_errors(asked, 25, "license")
     return found.select("doc_id", F.array_join("errors", ",").alias("errors"))
 

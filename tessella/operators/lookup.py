@@ -9,23 +9,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessella.functions.text import normalize
+from tessella.functions.text import fold_title, normalize
 
 LEAST_SCORE, MARGIN = 86.0, 3.0
 
 
 def exact_titles(queries: DataFrame, catalog: DataFrame, title: str) -> DataFrame:
-    """Queries (query_id, query) with the one record of that normalised title; several make it ambiguous."""
-    records = catalog.withColumn("_t", normalize(F.col(title)))
-    found = queries.withColumn("_t", normalize(F.col("query"))).join(records, "_t")
+    """Queries (query_id, query) with every record of that title, accents and marks aside, and `matches`, how many there
+    are: more than one make it ambiguous. Titles without a letter or digit match nothing.
+    """
+    records = catalog.withColumn("_t", fold_title(F.col(title))).filter("_t <> ''")
+    found = queries.withColumn("_t", fold_title(F.col("query"))).join(records, "_t")
     n = F.count("*").over(Window.partitionBy("query_id"))
     return found.withColumn("matches", n).drop("_t")
 
 
 def alias_targets(aliases: DataFrame, catalog: DataFrame, title: str) -> DataFrame:
-    """Aliases (alias, target) with the records that their target names."""
-    named = catalog.withColumn("_t", normalize(F.col(title)))
-    return aliases.withColumn("_t", normalize(F.col("target"))).join(named, "_t").drop("_t")
+    """Aliases (alias, target) with the records that their target names, accents and marks aside."""
+    named = catalog.withColumn("_t", fold_title(F.col(title))).filter("_t <> ''")
+    return aliases.withColumn("_t", fold_title(F.col("target"))).join(named, "_t").drop("_t")
 
 
 def _common(a: str, b: str) -> int:

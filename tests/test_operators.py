@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +304,30 @@ def test_log_appends_with_defaults(spark, tmp_path):
         publish.append_log(spark.createDataFrame([(query, "answered")], "query string, decision string"), path)
     rows = spark.read.json(path).collect()
     assert {r["query"] for r in rows} == {"one", "two"} and len({r["id"] for r in rows}) == 2 and {r["review_status"] for r in rows} == {"unreviewed"}
+
+
+def test_references_are_resolved_to_the_one_source_of_the_latest_answer(spark):
+    rows = [
+        (1, 1, "user", "hello", None), (1, 2, "assistant", "a", ["Heat $5 \\ x", " Heat $5 \\ x "]), (1, 3, "user", " Who is in it, and who made THIS? ", None),
+        (1, 4, "user", "what about its director?", None), (1, 5, "user", "And the cast", None), (1, 6, "user", "its rating?", None), (1, 7, "user", "the writers.", None),
+        (1, 8, "user", "Tell me more!", None), (1, 9, "user", "items only", None), (1, 10, "assistant", "b", []), (1, 11, "user", "what else", None),
+        (1, 12, "assistant", "c", ["A", "B"]), (1, 13, "user", "tell me more", None), (1, 14, "user", None, None), (2, 1, "user", "tell me more", None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, titles array<string>")
+    got = {(r.conv_id, r.turn): (r.rewritten, r.referenced_title) for r in conversation.resolved_references(turns).collect()}
+    title = "Heat $5 \\ x"
+    want = {3: f"Who is in {title}, and who made {title}?", 4: f"Who directed {title}?", 5: f"Who is in {title}?", 6: f"What is the rating of {title}?", 7: f"Who wrote {title}?",
+            8: f"Tell me more about {title}", 11: f"Tell me more about {title}"}
+    assert got == {(1, t): (want[t], title) if t in want else (None, None) for t in (1, 3, 4, 5, 6, 7, 8, 9, 11, 13, 14)} | {(2, 1): (None, None)}
+    assert conversation.resolved_references(turns.limit(0)).count() == 0
+
+
+def test_titles_match_without_their_accents(spark):
+    catalog = spark.createDataFrame([(1, "Am\u00e9lie"), (2, "Amelie!"), (3, "\u6f22\u5b57"), (4, None)], "id long, title string")
+    asked = spark.createDataFrame([(7, "AM\u00c9LIE"), (8, "\u6f22"), (9, None)], "query_id long, query string")
+    assert sorted((r.query_id, r.id, r.matches) for r in lookup.exact_titles(asked, catalog, "title").collect()) == [(7, 1, 2), (7, 2, 2)]
+
+
+def test_bootstrap_draws_are_poisson():
+    times = evaluation._poisson(np.arange(400, dtype=np.uint64), 1000, 3)
+    assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02 and abs(np.corrcoef(times[0], times[1])[0, 1]) < 0.15
