@@ -27,9 +27,11 @@ from tessella.storage import materialize
 MATCH = 400
 #: Lengths of anchors as shares of the match, from the first to the last split.
 LADDER = (0.5, 0.75, 0.9, 0.97, 1.0)
-SHARD_BYTES = 2 << 20
+#: Anchors share shards of about so many bytes; one whose pieces take over a sixteenth of it has a shard of its own, so
+#: that no shard is much larger than this or than HOT_BYTES.
+SHARD_BYTES = 1 << 20
 #: Pieces of one anchor of more bytes are split by longer anchors.
-HOT_BYTES = 4 << 20
+HOT_BYTES = 2 << 20
 SLICE_BYTES = 2 << 20
 _SEPARATOR = 256
 _LOWEST = -(1 << 63)
@@ -116,20 +118,23 @@ def repeated_in_shard(shard: pd.DataFrame, match: int) -> pd.DataFrame:
     text[stops] = _SEPARATOR
     order = suffix_array(text)
     joined = permuted_prefixes(text, order)[order[1:]] >= match
-    piece = np.repeat(np.arange(len(raws)), sizes + 1)
-    inside = order + match <= stops[piece[order]]
+    piece = np.repeat(np.arange(len(raws), dtype=np.int32), sizes + 1)
+    own = piece[order]
+    inside = order + match <= stops[own]
     joined &= inside[1:] & inside[:-1]
-    run = np.cumsum(np.r_[0, ~joined])
     heads = np.flatnonzero(np.r_[True, ~joined])
     doc = shard.groupby(["id", "d"], sort=False).ngroup().to_numpy()
-    own = piece[order]
-    place = (doc[own].astype(np.int64) << 40) + shard["start"].to_numpy()[own] + order - starts[own]
-    copies = shard["copies"].to_numpy()
+    place = ((doc.astype(np.int64) << 40) + shard["start"].to_numpy() - starts)[own]
+    place += order
+    several = (shard["copies"].to_numpy() > 1)[own]
     again = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
-    again |= np.maximum.reduceat(copies[own], heads) > 1
-    at = np.sort(order[again[run] & inside & (copies[own] == 1)])
+    again |= np.logical_or.reduceat(several, heads)
+    del place, own
+    runs = np.repeat(again, np.diff(np.r_[heads, len(order)]))
+    at = np.sort(order[runs & inside & ~several])
     if not len(at):
         return pd.DataFrame({"id": [], "d": [], "start": [], "stop": []}).astype("int64")
+    at = at.astype(np.int64)
     fresh = np.r_[True, (at[1:] - at[:-1] > match) | (piece[at[1:]] != piece[at[:-1]])]
     first = np.flatnonzero(fresh)
     last = np.r_[first[1:], len(at)] - 1
@@ -181,7 +186,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD
         hot = materialize(sums.filter(F.col("bytes") > hot_bytes).select("key"), "repeats-hot") if size else None
         more = hot is not None and not hot.isEmpty()
         usual = sums.filter(F.col("bytes") <= hot_bytes) if more else sums
-        spans = spans.unionByName(_sharded(pieces.join(usual.select("key"), "key"), match, shard_bytes))
+        spans = spans.unionByName(_sharded(pieces.join(usual.select("key", "bytes"), "key"), match, shard_bytes))
         if not more:
             break
         part = pieces.join(hot, "key").mapInArrow(
@@ -210,7 +215,8 @@ def _sharded(pieces: DataFrame, match: int, shard_bytes: int) -> DataFrame:
     pieces = materialize(pieces, "repeats-sharded")
     total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(1, int(np.ceil(total / shard_bytes)))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard")
+    shard = F.when(F.col("bytes") > shard_bytes // 16, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", shard).drop("bytes").repartition(shards, "shard")
     found = dealt.groupBy("shard").applyInPandas(lambda shard: repeated_in_shard(shard, match), "id long, d long, start long, stop long")
     return materialize(found, "repeats-found")
 

@@ -12,14 +12,24 @@ _SALT = np.uint64(0xA24BAED4963EE407)
 _SPREAD = scramble(np.arange(1 << 12, dtype=np.uint64) + _SALT)
 #: Reduced strings over more letters are written with two digits a letter, so that a letter's bucket is never tiny.
 LETTERS = 1 << 10
+STRIDE = 1 << 18
+
+
+def _place_type(n: int) -> type:
+    """Places take four bytes wherever they fit: at most some ten such arrays of a text stand at once."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def prefix_sums(text: np.ndarray) -> np.ndarray:
     """Sums from which the hash of any substring of `text` follows."""
     powers, _ = _powers(len(text))
     small = not len(text) or int(text.max()) < len(_SPREAD)
-    spread = _SPREAD[text] if small else scramble(text.astype(np.uint64) + _SALT)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread * powers[: len(text)], dtype=np.uint64)])
+    sums = np.zeros(len(text) + 1, np.uint64)
+    for start in range(0, len(text), STRIDE):
+        part = text[start : start + STRIDE]
+        spread = _SPREAD[part] if small else scramble(part.astype(np.uint64) + _SALT)
+        np.multiply(spread, powers[start : start + len(part)], out=sums[start + 1 : start + 1 + len(part)])
+    return np.cumsum(sums, out=sums)
 
 
 def hashes(sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
@@ -30,10 +40,12 @@ def hashes(sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
 def classify(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (type S); the end of the text is smaller than all."""
     n = len(text)
-    step = np.r_[np.sign(np.diff(text.astype(np.int64))), -1]
+    step = np.full(n, -1, np.int8)
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
     # a run of equal letters has the type of its last one
-    last = np.where(step != 0, np.arange(n), n)
-    last = np.minimum.accumulate(last[::-1])[::-1]
+    last = np.arange(n, dtype=_place_type(n))
+    last[step == 0] = n
+    np.minimum.accumulate(last[::-1], out=last[::-1])
     return step[last] > 0
 
 
@@ -49,9 +61,12 @@ class _Buckets:
         self.previous = np.concatenate([text[-1:], text[:-1]])  # each suffix's letter before; the first one's is set by the pass
         self.ends = np.cumsum(np.bincount(text, minlength=size))
         self.begins = np.r_[0, self.ends[:-1]]
-        self.order = np.empty(n, np.int64)
-        fresh = np.r_[True, text[1:] != text[:-1]]
-        self.before = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # equal letters to the left
+        kind = _place_type(n)
+        self.order = np.empty(n, kind)
+        first = np.arange(n, dtype=kind)
+        first[1:][text[1:] == text[:-1]] = 0
+        np.maximum.accumulate(first, out=first)
+        self.before = np.subtract(np.arange(n, dtype=kind), first, out=first)  # equal letters to the left
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """The order of all suffixes, induced from that of the leftmost-smaller ones; each suffix is moved once a pass.
@@ -138,7 +153,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     size = int(text.max()) + 1
     text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int64)  # short ones sort by radix
     small = classify(text)
-    left = _leftmost(small)
+    left = _leftmost(small).astype(_place_type(n))
+    del small
     buckets = _Buckets(text, size)
     first = buckets.induce(left)
     if len(left) < 2:
@@ -146,6 +162,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_left = np.zeros(n, bool)
     is_left[left] = True
     ordered = first[is_left[first]]
+    del is_left, first
     names, count = _named(text, left, ordered)
     if count < len(left):
         if count > LETTERS and 5 * len(left) <= 2 * n:
@@ -163,11 +180,9 @@ def _named(text: np.ndarray, left: np.ndarray, ordered: np.ndarray) -> tuple[np.
     Substrings run to the next leftmost-smaller place inclusive; that to the end of the text has no equal.
     """
     m = len(left)
-    number = np.empty(len(text), np.int64)
-    number[left] = np.arange(m)
     lengths = np.r_[left[1:] + 1, len(text)] - left
     key = hashes(prefix_sums(text), left, lengths)
-    at = number[ordered]
+    at = np.searchsorted(left, ordered)
     same = (key[at[1:]] == key[at[:-1]]) & (lengths[at[1:]] == lengths[at[:-1]]) & (at[1:] != m - 1) & (at[:-1] != m - 1)
     names = np.empty(m, np.int64)
     names[at] = np.cumsum(np.r_[0, ~same])
@@ -181,19 +196,29 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     are prefixes compared, by hashes of doubling and then halving length, all of those places at once.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, _place_type(n))
     if n < 2:
         return out
-    other = np.full(n, -1)
+    other = np.full(n, -1, out.dtype)
     other[order[1:]] = order[:-1]
     reducible = np.zeros(n, bool)
     reducible[1:] = (other[1:] > 0) & (other[:-1] >= 0)
-    at = np.flatnonzero(reducible)
-    reducible[at] = text[at - 1] == text[other[at] - 1]
+    for start in range(0, n, STRIDE):
+        at = start + np.flatnonzero(reducible[start : start + STRIDE])
+        reducible[at] = text[at - 1] == text[other[at] - 1]
     own = np.flatnonzero(~reducible & (other >= 0))
-    out[own] = _common(prefix_sums(text), own, other[own], n)
-    last = np.maximum.accumulate(np.where(reducible, 0, np.arange(n)))
-    return out[last] - np.where(reducible, np.arange(n) - last, 0)
+    sums = prefix_sums(text)
+    for start in range(0, len(own), STRIDE):
+        some = own[start : start + STRIDE]
+        out[some] = _common(sums, some, other[some].astype(np.int64), n)
+    del sums, other
+    last = np.arange(n, dtype=out.dtype)
+    last[reducible] = 0
+    np.maximum.accumulate(last, out=last)
+    out = out[last]
+    last -= np.arange(n, dtype=last.dtype)
+    last[~reducible] = 0
+    return out + last
 
 
 def _common(sums: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
