@@ -31,6 +31,26 @@ def fold_title(titles: pd.Series) -> pd.Series:
     return titles.map(fold, na_action="ignore")
 
 
+# What is stripped from both ends of a title that was cut out of a question.
+TITLE_EDGES = " \t\n\r\"'?.!"
+
+
+def title_candidate(text: Column) -> Column:
+    """A title cut out of a question: no year in parentheses, no "movie" or "film" at the end, no blanks or marks around."""
+    undated = F.regexp_replace(text, r"\(\s*(?:19|20)\d{2}\s*\)", "")
+    return F.btrim(F.regexp_replace(undated, r"(?i)\b(?:movie|film)\b\s*$", ""), F.lit(TITLE_EDGES))
+
+
+def year_in(text: Column) -> Column:
+    """The first year from 1900 to 2099 that stands as a word, null without one."""
+    return F.nullif(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1), F.lit("")).try_cast("int")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased, all but ASCII letters and digits to single blanks, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def squeeze(text: Column, most: int | None = None) -> Column:
     """White space collapsed and trimmed; with `most`, cut to so many characters and right-trimmed."""
     clean = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -667,3 +667,50 @@ SELECT event_id, round(1 / (1 + exp(-(value - 25) / 10)), 6) AS confidence, valu
 def confidence_gate(spark, sf_dir):
     score = T.sigmoid((F.col("value") - 25) / 10)
     return read(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("confidence"), (F.col("value") >= 20.5).alias("confident"))
+
+
+@register(f"""{_RUNS}, s AS (SELECT query_id, n, count(*) FILTER (WHERE hit AND rank <= 5) AS k, query_id % 400 <> 0 AS answerable FROM hits GROUP BY 1, 2)
+SELECT query_id, CASE WHEN answerable THEN CAST(k = n AS DOUBLE) END AS answer_support_5, CASE WHEN answerable THEN CAST(k > 0 AS DOUBLE) END AS citation_valid_5,
+  CASE WHEN NOT answerable THEN CAST(query_id % 300 = 0 AS DOUBLE) END AS correct_refusal, CASE WHEN answerable THEN CAST(query_id % 300 = 0 AS DOUBLE) END AS over_refusal FROM s""")
+def support_metrics(spark, sf_dir):
+    """Support, citation and refusal of the neighbour searches, some of them taken for unanswerable or refused."""
+    items = _items(spark, sf_dir).withColumns({"answerable": F.col("query_id") % 400 != 0, "refused": F.col("query_id") % 300 == 0})
+    return evaluation.support_metrics(items).select("query_id", "answer_support_5", "citation_valid_5", "correct_refusal", "over_refusal")
+
+
+@register("""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid_chunk_number' WHEN coalesce(text, '') = '' THEN 'empty_text' WHEN length(text) < 600 THEN 'chunk_below_minimum' END AS reason
+FROM documents""")
+def chunk_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", chunking.chunk_reason(F.col("doc_id").cast("string"), F.col("doc_id") % 7 - 1, F.col("text"), 600).alias("reason"))
+
+
+@register(r"""
+WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '"' || p_name || '" (' || (1950 + p_size) || ') Film' WHEN 1 THEN p_name || ' ' || (1950 + p_size) || ' movie?' ELSE ' The Film. ' END AS raw FROM part),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '\(\s*(?:19|20)\d{2}\s*\)', '', 'g'), '(?i)\b(?:movie|film)\b\s*$', ''), ' "''?.!' || chr(9) || chr(10) || chr(13)) AS candidate FROM r)
+SELECT p_partkey, candidate, TRY_CAST(nullif(regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year,
+  lower(candidate) IN ('a', 'a film', 'a movie', 'an', 'film', 'films', 'movie', 'movies', 'the', 'the film', 'the movie') AS generic FROM c""")
+def title_candidates(spark, sf_dir):
+    """Titles as questions name them, cleaned, with their year and whether they name no film at all."""
+    dated = (F.col("p_size") + 1950).cast("string")
+    raw = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), "p_name", F.lit('" ('), dated, F.lit(") Film")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" "), dated, F.lit(" movie?")))
+        .otherwise(" The Film. ")
+    )
+    cut = T.title_candidate(raw)
+    return read(spark, sf_dir, "part").select("p_partkey", cut.alias("candidate"), T.year_in(raw).alias("year"), lookup.is_generic(cut).alias("generic"))
+
+
+@register("""
+WITH a AS (SELECT p_partkey, p_name, 1950 + p_size AS year, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' (film)' WHEN 1 THEN p_name || ' (' || (1950 + p_size) || ')' WHEN 2 THEN p_name ELSE 'List of films' END AS article FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND contains(page, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AND (contains(page, CAST(year AS VARCHAR)) OR contains(page, 'film')) THEN article END AS article
+FROM (SELECT *, trim(regexp_replace(lower(article), '[^a-z0-9]+', ' ', 'g')) AS page FROM a)""")
+def article_enrichment(spark, sf_dir):
+    """Parts with the article found for them, kept only where its title is a confident match; some have none."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_size") + 1950).alias("year"))
+    key = F.col("p_partkey") % 4
+    named = F.when(key == 0, F.concat(F.upper("p_name"), F.lit(" (film)"))).when(key == 1, F.concat("p_name", F.lit(" ("), F.col("year").cast("string"), F.lit(")")))
+    articles = parts.filter("p_partkey % 5 <> 0").select("p_partkey", named.when(key == 2, F.col("p_name")).otherwise("List of films").alias("article"))
+    return lookup.with_articles(parts, articles, "p_partkey", "p_name", "year", "article").select("p_partkey", "article")

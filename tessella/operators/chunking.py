@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Separators from coarse to fine.
@@ -97,16 +97,28 @@ def split_sections(sections: list[tuple[str, str]], options: Options) -> list[tu
 
 
 def merge_tiny(chunks: list[tuple[str, str]], options: Options) -> list[tuple[str, str]]:
-    """Pieces under the least size joined to the one before where both fit."""
+    """Pieces under the least size joined to the one before where both fit, a first one to the one after."""
     out: list[tuple[str, str]] = []
     for heading, text in chunks:
-        if out and len(text) < options.least and len(out[-1][1]) + len(text) + 2 <= options.size:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{text}")
+        tiny = len(text) < options.least or len(out) == 1 and len(out[0][1]) < options.least
+        if out and tiny and len(out[-1][1]) + len(text) + 2 <= options.size:
+            led = heading if len(out[-1][1]) < options.least else out[-1][0]
+            out[-1] = (led, f"{out[-1][1]}\n\n{text}")
         else:
             out.append((heading, text))
     return out
 
 
+def chunk_reason(document: Column, number: Column, text: Column, least: int) -> Column:
+    """The first rule that a chunk breaks, null for none; a null counts as empty."""
+    return (
+        F.when(F.coalesce(document, F.lit("")) == "", "missing_document_id")
+        .when(F.coalesce(number, F.lit(-1)) < 0, "invalid_chunk_number")
+        .when(F.coalesce(text, F.lit("")) == "", "empty_text")
+        .when(F.char_length(text) < least, "chunk_below_minimum")
+    )
+
+
 def paragraph_chunks(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """(doc_id, chunk_number, text) by packed paragraphs; chunks under the least size are left out, then numbered."""
 

@@ -30,6 +30,20 @@ def item_metrics(runs: DataFrame, gold: str = "gold", found: str = "found") -> D
     })
 
 
+def support_metrics(runs: DataFrame, gold: str = "gold", found: str = "found", answerable: str = "answerable", refused: str = "refused") -> DataFrame:
+    """answer_support_5 (all gold in the first five), citation_valid_5 (any), over_refusal of answerable items, and
+    correct_refusal of the others; each is null for the other kind, the first two also without gold.
+    """
+    g = F.array_distinct(gold)
+    both = F.size(F.array_intersect(g, F.slice(F.array_distinct(found), 1, 5)))
+    asked, some = F.col(answerable), F.col(answerable) & (F.size(g) > 0)
+    no = F.col(refused).cast("double")
+    return runs.withColumns({
+        "answer_support_5": F.when(some, (both == F.size(g)).cast("double")), "citation_valid_5": F.when(some, (both > 0).cast("double")),
+        "correct_refusal": F.when(~asked, no), "over_refusal": F.when(asked, no),
+    })
+
+
 def mean_present(value: str) -> Column:
     return F.coalesce(F.avg(value), F.lit(0.0))
 

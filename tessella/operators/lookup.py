@@ -5,13 +5,34 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessella.functions.text import fold_title, normalize
+from tessella.functions.text import fold_title, normalize, plain_words
 
 LEAST_SCORE, MARGIN = 86.0, 3.0
+# What a question may call a film without naming one.
+GENERIC_TITLES = ("a", "a film", "a movie", "an", "film", "films", "movie", "movies", "the", "the film", "the movie")
+
+
+def is_generic(title: Column) -> Column:
+    """Whether a title says no more than that it is a film; such queries are not looked up."""
+    return normalize(title).isin(*GENERIC_TITLES)
+
+
+def confident_title(title: Column, year: Column, article: Column) -> Column:
+    """Whether an article's title holds the record's title and its year or the word film; false where one is null."""
+    page = plain_words(article)
+    dated = F.coalesce(F.contains(page, year.cast("string")), F.lit(False)) | F.contains(page, F.lit("film"))
+    return F.coalesce(F.contains(page, plain_words(title)) & dated, F.lit(False))
+
+
+def with_articles(catalog: DataFrame, articles: DataFrame, key: str, title: str, year: str, article: str) -> DataFrame:
+    """Every record with its article by `key`; the article's columns are null where its title is not a confident match."""
+    found = catalog.join(articles, key, "left")
+    sure = confident_title(F.col(title), F.col(year), F.col(article))
+    return found.select(*catalog.columns, *(F.when(sure, F.col(c)).alias(c) for c in articles.columns if c != key))
 
 
 def exact_titles(queries: DataFrame, catalog: DataFrame, title: str) -> DataFrame:

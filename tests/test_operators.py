@@ -331,3 +331,20 @@ def test_titles_match_without_their_accents(spark):
 def test_bootstrap_draws_are_poisson():
     times = evaluation._poisson(np.arange(400, dtype=np.uint64), 1000, 3)
     assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02 and abs(np.corrcoef(times[0], times[1])[0, 1]) < 0.15
+
+
+def test_tiny_pieces_join_forward_and_backward():
+    options = chunking.Options(size=40, overlap=0, least=10)
+    long = "x" * 20
+    assert chunking.merge_tiny([("a", "tiny"), ("b", long), ("c", "end")], options) == [("b", f"tiny\n\n{long}\n\nend")]
+    assert chunking.merge_tiny([("a", "one"), ("b", "two")], options) == [("b", "one\n\ntwo")]
+    assert chunking.merge_tiny([("a", "tiny"), ("b", "x" * 40)], options) == [("a", "tiny"), ("b", "x" * 40)]
+    assert chunking.merge_tiny([("a", "lone")], options) == [("a", "lone")]
+    assert chunking.merge_tiny([], options) == []
+
+
+def test_confident_titles_need_the_title_and_a_year_or_film(spark):
+    rows = [("Heat", 1995, "Heat (1995 film)"), ("Heat", 1995, "Heat (1986)"), ("Heat", None, "Heat, a film"), (None, 1995, "Heat 1995"), ("Heat", 1995, None)]
+    frame = spark.createDataFrame(rows, "title string, year int, article string")
+    found = frame.select(lookup.confident_title(F.col("title"), F.col("year"), F.col("article")).alias("sure"))
+    assert [r.sure for r in found.collect()] == [True, False, True, False, False]
