@@ -184,3 +184,10 @@ def canonical_hash(records: pd.Series) -> pd.Series:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def enriched(text: Column, title: Column, facts: Column, first: Column) -> Column:
+    """A chunk under a line with its title and, on a document's first chunk, one with its facts; null text is empty."""
+    named = F.concat(F.lit("Movie: "), F.trim(F.coalesce(title, F.lit(""))))
+    shown = F.when(first & (facts_text(facts) != ""), F.concat(F.lit("Quick facts: "), facts_text(facts)))
+    return F.trim(F.concat_ws("\n", named, shown, F.lit(""), F.trim(F.coalesce(text, F.lit("")))))

@@ -714,3 +714,32 @@ def article_enrichment(spark, sf_dir):
     named = F.when(key == 0, F.concat(F.upper("p_name"), F.lit(" (film)"))).when(key == 1, F.concat("p_name", F.lit(" ("), F.col("year").cast("string"), F.lit(")")))
     articles = parts.filter("p_partkey % 5 <> 0").select("p_partkey", named.when(key == 2, F.col("p_name")).otherwise("List of films").alias("article"))
     return lookup.with_articles(parts, articles, "p_partkey", "p_name", "year", "article").select("p_partkey", "article")
+
+
+@register(r"""
+WITH a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'runtime' WHEN 1 THEN 'release_date' ELSE 'title' END AS field,
+    CASE p_partkey % 3 WHEN 0 THEN '1 hour ' || p_size || ' minutes' WHEN 1 THEN 'It came out on May ' || p_size || ', 1999.' ELSE 'The ' || p_name || ' by ' || p_brand END AS expected,
+    CASE p_partkey % 3 WHEN 0 THEN (60 + p_size + p_partkey % 2) || ' min' WHEN 1 THEN 'may ' || p_size || ', ' || (1999 + p_partkey % 2) ELSE CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_type END END AS canonical FROM part),
+w AS (SELECT *, string_split(trim(regexp_replace(lower(expected), '[^a-z0-9]+', ' ', 'g')), ' ') AS said,
+    [t FOR t IN string_split(trim(regexp_replace(lower(canonical), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(t) > 1] AS tokens FROM a)
+SELECT p_partkey, field, CASE field
+  WHEN 'runtime' THEN CAST(regexp_extract(expected, '(\d+) hour', 1) AS INTEGER) * 60 + CAST(regexp_extract(expected, '(\d+) minute', 1) AS INTEGER) = CAST(regexp_extract(canonical, '\d+') AS INTEGER)
+  WHEN 'release_date' THEN contains(lower(expected), lower(canonical)) ELSE len(tokens) > 0 AND list_has_all(said, tokens) END AS agrees FROM w""")
+def seed_field_match(spark, sf_dir):
+    """Answers on parts against their records by the rule of each field, some of them wrong."""
+    odd, third = F.col("p_partkey") % 2, F.col("p_partkey") % 3
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    size, name = F.col("p_size"), F.col("p_name")
+    by_field = lambda *values: F.when(third == 0, values[0]).when(third == 1, values[1]).otherwise(values[2])
+    field = by_field("runtime", "release_date", "title")
+    expected = by_field(text("1 hour ", size, " minutes"), text("It came out on May ", size, ", 1999."), text("The ", name, " by ", F.col("p_brand")))
+    canonical = by_field(text(size + 60 + odd, " min"), text("may ", size, ", ", odd + 1999), F.when(odd == 0, F.upper(name)).otherwise(F.col("p_type")))
+    return read(spark, sf_dir, "part").select("p_partkey", field.alias("field"), evaluation.field_matches(field, expected, canonical).alias("agrees"))
+
+
+@register("""
+SELECT p_partkey, 'Movie: ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Quick facts: Brand: ' || p_brand || ' | Part Type: ' || p_type ELSE '' END || chr(10) || chr(10) || p_type AS text FROM part""")
+def chunk_enrichment(spark, sf_dir):
+    facts = F.create_map(F.lit("part_type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
+    text = T.enriched(F.col("p_type"), F.col("p_name"), facts, F.col("p_partkey") % 2 == 0)
+    return read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import plain_words, spoken_minutes, squeeze
+
 
 def item_metrics(runs: DataFrame, gold: str = "gold", found: str = "found") -> DataFrame:
     """recall_5, recall_20, rr and ndcg_10 of ranked arrays against gold arrays; null without gold."""
@@ -158,3 +160,18 @@ def question_errors(questions: DataFrame, most_words: int = 25, banned: str | No
     if banned:
         rules.append((F.col("question").rlike(f"(?i){banned}"), "domain_term"))
     return questions.withColumn("errors", F.array_compact(F.array(*(F.when(rule, name) for rule, name in rules))))
+
+
+def field_matches(field: Column, expected: Column, canonical: Column) -> Column:
+    """Whether an expected answer agrees with a record's value: minutes of a runtime, a date that stands in the answer,
+    elsewhere every token of two or more characters. False where either is null or the record's value is empty.
+    """
+    tokens = F.filter(F.split(plain_words(canonical), " "), lambda t: F.char_length(t) > 1)
+    minutes = F.nullif(F.regexp_extract(canonical, r"\d+", 0), F.lit("")).try_cast("int")
+    flat = lambda c: F.lower(squeeze(c))
+    same = (
+        F.when(field == "runtime", F.coalesce(spoken_minutes(expected), F.lit(0)) == minutes)
+        .when(field == "release_date", F.contains(flat(expected), flat(canonical)))
+        .otherwise((F.size(tokens) > 0) & (F.size(F.array_except(tokens, F.split(plain_words(expected), " "))) == 0))
+    )
+    return F.coalesce(same & (F.trim(canonical) != "") & expected.isNotNull(), F.lit(False))

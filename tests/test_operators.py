@@ -348,3 +348,14 @@ def test_confident_titles_need_the_title_and_a_year_or_film(spark):
     frame = spark.createDataFrame(rows, "title string, year int, article string")
     found = frame.select(lookup.confident_title(F.col("title"), F.col("year"), F.col("article")).alias("sure"))
     assert [r.sure for r in found.collect()] == [True, False, True, False, False]
+
+
+def test_fields_match_by_their_own_rules(spark):
+    rows = [
+        ("runtime", "1 hour 58 minutes", "118", True), ("runtime", "two hours", "118", False), ("runtime", None, "0", False),
+        ("release_date", "On  May 5, 1999", "may 5, 1999", True), ("directors", "by Ann B. Lee", "Lee, Ann", True),
+        ("directors", "by Ann", "Lee, Ann", False), ("genres", "Drama", "", False), ("genres", "Drama", None, False),
+    ]
+    frame = spark.createDataFrame(rows, "field string, expected string, canonical string, want boolean")
+    found = frame.select("want", evaluation.field_matches(F.col("field"), F.col("expected"), F.col("canonical")).alias("agrees")).collect()
+    assert [r.agrees for r in found] == [r.want for r in found]
