@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tessella.llm.licenses import op6_license_rules
+from tessella.llm.lines import OP13_SQL, op13_bloom_lines
 from tessella.llm.minhash import OP3_SQL, op3_minhash_tensored
 from tessella.llm.personal import op4_skip_chain
 from tessella.llm.pieces import op10_piece_sampling
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
+        op13_bloom_lines,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_projection_forest": OP7_SQL, "op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_projection_forest": OP7_SQL, "op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL, "op13_bloom_lines": OP13_SQL}
