@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.alignment import op12_token_alignment
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tessella.llm.licenses import op6_license_rules
 from tessella.llm.lines import OP13_SQL, op13_bloom_lines
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
+        op12_token_alignment,
         op13_bloom_lines,
     )
 }
