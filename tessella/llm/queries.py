@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.alignment import op12_token_alignment
+from tessella.llm.conversations import OP11_SQL, op11_conversation_repair
 from tessella.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tessella.llm.licenses import op6_license_rules
 from tessella.llm.lines import OP13_SQL, op13_bloom_lines
@@ -32,8 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_toxicity_compression,
         op10_piece_sampling,
+        op11_conversation_repair,
         op12_token_alignment,
         op13_bloom_lines,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_projection_forest": OP7_SQL, "op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL, "op13_bloom_lines": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_projection_forest": OP7_SQL, "op1_warc_chunks": OP1_SQL, "op3_minhash_tensored": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op13_bloom_lines": OP13_SQL}
