@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ from tessella.llm.pieces import SPACE
 from tessella.llm.token_records import _OTHER, _WORDS, _byte_letters
 from tessella.storage import materialize
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 #: Bytes of text of a block, characters of a run that is aligned at once, and distinct words that a worker remembers.
 BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 16 << 20, 1 << 20, 400_000
 #: Pair numbers in one batch that leaves a task.
@@ -36,7 +42,7 @@ _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 #: Blanks and what follows: no piece holds a blank after another character.
 _CHUNKS = re.compile(" +[^ ]*")
 #: What a word's bytes are where its pieces do not give them back.
-_LOST = np.array([[0, 1 << 31]], "<u4").tobytes()
+_LOST = np.array([[0, 1 << 31]], np.uint32).tobytes()
 
 
 class ByteTokens(dict):
@@ -49,35 +55,36 @@ class ByteTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        letters = {c: b for b, c in _byte_letters().items()}
-        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in letters for c in token)}
-
-    def spans(self, text: str) -> bytes:
-        found = self.tokenizer.encode(text, add_special_tokens=False)
+        letters = _byte_letters()
+        known = {c: b for b, c in letters.items()}
+        self.letters = {b: c for b, c in letters.items() if b < 128}
+        self.bytes_of = {i: bytes(known[c] for c in token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in known for c in token)}
+        self.pairs = {i: _interleaved([i], [len(decoded)]) for i, decoded in self.bytes_of.items()}
+
+    def spans(self, text: str, found: Encoding | None = None) -> bytes:
+        found = found or self.tokenizer.encode(text, add_special_tokens=False)
         ids, offsets = found.ids, found.offsets
-        if text.isascii():
-            sizes = [stop - start for start, stop in offsets]
-        else:
-            at = np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
-            starts = [start for start, _ in offsets] + [len(text)]
-            stops = [0] + [stop for _, stop in offsets]
+        at = [0, *accumulate([1 if c < "\x80" else len(c.encode()) for c in text])]
+        starts = [start for start, _ in offsets] + [len(text)]
+        sizes, before = [], 0
+        for i, (start, stop) in enumerate(offsets):
             # a token whose characters are its own has their bytes; one that shares a character has its decoded bytes
-            sizes = [
-                at[stop] - at[start] if stops[i] <= start and stop <= starts[i + 1] else len(self.bytes_of[ids[i]])
-                for i, (start, stop) in enumerate(offsets)
-            ]
-        return np.array([ids, sizes], "<u4").T.tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = self.spans(word)
-        return out
-
-    def __call__(self, text: str) -> np.ndarray:
-        """(id, bytes) of each token of a text that starts with a blank."""
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        raw = self.spans(text) if _OTHER.search(text) else b"".join(map(self.__getitem__, _WORDS.findall(text)))
-        return np.frombuffer(raw, "<u4").reshape(-1, 2).astype(np.int64)
+            own = before <= start and stop <= starts[i + 1]
+            sizes.append(at[stop] - at[start] if own else len(self.bytes_of[ids[i]]))
+            before = stop
+        return _interleaved(ids, sizes)
+
+    def learn(self, words: set[str]) -> None:
+        """Remember words of the split pattern. In ASCII a token has as many bytes as characters, and needs no offsets."""
+        merge, letters, pairs = self.tokenizer.model.tokenize, self.letters, self.pairs
+        others = []
+        for word in words:
+            if word.isascii():
+                self[word] = b"".join([pairs[t.id] for t in merge(word.translate(letters))])
+            else:
+                others.append(word)
+        for word, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
+            self[word] = self.spans(word, found)
 
 
 class PieceTokens(dict):
@@ -92,28 +99,42 @@ class PieceTokens(dict):
         self.byte = {i: int(model.id_to_piece(i)[3:5], 16) for i in range(self.size) if model.is_byte(i)}
         names = map(model.id_to_piece, range(self.size))
         self.bytes_of = [bytes([self.byte[i]]) if i in self.byte else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-
-    def __missing__(self, word: str) -> bytes:
-        pieces = self.model.encode(word[1:], out_type="proto").pieces  # the library adds the blank
-        ids = [p.id for p in pieces]
-        sizes = [p.end - p.begin for p in pieces]
-        if ids:
-            sizes[0] += 1
-        sizes = [1 if i in self.byte else n for i, n in zip(ids, sizes, strict=True)]
-        decoded = [self.bytes_of[i] for i in ids]
-        if b"".join(decoded) == word.encode():
-            out = np.array([ids, sizes if sum(sizes) == len(word.encode()) else list(map(len, decoded))], "<u4").T.tobytes()
-        elif word == " ":  # no text after the blank, so that the library adds none
-            out = np.array([[self.model.piece_to_id(SPACE), 1]], "<u4").tobytes()
-        else:
-            out = _LOST
-        self[word] = out
-        return out
-
-    def __call__(self, text: str) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, _CHUNKS.findall(text))), "<u4").reshape(-1, 2).astype(np.int64)
+        self.pairs = [_interleaved([i], [len(decoded)]) for i, decoded in enumerate(self.bytes_of)]
+        self.blank = _interleaved([model.piece_to_id(SPACE)], [1])
+
+    def learn(self, words: set[str]) -> None:
+        """Remember words; the library adds their first blank. In ASCII a piece has as many bytes as characters."""
+        plain = [w for w in words if w.isascii()]
+        for word, ids in zip(plain, self.model.encode([w[1:] for w in plain], num_threads=1), strict=True):
+            same = b"".join([self.bytes_of[i] for i in ids]) == word.encode()
+            self[word] = b"".join([self.pairs[i] for i in ids]) if same else _LOST
+        others = [w for w in words if not w.isascii()]
+        for word, proto in zip(others, self.model.encode([w[1:] for w in others], out_type="proto", num_threads=1), strict=True):
+            ids, before, sizes, raw = [], -1, [], word.encode()
+            for piece in proto.pieces:
+                i, stop = piece.id, piece.end
+                ids.append(i)
+                # a piece of one byte has the span of its character, or none
+                sizes.append(1 if i in self.byte else stop - before)
+                before = stop
+            decoded = [self.bytes_of[i] for i in ids]
+            if b"".join(decoded) != raw:
+                self[word] = _LOST
+            else:
+                self[word] = _interleaved(ids, sizes if sum(sizes) == len(raw) else list(map(len, decoded)))
+        if " " in words:
+            self[" "] = self.blank  # no text after the blank, so that the library adds none
+
+
+def _interleaved(ids: list[int], sizes: list[int]) -> bytes:
+    out = array("I", bytes(8 * len(ids)))
+    out[::2], out[1::2] = array("I", ids), array("I", sizes)
+    return out.tobytes()
+
+
+def _pairs(raw: bytes) -> np.ndarray:
+    """(id, bytes) of each token."""
+    return np.frombuffer(raw, np.uint32).reshape(-1, 2).astype(np.int64)
 
 
 def segments(text: str, least: int = RUN_CHARS) -> Iterator[str]:
@@ -157,19 +178,31 @@ class Aligner:
         run, held = [], 0
         for document, text in zip(out, texts, strict=True):
             for part in segments(text) if text else ():
-                size = len(part) if part.isascii() else len(part.encode())
-                a, b = self.a(part), self.b(part)
-                document.lost |= int(b[:, 1].sum()) != size or int(a[:, 1].sum()) != size
-                if document.lost:
-                    continue
-                run.append((document, a, b))
+                run.append((document, part))
                 held += len(part)
                 if held >= RUN_CHARS:
-                    self._align(run)
+                    self._run(run)
                     run, held = [], 0
-        self._align(run)
+        self._run(run)
         return [_Document(self.with_groups) if d.lost else d for d in out]
 
+    def _run(self, parts: list[tuple[_Document, str]]) -> None:
+        words_a = [None if _OTHER.search(part) else _WORDS.findall(part) for _, part in parts]
+        words_b = [_CHUNKS.findall(part) for _, part in parts]
+        for memo, words in ((self.a, words_a), (self.b, words_b)):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            memo.learn({w for own in words if own for w in own if w not in memo})
+        run = []
+        for (document, part), own_a, own_b in zip(parts, words_a, words_b, strict=True):
+            size = len(part) if part.isascii() else len(part.encode())
+            a = _pairs(self.a.spans(part) if own_a is None else b"".join(map(self.a.__getitem__, own_a)))
+            b = _pairs(b"".join(map(self.b.__getitem__, own_b)))
+            document.lost |= int(b[:, 1].sum()) != size or int(a[:, 1].sum()) != size
+            if not document.lost:
+                run.append((document, a, b))
+        self._align(run)
+
     def _align(self, run: list[tuple[_Document, np.ndarray, np.ndarray]]) -> None:
         if not run:
             return
