@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import catalog, chunking, conversation, evaluation, index, lookup, relational, retrieval
 from tessella.sources import pages as page_source
+from tessella.storage import materialize
 from tessella.streaming import querylog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,8 +302,9 @@ sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_i
 
 def _sparse(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = index.postings(read(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "term")
-    scores = index.bm25_scores(index.postings(docs, "doc_id", only=terms), index.text_lengths(docs, "doc_id"), terms, "doc_id", small_queries=False)
+    terms = materialize(index.postings(read(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "term"), "query-terms")
+    posted = materialize(index.postings(docs, "doc_id", only=terms), "postings")
+    scores = index.bm25_scores(posted, index.text_lengths(docs, "doc_id"), terms, "doc_id")
     return retrieval.ranked_lists(scores.withColumn("score", F.round("score", 9)), "doc_id", 20)
 
 
@@ -311,6 +313,17 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
+@register()
+def bm25_stemmed_topk(spark, sf_dir):
+    """The twenty best documents for each benchmark text by stems: accents aside, English words by Porter's rules."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = index.stemmed_postings(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select(F.col("item_id").alias("query_id"), "term")
+    posted = materialize(index.stemmed_postings(docs, "doc_id"), "postings")
+    scores = index.bm25_scores(posted, index.text_lengths(docs, "doc_id", token=index.WORD), materialize(asked, "query-terms"), "doc_id")
+    found = retrieval.ranked_lists(scores.withColumn("score", F.round("score", 9)), "doc_id", 20)
+    return found.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
+
+
 _DENSE = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
@@ -377,8 +390,9 @@ def hybrid_search(spark, sf_dir):
     chunks = chunking.fixed_windows(read(spark, sf_dir, "documents")).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_number"))
     chunks = chunks.select("chunk_id", "doc_id", "text")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    terms = index.postings(asked, "query_id").select("query_id", "term")
-    sparse = retrieval.ranked_lists(index.bm25_scores(index.postings(chunks, "chunk_id", only=terms), index.text_lengths(chunks, "chunk_id"), terms, "chunk_id", small_queries=False), "chunk_id", 20)
+    terms = materialize(index.postings(asked, "query_id").select("query_id", "term"), "query-terms")
+    posted = materialize(index.postings(chunks, "chunk_id", only=terms), "postings")
+    sparse = retrieval.ranked_lists(index.bm25_scores(posted, index.text_lengths(chunks, "chunk_id"), terms, "chunk_id"), "chunk_id", 20)
     queries = index.embed(asked, "query_id", "text").withColumnRenamed("vector", "embedding")
     dense = retrieval.dense_topk(index.embed(chunks, "chunk_id", "text").withColumnRenamed("vector", "embedding"), queries, 20, key="chunk_id")
     return retrieval.hybrid(dense, sparse, chunks, asked, "chunk_id", "doc_id")

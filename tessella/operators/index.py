@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.stemming import term_dictionary
 from tessella.functions.text import norm
+from tessella.storage import materialize
 
 K1, B = 1.2, 0.75
 #: A term that most texts hold still counts a little.
@@ -19,26 +21,43 @@ LEAST_IDF = 1e-6
 TOKEN = "[a-z0-9]+"
 
 
-#: So many query terms, at most, are broadcast; more of them shuffle.
+#: Letters, digits and the accents on them, in any script.
+WORD = r"[\p{L}\p{N}\p{Co}\p{Mn}]+"
+#: So many terms or texts, at most, are broadcast; more of them shuffle.
 BROADCAST_TERMS = 200_000
 
 
-def postings(texts: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf) of ASCII tokens, lower-cased, unstemmed; write it bucketed by term to probe few terms often.
+def _bounded(frame: DataFrame) -> DataFrame:
+    """A stored frame with a broadcast hint where it has few rows."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else frame
 
-    With `only` (a column term), tokens of other terms are dropped before anything is shuffled.
+
+def postings(texts: DataFrame, key: str, text: str = "text", only: DataFrame | None = None, token: str = TOKEN) -> DataFrame:
+    """(key, len, term, tf) of tokens, lower-cased, unstemmed, with the text's number of tokens; keys are unique.
+
+    Write it bucketed by term to probe few terms often. With `only` (a column term), tokens of other terms are dropped
+    before anything is shuffled.
     """
-    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    tokens = texts.select(key, F.explode(terms).alias("term"))
+    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({token})"), 1)
+    tokens = texts.select(key, terms.alias("terms")).select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
     if only is not None:
-        wanted = only.select("term").distinct()
-        small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        tokens = tokens.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
+        tokens = tokens.join(_bounded(only.select("term").distinct()), "term", "left_semi")
+    return tokens.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+
+
+def stemmed_postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, len, term, tf) with stems for terms: words of any script, without accents, English ones by Porter's rules.
+
+    Words are counted by text first and written; each distinct one is stemmed once, and the counts meet the stems by word.
+    """
+    counted = materialize(postings(texts, key, text, token=WORD), "posted-words")
+    words = materialize(term_dictionary(counted), "term-dictionary")
+    stems = counted.join(_bounded(words), "term").drop("term").withColumnRenamed("stem", "term")
+    return stems.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
 
 
-def text_lengths(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return texts.select(key, F.regexp_count(F.lower(text), F.lit(TOKEN)).cast("long").alias("len"))
+def text_lengths(texts: DataFrame, key: str, text: str = "text", token: str = TOKEN) -> DataFrame:
+    return texts.select(key, F.regexp_count(F.lower(text), F.lit(token)).cast("long").alias("len"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -50,20 +69,21 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, small_queries: bool = True) -> DataFrame:
+def bm25_scores(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) of texts that hold any term of a query (query_id, term, distinct).
 
-    Query terms are broadcast if the caller vouches for their number; the postings shuffle once, by text.
+    Postings are read twice and texts' lengths once: give stored ones. Query terms are broadcast where they are few; what
+    is shuffled is the scores of terms met, by query and text.
     """
-    hint = F.broadcast if small_queries else (lambda frame: frame)
-    wanted = hint(queries)
-    hit = posted.join(wanted, "term").join(lengths, key)
     stats = F.broadcast(corpus_stats(lengths))  # one row
-    frequent = posted.join(hint(queries.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(hint(frequent), "term").join(stats)
+    terms = _bounded(queries.select("term").distinct())
+    frequent = term_stats(posted.join(terms, "term", "left_semi"))
+    wanted = queries.join(frequent, "term").join(stats)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    asked = materialize(wanted.select("query_id", "term", idf.alias("idf"), "avg_len"), "query-terms")
+    hit = posted.join(_bounded(asked), "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.groupBy("query_id", key).agg(F.sum(idf * weight).alias("score"))
+    return hit.groupBy("query_id", key).agg(F.sum(F.col("idf") * weight).alias("score"))
 
 
 def vector_errors(vectors: DataFrame, column: str, size: int, tolerance: float = 1e-3) -> DataFrame:
