@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import catalog, chunking, conversation, evaluation, index, lookup, relational, retrieval
+from tessella.operators import catalog, chunking, conversation, evaluation, index, lookup, rechunking, relational, retrieval
 from tessella.sources import pages as page_source
 from tessella.storage import materialize
 from tessella.streaming import querylog
@@ -587,6 +587,29 @@ def bootstrap_ci(spark, sf_dir):
     return evaluation.bootstrap_means(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type")
 
 
+def _sectioned(spark, sf_dir) -> DataFrame:
+    """Documents whose lines are sections, every third one with a heading of its own, titled by source and language."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    heading = lambda line, i: F.when(i % 3 == 0, F.substring(line, 1, 20)).when(i % 3 == 1, F.concat(F.lit("Part "), i.cast("string")))
+    sections = F.transform(lines, lambda line, i: F.struct(heading(line, i).alias("heading"), line.alias("content")))
+    facts = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source_name"), F.col("source"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("title"), "text", sections.alias("sections"), facts.alias("facts"))
+
+
+@register()
+def section_chunks(spark, sf_dir):
+    """Chunks of all documents by section under heading, title and facts, without texts that an earlier document has."""
+    chunks, _ = rechunking.rechunk(_sectioned(spark, sf_dir))
+    return chunks.select("id", "document_id", "chunk_number", "section", "content_hash", "char_len")
+
+
+@register()
+def section_rejects(spark, sf_dir):
+    """What re-chunking leaves out, by reason."""
+    _, errors = rechunking.rechunk(_sectioned(spark, sf_dir))
+    return errors.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
+
+
 # pages
 
 
