@@ -348,24 +348,49 @@ def dense_topk_filtered(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@register(_DENSE.format(where="", k=20) + """,
-other AS (
+_OTHER = """other AS (
   SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS INTEGER) AS rank
-  FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) JOIN (SELECT vec_id FROM embeddings) ON abs(vec_id - query_id) BETWEEN 1 AND 10),
+  FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) JOIN (SELECT vec_id FROM embeddings) ON abs(vec_id - query_id) BETWEEN 1 AND 10)"""
+
+
+def _by_number(spark, sf_dir) -> DataFrame:
+    """A second list for each query: the vectors of the nearest numbers."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id")
+    steps = F.explode(F.filter(F.sequence(F.lit(-10), F.lit(10)), lambda i: i != 0)).alias("step")
+    wanted = vectors.filter("vec_id % 100 = 0").distinct().select(F.col("vec_id").alias("query_id"), steps)
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
+    return wanted.withColumn("vec_id", F.col("query_id") + F.col("step")).join(vectors, "vec_id").select("query_id", "vec_id", near.alias("rank"))
+
+
+@register(_DENSE.format(where="", k=20) + """,
+""" + _OTHER + """,
 fused AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, vec_id, rank FROM dense UNION ALL SELECT * FROM other) GROUP BY 1, 2)
 SELECT query_id, vec_id, round(rrf, 8) AS rrf FROM fused""")
 def rrf_hybrid(spark, sf_dir):
     """Two lists of their own for each query, by cosine and by nearness of number; most vectors stand in one of them only."""
     dense = _dense(spark, sf_dir, 20).select("query_id", "vec_id", "rank")
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id")
-    steps = F.explode(F.filter(F.sequence(F.lit(-10), F.lit(10)), lambda i: i != 0)).alias("step")
-    wanted = vectors.filter("vec_id % 100 = 0").distinct().select(F.col("vec_id").alias("query_id"), steps)
-    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
-    other = wanted.withColumn("vec_id", F.col("query_id") + F.col("step")).join(vectors, "vec_id").select("query_id", "vec_id", near.alias("rank"))
-    fused = retrieval.reciprocal_rank_fusion([dense, other], "vec_id")
+    fused = retrieval.reciprocal_rank_fusion([dense, _by_number(spark, sf_dir)], "vec_id")
     return fused.select("query_id", "vec_id", F.round("rrf", 8).alias("rrf"))
 
 
+@register(_DENSE.format(where="", k=20) + """,
+""" + _OTHER + """,
+a AS (SELECT query_id, vec_id, rank AS dense_rank, round(score, 6) AS dense_score, CASE WHEN rank % 2 = 0 THEN label END AS label, 'dense' AS source FROM dense),
+b AS (SELECT query_id, o.vec_id, o.rank AS sparse_rank, abs(o.vec_id - query_id) AS distance, label, CASE WHEN o.rank % 3 = 0 THEN 'sparse' END AS source FROM other o JOIN embeddings e ON e.vec_id = o.vec_id)
+SELECT query_id, vec_id, dense_rank, dense_score, coalesce(b.label, a.label) AS label, coalesce(b.source, a.source) AS source, sparse_rank, distance,
+  round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0), 8) AS rrf
+FROM a FULL JOIN b USING (query_id, vec_id)""")
+def overlay_fusion(spark, sf_dir):
+    """Two lists merged field by field; each has columns of its own, and shared ones that are null in places."""
+    labels = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    dense = _dense(spark, sf_dir, 20).join(labels, "vec_id").select(
+        "query_id", "vec_id", F.col("rank").alias("dense_rank"), F.round("score", 6).alias("dense_score"), F.when(F.col("rank") % 2 == 0, F.col("label")).alias("label"), F.lit("dense").alias("source")
+    )
+    other = _by_number(spark, sf_dir).join(labels, "vec_id")
+    other = other.select("query_id", "vec_id", F.col("rank").alias("sparse_rank"), F.abs(F.col("vec_id") - F.col("query_id")).alias("distance"), "label", F.when(F.col("rank") % 3 == 0, "sparse").alias("source"))
+    return retrieval.overlaid([dense, other], ["query_id", "vec_id"], ["dense_rank", "sparse_rank"]).withColumn("rrf", F.round("rrf", 8))
+
+
 @register(_DENSE.format(where="", k=20) + """
 SELECT query_id, vec_id, label, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM dense) WHERE n <= 2""")
@@ -441,6 +466,38 @@ def title_fuzzy_lookup(spark, sf_dir):
     return lookup.fuzzy_titles(queries, names, "p_partkey", "p_name")
 
 
+def _films(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Part names as records of films with their year, votes and other names, and aliases of every fifth one."""
+    names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_size").alias("votes"))
+    akas = F.array(F.concat(F.reverse("p_name"), F.lit(": Film")), F.concat_ws(" ", F.reverse(F.split("p_name", " "))), F.lit(" "))
+    records = names.select("p_partkey", "p_name", (1950 + F.col("p_partkey") % 40).alias("year"), "votes", F.upper("p_name").alias("original"), akas.alias("akas"))
+    aliases = names.filter("p_partkey % 5 = 0").select(F.concat(F.lit("project "), F.md5("p_name")).alias("alias"), F.col("p_name").alias("target"))
+    return records, aliases
+
+
+@register()
+def title_resolution(spark, sf_dir):
+    """Records named with a slip and a year, by another name, by a configured alias, or by no name at all."""
+    records, aliases = _films(spark, sf_dir)
+    slip = F.expr("concat('\"', substring(p_name, 1, 2), substring(p_name, 4), '\" (', year, ') movie')")
+    kind = F.col("p_partkey") % 5
+    asked = F.when(kind == 0, F.concat(F.lit("Project "), F.md5("p_name"))).when(kind == 1, F.concat(F.reverse("p_name"), F.lit(" film?"))).when(kind == 2, "the movie")
+    queries = records.select(F.col("p_partkey").alias("query_id"), asked.otherwise(slip).alias("query"))
+    forms = lookup.title_forms(records, "p_partkey", "p_name", "original", "akas", aliases)
+    return lookup.resolve_titles(queries, records, forms, "p_partkey", "p_name", "year", "votes")
+
+
+@register("""
+WITH r AS (SELECT p_partkey, p_name AS canonical, lower(substring(p_name, 1, 5)) AS candidate, 'Who made ' || upper(p_name) || ' and ' || p_name || '?' AS query FROM part),
+a AS (SELECT *, position(candidate IN lower(query)) AS n FROM r)
+SELECT p_partkey, substring(query, 1, n - 1) || canonical || substring(query, n + length(candidate)) AS rewritten FROM a""")
+def title_rewrite(spark, sf_dir):
+    """Questions with the first mention of a part's name replaced by the name in full."""
+    query = F.concat(F.lit("Who made "), F.upper("p_name"), F.lit(" and "), "p_name", F.lit("?"))
+    rewritten = lookup.rewritten_with_title(query, F.lower(F.substring("p_name", 1, 5)), F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", rewritten.alias("rewritten"))
+
+
 @register("""
 WITH n AS (SELECT DISTINCT p_type AS title FROM part UNION SELECT DISTINCT n_name FROM nation),
 q AS (SELECT s_suppkey AS query_id, 'suppliers of NATION_' || s_nationkey || ' selling ' || CASE s_suppkey % 3 WHEN 0 THEN 'promo' WHEN 1 THEN 'medium' ELSE 'any' END || ' parts' AS query FROM supplier)
@@ -466,7 +523,7 @@ def history_window(spark, sf_dir):
 @register(r"""
 SELECT conv_id, turn, answer_turn FROM (
   SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answer_turn FROM conversations)
-WHERE role = 'user' AND regexp_matches(lower(text), '\b(it|its|they|them|their|this|that|these|those)\b')""")
+WHERE role = 'user' AND regexp_matches(lower(text), '\b(it|(this|that|the)\s+(movie|film))\b')""")
 def conversation_reference(spark, sf_dir):
     return conversation.with_reference(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "answer_turn")
 
@@ -489,8 +546,8 @@ WITH t AS (
 w AS (
   SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM t),
 r AS (
-  SELECT conv_id, turn, title, CASE WHEN regexp_matches(lower(text), '\b(it|its|they|them|their|this|that|these|those)\b')
-    THEN regexp_replace(trim(text), '\b(it|its|they|them|their|this|that|these|those)\b', title, 'gi') END AS rewritten FROM w WHERE role = 'user')
+  SELECT conv_id, turn, title, CASE WHEN regexp_matches(lower(text), '\b(it|(this|that|the)\s+(movie|film))\b')
+    THEN regexp_replace(trim(text), '\b(it|(this|that|the)\s+(movie|film))\b', title, 'gi') END AS rewritten FROM w WHERE role = 'user')
 SELECT conv_id, turn, CASE WHEN rewritten IS NOT NULL THEN title END AS referenced_title, rewritten FROM r""")
 def reference_rewrite(spark, sf_dir):
     """User turns with words that refer back replaced by the one source of the answer before, here its first long word."""
@@ -575,6 +632,86 @@ def failure_labels(spark, sf_dir):
     return _items(spark, sf_dir).select(label.alias("failure")).filter("failure IS NOT NULL").groupBy("failure").agg(F.count("*").alias("n"))
 
 
+_BASELINES = ["B0_refusal", "B1_sparse", "B2_dense", "B3_fused"]
+_GATES = {"B2_dense": 0.4, "B3_fused": 0.02}
+_BASELINE_METRICS = [*_METRICS, "answer_support_5", "citation_valid_5", "correct_refusal", "over_refusal"]
+_BASELINE_SQL = _RUNS + """,
+""" + _OTHER + f""",
+alone AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM dense WHERE vec_id <> query_id),
+both_lists AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, vec_id, rank FROM alone UNION ALL SELECT * FROM other) GROUP BY 1, 2),
+fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM both_lists) WHERE rank <= 20),
+runs AS (
+  SELECT 'B1_sparse' AS baseline, query_id, vec_id, rank, NULL::DOUBLE AS score FROM other WHERE query_id % 500 <> 0
+  UNION ALL SELECT 'B2_dense', query_id, vec_id, rank, score FROM alone UNION ALL SELECT 'B3_fused', query_id, vec_id, rank, score FROM fused),
+asked AS (SELECT query_id, query_id % 300 <> 0 AS answerable, CASE WHEN query_id % 300 <> 0 THEN coalesce(gold, []) ELSE [] END AS gold, baseline
+  FROM q LEFT JOIN gold USING (query_id), (SELECT unnest({_BASELINES!r}) AS baseline)),
+found AS (
+  SELECT a.query_id, a.baseline, any_value(answerable) AS answerable, any_value(a.gold) AS gold, coalesce(list(vec_id ORDER BY rank) FILTER (vec_id IS NOT NULL), []) AS found, arg_min(score, rank) AS top
+  FROM asked a LEFT JOIN runs r ON r.query_id = a.query_id AND r.baseline = a.baseline GROUP BY 1, 2),
+stated AS (
+  SELECT *, CASE WHEN baseline = 'B0_refusal' THEN 'refused' WHEN len(found) = 0 THEN 'no_results'
+    WHEN (baseline = 'B2_dense' AND top < 0.4) OR (baseline = 'B3_fused' AND top < 0.02) THEN 'low_confidence' ELSE 'ok' END AS status,
+    [i FOR i IN range(1, len(found) + 1) IF list_contains(gold, found[i])] AS places, len(gold) AS n FROM found),
+measured AS (
+  SELECT query_id, baseline, answerable, status, CASE WHEN n > 0 THEN len([i FOR i IN places IF i <= 5]) / n END AS recall_5, CASE WHEN n > 0 THEN len([i FOR i IN places IF i <= 20]) / n END AS recall_20,
+    CASE WHEN n > 0 THEN coalesce(1.0::DOUBLE / list_min(places), 0) END AS rr,
+    CASE WHEN n > 0 THEN coalesce(list_sum([1 / log2(i + 1) FOR i IN places IF i <= 10]), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 10) + 1)]) END AS ndcg_10,
+    CASE WHEN n > 0 THEN CAST(len([i FOR i IN places IF i <= 5]) = n AS DOUBLE) END AS answer_support_5, CASE WHEN n > 0 THEN CAST(len([i FOR i IN places IF i <= 5]) > 0 AS DOUBLE) END AS citation_valid_5,
+    CASE WHEN NOT answerable THEN CAST(status <> 'ok' AS DOUBLE) END AS correct_refusal, CASE WHEN answerable THEN CAST(status <> 'ok' AS DOUBLE) END AS over_refusal FROM stated)"""
+
+
+def _measured(spark, sf_dir) -> DataFrame:
+    """Four baselines over the same candidates: none, by number, by cosine, and both fused; some items have no answer."""
+    dense = _dense(spark, sf_dir, 20).filter("vec_id <> query_id").select("query_id", "vec_id", "score")
+    dense = materialize(retrieval.ranked_lists(dense.withColumn("score", F.round("score", 9)), "vec_id", 20), "dense-candidates")
+    other = materialize(_by_number(spark, sf_dir), "sparse-candidates")
+    fused = retrieval.reciprocal_rank_fusion([dense, other], "vec_id").select("query_id", "vec_id", F.col("rrf").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    fused = fused.withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
+    sparse = other.filter("query_id % 500 <> 0").withColumn("score", F.lit(None).cast("double"))
+    return evaluation.baselines(_gold(spark, sf_dir), {"B0_refusal": None, "B1_sparse": sparse, "B2_dense": dense, "B3_fused": fused}, _GATES, "vec_id")
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """Each query with the vectors of its label that have a near number as gold, and whether it has an answer."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    steps = F.explode(F.filter(F.sequence(F.lit(-50), F.lit(50)), lambda i: i != 0)).alias("step")
+    near = queries.select("query_id", F.col("label").alias("own"), steps).withColumn("vec_id", F.col("query_id") + F.col("step")).join(vectors, "vec_id").filter("label = own")
+    answerable = F.col("query_id") % 300 != 0
+    gold = near.groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
+    none = F.array().cast("array<long>")
+    return queries.join(gold, "query_id", "left").select("query_id", answerable.alias("answerable"), F.when(answerable, F.coalesce("gold", none)).otherwise(none).alias("gold"))
+
+
+@register(f"{_BASELINE_SQL} SELECT query_id, baseline, status, {', '.join(f'round({m}, 6) AS {m}' for m in _BASELINE_METRICS)} FROM measured")
+def baseline_items(spark, sf_dir):
+    """One row per item and baseline: what was refused and why, and the metrics of its list."""
+    return _measured(spark, sf_dir).select("query_id", "baseline", "status", *(F.round(m, 6).alias(m) for m in _BASELINE_METRICS))
+
+
+@register(f"""{_BASELINE_SQL} SELECT baseline, coalesce(split, 'all') AS split, count(*) AS n, {', '.join(f'round(coalesce(avg({m}), 0), 6) AS {m}' for m in _BASELINE_METRICS)}
+FROM (SELECT *, CASE WHEN query_id % 200 = 0 THEN 'dev' ELSE 'test' END AS split FROM measured) GROUP BY GROUPING SETS ((baseline), (baseline, split))""")
+def baseline_summary(spark, sf_dir):
+    items = _measured(spark, sf_dir).withColumn("split", F.when(F.col("query_id") % 200 == 0, "dev").otherwise("test"))
+    grouped = evaluation.grouped_metrics(items, "baseline", "split", _BASELINE_METRICS)
+    return grouped.select("baseline", "split", "n", *(F.round(m, 6).alias(m) for m in _BASELINE_METRICS))
+
+
+@register()
+def paired_interval(spark, sf_dir):
+    """How much more the fused baseline recalls than the dense one, over items that both have, with its interval."""
+    items = materialize(_measured(spark, sf_dir), "baseline-items")
+    return evaluation.bootstrap_pairs(items, "query_id", "baseline", "recall_20", "B2_dense", "B3_fused")
+
+
+@register()
+def refusal_rate_interval(spark, sf_dir):
+    """The share of answerable items that each baseline refuses, with its interval; all baselines share the draws."""
+    items = _measured(spark, sf_dir).filter("answerable").select("query_id", "baseline", "over_refusal", F.lit(1.0).alias("asked"))
+    return evaluation.bootstrap_rates(materialize(items, "baseline-items"), "query_id", "over_refusal", "asked", "baseline")
+
+
 @register("""
 SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(value AS DOUBLE), 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def percentile_latency(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that refer back to what was talked about.
-REFERENCE = r"\b(it|its|they|them|their|this|that|these|those)\b"
+REFERENCE = r"\b(it|(this|that|the)\s+(movie|film))\b"
 
 
 def last_turns(turns: DataFrame, most: int = 8, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:

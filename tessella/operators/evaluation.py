@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,8 +74,8 @@ def _poisson(keys: np.ndarray, samples: int, seed: int) -> np.ndarray:
     return np.searchsorted(steps, share, "right")
 
 
-def bootstrap_means(rows: DataFrame, value: str, group: str, samples: int = 5000, seed: int = 7411) -> DataFrame:
-    """(group, mean, low, high): the middle 95 per cent of means of resamples.
+def _resampled(rows: DataFrame, key: Column, top: str, bottom: Column, group: str, samples: int, seed: int) -> DataFrame:
+    """(group, low, high): the middle 95 per cent of sum(top) / sum(bottom) over resamples, drawn by key.
 
     A resample of n rows gives each row a number of appearances near a Poisson one; each task draws its rows' and sums
     them, so what is shuffled is a row per task, group and block of resamples, whatever the number of rows.
@@ -84,27 +85,77 @@ def bootstrap_means(rows: DataFrame, value: str, group: str, samples: int = 5000
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
         for batch in batches:
-            for name, part in batch.dropna(subset=[value]).groupby(group):
-                values, keys = part[value].to_numpy(float), part["_row"].to_numpy().view(np.uint64)
+            for name, part in batch.dropna(subset=["_top", "_bottom"]).groupby(group):
+                values, weights, keys = part["_top"].to_numpy(float), part["_bottom"].to_numpy(float), part["_row"].to_numpy().view(np.uint64)
                 own = sums.setdefault(name, np.zeros((samples, 2)))
                 for start in range(0, len(values), 128):
                     times = _poisson(keys[start : start + 128], samples, seed)
                     own[:, 0] += values[start : start + 128] @ times
-                    own[:, 1] += times.sum(axis=0)
+                    own[:, 1] += weights[start : start + 128] @ times
         for name, own in sums.items():
             for start in range(0, samples, block):
                 part = own[start : start + block]
                 yield pd.DataFrame({group: [name], "block": [start], "sums": [part[:, 0]], "counts": [part[:, 1]]})
 
     kind = dict(rows.dtypes)[group]
-    keyed = rows.select(group, value, F.xxhash64(*rows.columns).alias("_row"))
+    keyed = rows.select(group, F.col(top).alias("_top"), bottom.alias("_bottom"), key.alias("_row"))
     drawn = keyed.mapInPandas(draw, f"{group} {kind}, block int, sums array<double>, counts array<double>")
     each = drawn.select(group, "block", F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "x"))
-    means = each.groupBy(group, "block", "i").agg((F.sum("x.sums") / F.sum("x.counts")).alias("m"))
-    bounds = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    means = each.groupBy(group, "block", "i").agg(F.try_divide(F.sum("x.sums"), F.sum("x.counts")).alias("m"))
+    return means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def bootstrap_means(rows: DataFrame, value: str, group: str, samples: int = 5000, seed: int = 7411) -> DataFrame:
+    """(group, mean, low, high): the middle 95 per cent of means of resamples; rows draw by all their columns."""
+    bounds = _resampled(rows, F.xxhash64(*rows.columns), value, F.lit(1.0), group, samples, seed)
     return rows.groupBy(group).agg(F.avg(value).alias("mean")).join(bounds, group)
 
 
+def bootstrap_rates(rows: DataFrame, key: str, top: str, bottom: str, group: str, samples: int = 5000, seed: int = 7411) -> DataFrame:
+    """(group, n, rate, low, high) of sum(top) / sum(bottom), items drawn whole.
+
+    An item appears as often in each group of a resample, so that groups can be compared. Rows with a null are left out.
+    """
+    some = rows.filter(F.col(top).isNotNull() & F.col(bottom).isNotNull())
+    bounds = _resampled(some, F.xxhash64(key), top, F.col(bottom).cast("double"), group, samples, seed)
+    rates = some.groupBy(group).agg(F.count("*").alias("n"), F.try_divide(F.sum(top), F.sum(bottom)).alias("rate"))
+    return rates.join(bounds, group)
+
+
+def bootstrap_pairs(items: DataFrame, key: str, baseline: str, metric: str, first: str, second: str, samples: int = 5000, seed: int = 7411) -> DataFrame:
+    """One row (first, second, n, delta, low, high): the mean of second minus first over the items that both have.
+
+    Items are drawn by key, both sides of one together. No pairs: no row.
+    """
+    pairs = paired_deltas(items, key, baseline, metric, first, second).withColumn("_all", F.lit(True))
+    bounds = _resampled(pairs, F.xxhash64(key), "delta", F.lit(1.0), "_all", samples, seed)
+    whole = pairs.groupBy("_all").agg(F.count("*").alias("n"), F.avg("delta").alias("delta")).join(bounds, "_all")
+    return whole.select(F.lit(first).alias("first"), F.lit(second).alias("second"), "n", "delta", "low", "high")
+
+
+def baselines(items: DataFrame, lists: dict[str, DataFrame | None], gates: dict[str, float], document: str, k: int = 20) -> DataFrame:
+    """A row per item (query_id, answerable, gold) and baseline: found (k distinct documents in order), top, status, refused,
+    and the item and support metrics.
+
+    Lists are (query_id, document, rank, score); None is a baseline that refuses every item. Status is refused for that,
+    no_results without rows, low_confidence where the first row's score is missing or under the baseline's gate, else ok.
+    All lists are grouped in one shuffle, and items meet them once, by item and baseline.
+    """
+    rows = [frame.select("query_id", F.col(document).alias("document"), "rank", F.col("score").cast("double").alias("score"), F.lit(name).alias("baseline")) for name, frame in lists.items() if frame is not None]
+    first = F.min(F.struct("rank", "document", "score"))
+    each = reduce(DataFrame.unionByName, rows).groupBy("query_id", "baseline", "document").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))), lambda r: r["document"])
+    runs = each.groupBy("query_id", "baseline").agg(F.slice(ordered, 1, k).alias("found"), first["score"].alias("top"))
+    names = F.explode(F.array(*map(F.lit, lists))).alias("baseline")
+    kind = runs.schema["found"].dataType
+    asked = items.select("query_id", "answerable", "gold", names).join(runs, ["query_id", "baseline"], "left").withColumn("found", F.coalesce("found", F.array().cast(kind)))
+    closed = F.col("baseline").isin([n for n, frame in lists.items() if frame is None])
+    low = reduce(lambda a, b: a | b, [(F.col("baseline") == n) & (F.coalesce("top", F.lit(0.0)) < gate) for n, gate in gates.items()], F.lit(False))
+    status = F.when(closed, "refused").when(F.size("found") == 0, "no_results").when(low, "low_confidence").otherwise("ok")
+    judged = asked.withColumn("status", status).withColumn("refused", F.col("status") != "ok")
+    return support_metrics(item_metrics(judged))
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 

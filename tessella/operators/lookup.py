@@ -7,9 +7,11 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from tessella.functions import text as T
 from tessella.functions.text import fold_title, normalize, plain_words
+from tessella.storage import materialize
 
 LEAST_SCORE, MARGIN = 86.0, 3.0
 # What a question may call a film without naming one.
@@ -160,6 +162,86 @@ def fuzzy_titles(queries: DataFrame, catalog: DataFrame, key: str, title: str, l
     return top.filter(clear).select("query_id", key, "score")
 
 
+# Kinds of forms in the order in which they are preferred among equal scores.
+FORM_KINDS = ("title", "original_title", "aka", "configured_alias")
+
+
+def title_forms(records: DataFrame, key: str, title: str, original: str | None = None, akas: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(key, form, kind, folded): every name a record goes by, distinct by what is left of it without accents and marks.
+
+    `akas` is an array column; `aliases` (alias, target) name records by their title, or by their key as text. Of forms of a
+    record that fold to the same, the first kind stays. Blank names, and aliases whose target is no record, give none.
+    """
+    given = [(F.col(title), "title")] + ([(F.col(original), "original_title")] if original else [])
+    named = [F.array(F.struct(c.alias("form"), F.lit(kind).alias("kind"))) for c, kind in given]
+    if akas:
+        named.append(F.transform(F.coalesce(akas, F.array().cast("array<string>")), lambda a: F.struct(a.alias("form"), F.lit("aka").alias("kind"))))
+    forms = records.select(key, F.explode(F.concat(*named)).alias("f")).select(key, F.btrim("f.form").alias("form"), "f.kind")
+    if aliases is not None:
+        target = F.struct(fold_title(F.col("target")).alias("by_title"), F.btrim("target").alias("by_key"))
+        wanted = aliases.select("alias", target.alias("target"))
+        titles = records.select(key, fold_title(F.col(title)).alias("t")).filter("t <> ''")
+        # of records of one title the last one stands for it, as in a table by title
+        last = titles.groupBy("t").agg(F.max(key).alias(key))
+        by_title = wanted.join(last, F.col("target.by_title") == F.col("t")).select(key, "alias")
+        unnamed = wanted.join(last, F.col("target.by_title") == F.col("t"), "left_anti")
+        by_key = unnamed.join(records.select(key), F.col("target.by_key") == F.col(key).cast("string")).select(key, "alias")
+        forms = forms.unionByName(by_title.unionByName(by_key).select(key, F.btrim("alias").alias("form"), F.lit("configured_alias").alias("kind")))
+    forms = forms.filter("form <> ''").withColumn("folded", fold_title(F.col("form"))).filter("folded <> ''")
+    order = F.struct(F.array_position(F.array(*map(F.lit, FORM_KINDS)), F.col("kind")), "form")
+    return forms.groupBy(key, "folded").agg(F.min_by(F.struct("form", "kind"), order).alias("f")).select(key, "f.form", "f.kind", "folded")
+
+
+@F.pandas_udf(DoubleType())
+def _weighted(q: pd.Series, t: pd.Series) -> pd.Series:
+    return pd.Series([weighted_ratio(x, y) for x, y in zip(q, t, strict=True)], index=q.index, dtype="float64")
+
+
+def resolve_titles(
+    queries: DataFrame, records: DataFrame, forms: DataFrame, key: str, title: str, year: str, votes: str, least: float = LEAST_SCORE, margin: float = MARGIN
+) -> DataFrame:
+    """(query_id, key, candidate, matched, canonical, score, match_type): the one record that each query names.
+
+    Queries have query_id, query (the title as cut out of a question) and, optionally, year, else the one in the query, which
+    leaves records of that year only, and exact_only, which asks for a whole match. A record scores by the best of its forms; the first by score, votes and title is
+    taken where it scores `least` and leads the second record by `margin`. match_type is the kind of the matched form, or exact
+    where that is the candidate itself and no configured alias. Titles that say no more than film, and queries without a
+    clear record, have no row. Only pairs that can reach least - margin are scored (`_candidates`).
+    """
+    floor = (least - margin) / 100
+    if floor <= 2 / 3:
+        raise ValueError("scores under 67 bound no candidates")
+    extra = {"year": T.year_in(F.col("query")), "exact_only": F.lit(False)}
+    asked = queries.select("query_id", "query", *(F.col(c).alias(f"asked_{c}") if c in queries.columns else v.alias(f"asked_{c}") for c, v in extra.items()))
+    asked = asked.withColumn("candidate", T.title_candidate(F.col("query"))).withColumn("folded_query", fold_title(F.col("candidate")))
+    asked = materialize(asked.filter(~is_generic(F.col("folded_query")) & (F.col("folded_query") != "")), "asked-titles")
+    stored = materialize(forms, "title-forms")
+    pairs = _candidates(asked.select(F.col("query_id"), F.col("folded_query").alias("query")), stored.select(key, F.col("folded").alias("title")), key, floor)
+    scored = pairs.withColumn("score", _weighted(F.col("query"), F.col("title"))).filter(F.col("score") >= least - margin)
+    kinds = stored.select(key, F.col("folded").alias("title"), "form", "kind")
+    preferred = F.struct("score", -F.array_position(F.array(*map(F.lit, FORM_KINDS)), F.col("kind")), "title")
+    best = scored.join(kinds, [key, "title"]).groupBy("query_id", key).agg(F.max_by(F.struct("score", "form", "kind", F.col("title").alias("folded")), preferred).alias("b"))
+    known = records.select(key, F.col(title).alias("canonical"), F.col(year).cast("int").alias("of_year"), F.coalesce(F.col(votes).cast("double"), F.lit(0.0)).alias("votes"))
+    rows = best.join(asked, "query_id").join(known, key).filter(F.col("asked_year").isNull() | F.col("asked_year").eqNullSafe(F.col("of_year")))
+    rows = rows.filter(~F.col("asked_exact_only") | (F.col("b.score") == 100))
+    order = Window.partitionBy("query_id").orderBy(F.desc("b.score"), F.desc("votes"), F.coalesce("canonical", F.lit("")), key)
+    top = rows.withColumn("second", F.lead("b.score").over(order)).withColumn("n", F.row_number().over(order)).filter("n = 1")
+    clear = (F.col("b.score") >= least) & (F.col("second").isNull() | (F.col("b.score") - F.col("second") >= margin))
+    whole = (F.col("b.folded") == F.col("folded_query")) & (F.col("b.kind") != "configured_alias")
+    return top.filter(clear).select(
+        "query_id", key, "candidate", F.col("b.form").alias("matched"), "canonical", F.round("b.score", 2).alias("score"), F.when(whole, "exact").otherwise(F.col("b.kind")).alias("match_type")
+    )
+
+
+def rewritten_with_title(query: Column, candidate: Column, canonical: Column) -> Column:
+    """A question with the first mention of the candidate replaced by the record's own title, in any case; after the
+    question where it is not mentioned or is that title already.
+    """
+    at = F.position(F.lower(candidate), F.lower(query))
+    put = F.concat(F.substring(query, F.lit(1), at - 1), canonical, F.substring(query, at + F.char_length(candidate), F.char_length(query)))
+    return F.when((at > 0) & (put != query), put).otherwise(F.concat(query, F.lit(" "), canonical))
+
+
 def longest_contained(questions: DataFrame, catalog: DataFrame, title: str) -> DataFrame:
     """Questions (query_id, query) with the longest of a small catalog's titles that they contain; none keeps null."""
     titles = F.broadcast(catalog.select(F.col(title).alias("title")).distinct())

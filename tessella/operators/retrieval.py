@@ -69,6 +69,22 @@ def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int = RRF_K, gro
     return rows.groupBy(group, key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
 
 
+def overlaid(lists: list[DataFrame], keys: list[str], ranks: list[str], k: int = RRF_K) -> DataFrame:
+    """Lists of candidates merged by key: of each field the last value that is not null, fields that one list has alone
+    beside them, and rrf over the columns `ranks`, where a missing rank adds nothing.
+
+    Lists hold a row for each key. Every list shuffles once by key, whatever its fields.
+    """
+
+    def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+        shared = [c for c in left.columns if c in right.columns and c not in keys]
+        both = left.join(right.withColumnsRenamed({c: f"_later_{c}" for c in shared}), keys, "full")
+        return both.withColumns({c: F.coalesce(f"_later_{c}", c) for c in shared}).drop(*(f"_later_{c}" for c in shared)) if shared else both
+
+    parts = [F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0)) for r in ranks]
+    return reduce(merge, lists).withColumn("rrf", reduce(lambda a, b: a + b, parts))
+
+
 def fuse_attempts(attempts: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
     """One list from several attempts (attempt, key, rank, score, rerank_score): fused scores to eight places, and of each
     item the strongest appearance, the earliest among equals.

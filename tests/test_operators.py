@@ -308,9 +308,9 @@ def test_log_appends_with_defaults(spark, tmp_path):
 
 def test_references_are_resolved_to_the_one_source_of_the_latest_answer(spark):
     rows = [
-        (1, 1, "user", "hello", None), (1, 2, "assistant", "a", ["Heat $5 \\ x", " Heat $5 \\ x "]), (1, 3, "user", " Who is in it, and who made THIS? ", None),
+        (1, 1, "user", "hello", None), (1, 2, "assistant", "a", ["Heat $5 \\ x", " Heat $5 \\ x "]), (1, 3, "user", " Who is in it, and who made THIS  Film? ", None),
         (1, 4, "user", "what about its director?", None), (1, 5, "user", "And the cast", None), (1, 6, "user", "its rating?", None), (1, 7, "user", "the writers.", None),
-        (1, 8, "user", "Tell me more!", None), (1, 9, "user", "items only", None), (1, 10, "assistant", "b", []), (1, 11, "user", "what else", None),
+        (1, 8, "user", "Tell me more!", None), (1, 9, "user", "this is their own, those items", None), (1, 10, "assistant", "b", []), (1, 11, "user", "what else", None),
         (1, 12, "assistant", "c", ["A", "B"]), (1, 13, "user", "tell me more", None), (1, 14, "user", None, None), (2, 1, "user", "tell me more", None),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, titles array<string>")
@@ -359,3 +359,44 @@ def test_fields_match_by_their_own_rules(spark):
     frame = spark.createDataFrame(rows, "field string, expected string, canonical string, want boolean")
     found = frame.select("want", evaluation.field_matches(F.col("field"), F.col("expected"), F.col("canonical")).alias("agrees")).collect()
     assert [r.agrees for r in found] == [r.want for r in found]
+
+
+def test_overlay_takes_the_last_value_that_is_not_null(spark):
+    a = spark.createDataFrame([(1, "a", 1, "x", None), (1, "b", 2, None, "t"), (2, "a", 1, "y", None)], "q int, id string, dense_rank int, url string, title string")
+    b = spark.createDataFrame([(1, "b", 1, "u", None, 0.5), (1, "c", 2, None, "s", None)], "q int, id string, sparse_rank int, url string, title string, bm25 double")
+    rows = {(r.q, r.id): (r.dense_rank, r.sparse_rank, r.url, r.title, r.bm25, round(r.rrf, 8)) for r in retrieval.overlaid([a, b], ["q", "id"], ["dense_rank", "sparse_rank"]).collect()}
+    assert rows == {
+        (1, "a"): (1, None, "x", None, None, round(1 / 61, 8)), (1, "b"): (2, 1, "u", "t", 0.5, round(1 / 62 + 1 / 61, 8)),
+        (1, "c"): (None, 2, None, "s", None, round(1 / 62, 8)), (2, "a"): (1, None, "y", None, None, round(1 / 61, 8)),
+    }
+
+
+def test_baselines_refuse_by_their_gates(spark):
+    items = spark.createDataFrame([(1, True, [7, 8]), (2, False, []), (3, True, [9])], "query_id int, answerable boolean, gold array<int>")
+    rows = spark.createDataFrame([(1, 7, 1, 0.9), (1, 7, 2, 0.8), (1, 5, 3, 0.7), (1, 8, 4, 0.6), (2, 7, 1, 0.3)], "query_id int, doc int, rank int, score double")
+    got = {(r.baseline, r.query_id): r for r in evaluation.baselines(items, {"none": None, "free": rows, "gated": rows}, {"gated": 0.5}, "doc").collect()}
+    assert len(got) == 9 and {k: r.status for k, r in got.items() if k[0] != "none"} == {
+        ("free", 1): "ok", ("free", 2): "ok", ("free", 3): "no_results", ("gated", 1): "ok", ("gated", 2): "low_confidence", ("gated", 3): "no_results"
+    }
+    assert got["free", 1].found == [7, 5, 8] and got["free", 1].recall_5 == 1 and got["free", 1].answer_support_5 == 1 and got["none", 1].over_refusal == 1
+    assert got["gated", 2].correct_refusal == 1 and got["free", 2].correct_refusal == 0 and got["free", 2].rr is None and got["none", 3].recall_5 == 0
+
+
+def test_paired_and_rate_intervals_like_numpy(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    first, second = rng.normal(0.5, 0.2, n), rng.normal(0.55, 0.2, n)
+    refused, asked = (rng.random(n) < 0.2).astype(float), rng.integers(1, 4, n).astype(float)
+    rows = [(i, b, float(v), float(r), float(a)) for i in range(n) for b, v, r, a in (("B2", first[i], refused[i], asked[i]), ("B3", second[i], 1 - refused[i], asked[i]))]
+    frame = spark.createDataFrame([*rows, (n, "B2", 9.0, None, 1.0)], "id long, b string, v double, r double, a double")
+    picks = rng.integers(0, n, (5000, n))
+    delta = (second - first)[picks].mean(axis=1)
+    got = evaluation.bootstrap_pairs(frame, "id", "b", "v", "B2", "B3").first()
+    assert got.n == n and got.delta == pytest.approx((second - first).mean())
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(delta, [2.5, 97.5])), abs=0.003)
+    rates = {r.b: r for r in evaluation.bootstrap_rates(frame, "id", "r", "a", "b").collect()}
+    for name, top in (("B2", refused), ("B3", 1 - refused)):
+        want = np.percentile(top[picks].sum(axis=1) / asked[picks].sum(axis=1), [2.5, 97.5])
+        assert rates[name].n == n and rates[name].rate == pytest.approx(top.sum() / asked.sum())
+        assert (rates[name].low, rates[name].high) == pytest.approx(tuple(want), abs=0.005)
+    assert evaluation.bootstrap_pairs(frame.limit(0), "id", "b", "v", "B2", "B3").count() == 0
