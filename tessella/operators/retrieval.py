@@ -7,54 +7,75 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.storage import shared_folder
+
 RRF_K = 60
-#: Query vectors are compared in blocks of so many, so that a block's scores fit a task.
-QUERY_BLOCK = 512
+#: Queries and rows are compared in blocks of so many, so that a block's scores fit a task.
+QUERY_BLOCK, ROW_BLOCK = 512, 1 << 14
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", condition: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank) of the k nearest rows by cosine for each query (query_id, vector), exactly.
 
-    The condition is applied before the cut, so filtered searches return k rows where there are k. A stated set of queries
-    goes against all rows block by block: each task keeps its k best per query and only those are shuffled.
+    The condition is applied before the cut, so filtered searches return k rows where there are k. The stated set of queries
+    is written to the shared folder; each task goes through it block by block with some thousand rows at once, and sends
+    the k best of each query. Nothing passes through the driver, and the rows are read once. Null vectors match nothing.
     """
     rows = vectors.filter(condition) if condition is not None else vectors
     rows = rows.select(key, vector).filter(F.col(vector).isNotNull())
-    ids, matrix = _collected(queries, vector)
-    if not len(ids):
-        return rows.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
-    parts = []
-    for start in range(0, len(ids), QUERY_BLOCK):
-        block = rows.sparkSession.sparkContext.broadcast((ids[start : start + QUERY_BLOCK], matrix[start : start + QUERY_BLOCK]))
-        parts.append(rows.mapInPandas(lambda batches, block=block: _nearest(batches, block.value, key, vector, k), f"query_id long, {key} long, score double"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", best).filter(F.col("rank") <= k)
-
-
-def _collected(queries: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """A stated set of query vectors on the driver, as unit vectors; it is the caller's and bounded."""
-    found = queries.select("query_id", vector).orderBy("query_id").toPandas()
-    if not len(found):
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    matrix = np.array(found[vector].tolist(), np.float64)
-    return found["query_id"].to_numpy(), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-
-def _nearest(batches: Iterator[pd.DataFrame], block: tuple[np.ndarray, np.ndarray], key: str, vector: str, k: int) -> Iterator[pd.DataFrame]:
-    ids, queries = block
-    kept: list[np.ndarray] = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
+    folder = shared_folder(rows.sparkSession, "query-vectors")
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    asked.write.parquet(folder)
+    found = rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
+    best = found.mapInArrow(lambda batches: _nearest(batches, folder, k), f"query_id long, {key} long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], folder: str, k: int) -> Iterator[pa.RecordBatch]:
+    names = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        rows = np.array(batch[vector].tolist(), np.float64)
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        scores = np.concatenate([kept[0], np.clip(queries @ rows.T, 0, 1)], axis=1)
-        keys = np.concatenate([kept[1], np.broadcast_to(batch[key].to_numpy(), (len(ids), len(batch)))], axis=1)
-        order = np.lexsort((keys, -scores), axis=1)[:, :k]
-        kept = [np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)]
-    if kept[0].shape[1]:
-        yield pd.DataFrame({"query_id": np.repeat(ids, kept[0].shape[1]), key: kept[1].ravel(), "score": kept[0].ravel()})
+        names = ["query_id", batch.schema.names[0], "score"]
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROW_BLOCK:
+            yield from _block_best(held, folder, k, names)
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield from _block_best(held, folder, k, names)
+
+
+def _block_best(held: list[pa.RecordBatch], folder: str, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best of a block of rows for each query, ties by key."""
+    keys, rows = np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([_unit(b.column(1)) for b in held if b.num_rows])
+    system, path = fs.FileSystem.from_uri(folder)
+    for block in ds.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=QUERY_BLOCK):
+        if not block.num_rows:
+            continue
+        ids, scores = block.column("query_id").to_numpy(), np.clip(_unit(block.column("vector")) @ rows.T, 0, 1)
+        if k < len(keys):
+            least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k, None]
+            query, row = np.nonzero(scores >= least - 1e-12)
+        else:
+            query, row = np.divmod(np.arange(scores.size), len(keys))
+        # rounded, as equal vectors can differ in their last bits
+        value = np.round(scores[query, row], 12)
+        order = np.lexsort((keys[row], -value, query))
+        query, row, value = query[order], row[order], value[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        few = place < k
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query[few]]), pa.array(keys[row[few]]), pa.array(value[few])], names=names)
 
 
 def ranked_lists(scores: DataFrame, key: str, k: int, group: str = "query_id") -> DataFrame:
@@ -149,7 +170,7 @@ def hybrid(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, queries: Data
     """Dense and sparse lists fused, the best reranked by the query's own text, near-duplicates dropped, documents capped."""
     fused = reciprocal_rank_fusion([dense, sparse], key).withColumnRenamed("rrf", "score")
     candidates = ranked_lists(fused, key, top).select("query_id", key, F.col("score").alias("rrf"))
-    texts = candidates.join(chunks.select(key, document, "text"), key).join(F.broadcast(queries.select("query_id", F.col("text").alias("query"))), "query_id")
+    texts = candidates.join(chunks.select(key, document, "text"), key).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     scored = rerank(texts, "query", "text").withColumn("score", 1 / (1 + F.exp(-F.col("rerank_score"))))
     order = [F.desc("score"), F.desc("rrf"), F.col(document), F.col(key)]
     ordered = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

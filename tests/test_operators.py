@@ -147,6 +147,7 @@ def test_dense_topk_over_blocks_equals_brute_force(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
     x = np.random.default_rng(1).normal(size=(60, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>").repartition(5)
     queries = rows.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
