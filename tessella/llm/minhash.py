@@ -36,6 +36,8 @@ SLICE_BYTES = 2 << 20
 STRIDE = 1 << 15
 #: Hubs that more pairs have are copied for so many parts of their pairs.
 SALTS = 32
+#: Sets of a bucket that one task compares with the bucket's others.
+BUCKET_ROWS = 256
 
 _SEEDS = scramble(np.arange(1, 2 * COLLECTIONS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _FACTOR = _SEEDS[: COLLECTIONS * ROWS, None], _SEEDS[COLLECTIONS * ROWS :, None] | np.uint64(1)
@@ -45,16 +47,20 @@ def _as_long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums over each set, which with its size stand for it."""
+    return np.array([(s.sum(dtype=np.uint64), scramble(s).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in byte_slices(batches, "text", SLICE_BYTES):
         sets = shingle_hashes(*word_hashes(*utf8_of(batch)), size)
-        digest = np.zeros((len(sets), 2), np.uint64)
+        digest = _digests(sets)
         subs = np.zeros((len(sets), COLLECTIONS), np.uint64)
         for i, s in enumerate(sets):
             if len(s):
                 low = np.min([((s[k : k + STRIDE] ^ _XOR) * _FACTOR).min(axis=1) for k in range(0, len(s), STRIDE)], axis=0).reshape(COLLECTIONS, ROWS)
                 subs[i] = scramble(low[:, 0] * np.uint64(0x9E3779B97F4A7C15) + low[:, 1])
-                digest[i] = s.sum(dtype=np.uint64), scramble(s).sum(dtype=np.uint64)
         flat = pa.FixedSizeListArray.from_arrays(_as_long(subs.ravel()), COLLECTIONS).cast(pa.list_(pa.int64()))
         columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _as_long(digest[:, 0].copy()), _as_long(digest[:, 1].copy()), flat]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "subs"])
@@ -79,21 +85,28 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _as_long(flat))
         bits = np.array([_sketch(s) for s in sets], np.uint64).reshape(-1, SKETCH // 64)
-        columns = [batch.column("doc_id"), lists, *(_as_long(bits[:, i].copy()) for i in range(bits.shape[1]))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", *_BITS])
+        digest = _digests(sets)
+        own = [_as_long(digest[:, 0].copy()), _as_long(digest[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())]
+        columns = [*own, lists, *(_as_long(bits[:, i].copy()) for i in range(bits.shape[1]))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*SET, "shingles", *_BITS])
 
 
+#: What tells sets apart.
+SET = ["d1", "d2", "n_shingles"]
 _BITS = [f"bits{i}" for i in range(SKETCH // 64)]
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles, sketch words) of the documents in `ids` (column id, distinct)."""
+def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(id, shingles, sketch words) of `nodes`, each read from a document (column doc) that has its set.
+
+    A doc_id may have rows of other sets as well, so sets are told apart by their digests.
+    """
+    ids = materialize(nodes.select("doc").distinct(), "minhash-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi").select("text")
     kinds = ", ".join(f"{b} long" for b in _BITS)
-    sets = picked.mapInArrow(lambda b: _sets(b, size), f"doc_id long, shingles array<long>, {kinds}")
-    return sets.withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
+    sets = texts.mapInArrow(lambda b: _sets(b, size), f"d1 long, d2 long, n_shingles long, shingles array<long>, {kinds}")
+    return sets.dropDuplicates(SET).join(nodes.select("id", *SET), SET).select("id", "shingles", *_BITS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -121,19 +134,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int =
 
     Equal sets are one node from the start, so groups of copies cost one row each. Null and empty texts have no shingles
     and link with nothing, nor does a null doc_id, whose component is null and which is kept. Rows that repeat a doc_id
-    belong to the same document; each gets its own row.
+    belong to the same document, which links with what any of them is near to; each gets its own row. What is kept does
+    not depend on the order of rows.
     """
     signed = materialize(signatures(docs, size), "minhash-signatures")
-    nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles")
-    nodes = materialize(nodes.agg(F.min("doc_id").alias("id"), F.first("subs").alias("subs")), "minhash-nodes")
-    edges = _links(docs, nodes, size, threshold)
+    members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = members.groupBy(*SET).agg(F.min("doc_id").alias("doc"), F.first("subs").alias("subs"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "minhash-nodes")
+    edges = _links(docs, nodes, size, threshold).unionByName(_same_document(members, nodes))
     components = connected_components(edges)
-    classes = nodes.join(components, "id", "left").select(
-        "d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component")
-    )
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = nodes.select(*SET, "id", "doc").join(components, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = own.groupBy("group").agg(F.min("doc").alias("component"))  # nodes have numbers of their own, groups the least doc_id
+    classes = own.select(*SET, "group").join(least, "group").select(*SET, "component")
+    rows = signed.select("doc_id", *SET).join(classes, SET, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _same_document(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between the nodes of a doc_id that has rows of unlike sets; mostly none."""
+    one = F.struct(*SET)
+    unlike = members.groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("doc_id")
+    rows = pick(members.select("doc_id", *SET), unlike, ["doc_id"]).distinct().join(nodes.select("id", *SET), SET).select("doc_id", "id")
+    hubs = rows.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return rows.join(hubs, "doc_id").filter("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -157,7 +181,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     placed = nodes.select("id", F.posexplode(keys).alias("table", "key"))
     buckets = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     crowded = materialize(placed.join(buckets, "key"), "minhash-buckets")
-    sets = materialize(full_sets(docs, materialize(crowded.select("id").distinct(), "minhash-ids"), size), "minhash-sets")
+    sets = materialize(full_sets(docs, nodes.join(crowded.select("id").distinct(), "id", "left_semi"), size), "minhash-sets")
 
     hubs = crowded.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub"))
     first = materialize(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), "minhash-pairs")
@@ -191,7 +215,7 @@ def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component:
     the similarity asked for needs (100 + threshold) * least m >= threshold * (sum of n).
     """
     known = component.select("id", F.col("component"))
-    members = crowded.filter("n > 2").join(known, "id", "left").select("key", "table", "id", F.coalesce("component", "id").alias("c"))
+    members = crowded.filter("n > 2").join(known, "id", "left").select("key", "table", "id", "n", F.coalesce("component", "id").alias("c"))
     split = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     members = materialize(members.join(split, "key"), "minhash-remaining")
     own = sets.join(members.select("id").distinct(), "id", "left_semi")
@@ -200,10 +224,12 @@ def _remaining(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, component:
     facts = own.select("id", F.size("shingles").alias("size"), *_BITS).join(alone, "id", "left").join(nodes.select("id", "subs"), "id")
     facts = facts.withColumn("others", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
     able = facts.filter(100 * F.col("others") >= threshold * F.col("size"))  # else near to no other set at all
-    rows = materialize(members.join(able, "id"), "minhash-remaining")
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = materialize(members.join(able, "id").withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS)), "minhash-remaining")
+    # a large bucket's sets are dealt among parts, and each part meets copies of all of them in a task of its own
+    x = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     near &= (100 + threshold) * F.least("x.others", "y.others") >= threshold * (F.col("x.size") + F.col("y.size"))
     agree = F.array(*(F.col("x.subs")[i] == F.col("y.subs")[i] for i in range(COLLECTIONS)))
     one = F.array_position(agree, True)

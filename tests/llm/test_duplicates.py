@@ -69,8 +69,10 @@ def test_near_duplicates_equal_brute_force(spark, docs_of, k):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), want[i], want[i] == i) for i in ids}
 
 
-def test_near_misses_in_crowded_buckets(spark, docs_of):
+@pytest.mark.parametrize("rows", [minhash.BUCKET_ROWS, 5])
+def test_near_misses_in_crowded_buckets(spark, docs_of, monkeypatch, rows):
     """Texts around one passage, most pairs of which are not near: links that only the last step finds are found."""
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", rows)
     random.seed(9)
     base = [f"p{i}" for i in range(90)]
     texts = []
@@ -85,6 +87,25 @@ def test_near_misses_in_crowded_buckets(spark, docs_of):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(texts)).collect()} == want
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_repeated_ids_with_unlike_texts_in_any_order(spark, docs_of, turned):
+    random.seed(21)
+    made = [[f"{c}{random.randint(0, 900)}" for _ in range(60)] for c in "abcdef"]
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    whole = lambda w: " ".join(w)
+    # 1 has two unlike texts, 2 and 3 are near one each; 9 joins 7 and 8, which are near its two texts; 5 repeats one text
+    rows = [(1, whole(made[0])), (1, whole(made[1])), (2, near(made[0])), (3, near(made[1])), (7, near(made[2])), (8, near(made[3])), (9, whole(made[2])), (9, whole(made[3]))]
+    rows += [(5, whole(made[4])), (5, whole(made[4])), (6, near(made[4])), (None, whole(made[0])), (11, whole(made[5])), (11, "")]
+    rows = rows[::-1] if turned else rows
+    sets = [(i, shingle_set(t, 5)) for i, t in rows]
+    ids = sorted({i for i, _ in rows if i is not None})
+    links = [(i, j) for i, x in sets for j, y in sets if None not in (i, j) and i < j and x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    want = smallest_reachable(ids, links)
+    got = minhash.near_duplicates(docs_of([t for _, t in rows], ids=[i for i, _ in rows]).coalesce(1)).collect()
+    assert sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got)) == sorted((i or 0, len(s), want[i] if i else 0) for i, s in sets)
+    assert want[3] == 1 and want[8] == want[9] == 7
+
+
 def test_a_hub_of_many_and_very_long_texts(spark, docs_of, monkeypatch):
     """A hub that is dealt among copies, and texts whose shingles take many strides."""
     monkeypatch.setattr(minhash, "HOT_ROWS", 4)
