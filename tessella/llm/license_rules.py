@@ -189,11 +189,11 @@ SINGLE: tuple[tuple[str, str, int, str], ...] = (
     ("gpl", "you should have received a copy of the gnu general public licen[cs]e", 92, "received"),
     ("gpl", "this program is distributed in the hope that it will be useful", 72, "hope"),
     ("gpl", "everyone is permitted to copy and distribute verbatim copies", 70, "verbatim"),
-    ("gpl", "with the (?:classpath|autoconf|bison|font|linking|gcc runtime library) exception", 74, "exception"),
+    ("gpl", "with the (?:gnu )?(?:classpath|autoconf|bison|gcc runtime library) exception", 74, "exception"),
     ("lgpl", "this library is free software you can redistribute it and or modify it", 72, "free software"),
     ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", 94, "received"),
     ("agpl", "you should have received a copy of the gnu affero general public licen[cs]e", 94, "received"),
-    ("agpl", "remote network interaction", 72, "interaction"),
+    ("agpl", "remote network interaction use with", 72, "interaction"),
     ("fdl", "with no invariant sections", 80, "invariant"),
     ("mpl", "this source code form is subject to the terms of the mozilla public licen[cs]e", 95, "mozilla"),
     ("mpl", "the contents of this file are subject to the mozilla public licen[cs]e", 95, "mozilla"),
@@ -237,7 +237,8 @@ SINGLE: tuple[tuple[str, str, int, str], ...] = (
     ("public-domain", "(?:released|dedicated|placed|is) (?:in|to|into) the public domain", 60, "public domain"),
     ("public-domain", "this (?:work|file|software) is (?:hereby )?(?:released|placed) (?:into|in) the public domain", 62, "public domain"),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 40, "copyright"),
-    ("copyright", "copyright (?:c )?by [a-z]+", 36, "copyright"),
+    ("copyright", "copyright (?:c )?by (?:the )?(?:[a-z]+ )?(?:[0-9]{4}|inc|llc|ltd|gmbh|corp|corporation|company|foundation|university|authors?|contributors?)", 36, "copyright"),
+    ("copyright", "copyright c by [a-z]+", 36, "copyright"),
     ("copyright", "(?:19|20)[0-9][0-9] copyright", 35, "copyright"),
     ("copyright", "portions copyright", 36, "portions"),
     ("reserved", "all rights reserved", 45, "reserved"),
@@ -249,7 +250,7 @@ SINGLE: tuple[tuple[str, str, int, str], ...] = (
     ("proprietary", "proprietary and confidential", 60, "proprietary"),
     ("proprietary", "confidential and proprietary", 60, "proprietary"),
     ("proprietary", "unauthorized (?:copying|use|distribution|reproduction) of this (?:file|software|document)", 60, "unauthorized"),
-    ("proprietary", "(?:valuable )?trade secrets? of", 55, "trade"),
+    ("proprietary", "(?:valuable|confidential|proprietary|unpublished) trade secrets? of", 55, "trade"),
     ("proprietary", "end user licen[cs]e agreement", 55, "agreement"),
     ("proprietary", "for evaluation (?:purposes )?only", 45, "evaluation"),
     ("proprietary", "not for (?:re)?distribution", 45, "distribution"),
@@ -287,6 +288,10 @@ class Rule:
 UNDER = (("(?:licen[cs]ed|released|distributed|published|available|provided) under (?:the |an? )?(?:terms of (?:the )?)?", 84, "under"), ("licen[cs]e ", 42, "licen"))
 
 
+#: Priority of the further terms of an SPDX expression, which count only within one (see licenses.within_expression).
+FURTHER_TERM = 98
+
+
 def rules() -> tuple[Rule, ...]:
     """All rules, in order: rules of their own, addresses, SPDX tags, short names, then each family's names in each shape.
 
@@ -297,7 +302,7 @@ def rules() -> tuple[Rule, ...]:
     for label, names in SPDX:
         for name in names:
             made.append((label, f"spdx (?:file |snippet )?licen[cs]e identifier {name}", 100, ("spdx", name)))
-            made.append((label, f"(?:or|and|with) {name}", 98, ("spdx", name)))
+            made.append((label, f"(?:or|and|with) {name}", FURTHER_TERM, ("spdx", name)))
             made.append((label, f"spdx org licenses {name}", 100, ("spdx", name)))
     for label, name in SHORT:
         word = max(re.findall("[a-z0-9]{2,}", re.sub("[(][?]:.*?[)][?]?", "", name)) or [""], key=len)

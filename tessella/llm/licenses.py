@@ -7,7 +7,7 @@ priority overlaps goes, and so does one that lies within another of the same pri
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices, utf8_of
-from tessella.llm.license_rules import BASE, rules
+from tessella.llm.license_rules import BASE, FURTHER_TERM, rules
 
 _WORD = np.ones(256, bool)
 _WORD[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 _WORD[65:91] = True  # lower-cased first
 _CLASS = rb"0-9a-z\x80-\xff"
 _GAP = rb"[^" + _CLASS + rb"]+"
+# a name's own marks are dots, dashes and pluses; brackets stand around terms
+_TERM = rb"[(\t ]*[0-9a-z.+:-]*[0-9a-z+][)\t ]*"
+_TAG = rb"spdx[-_ \t]+(?:(?:file|snippet)[-_ \t]+)?licen[cs]e[-_ \t]+identifier[:\t =\"']+"
+_EXPRESSION = re.compile(_TAG + rb"(?=(" + _TERM + rb"(?:(?<=[)\t ])(?:or|and|with)(?=[(\t ])" + _TERM + rb")*))")
 
 
 def _compiled(pattern: str) -> re.Pattern[bytes]:
@@ -65,9 +69,23 @@ class Scanner:
                 if needed <= seen:
                     rule, pattern = self.rules[i]
                     found.setdefault(-rule.priority, []).extend((m.start(), -m.end(), rule.rank, rule.label) for m in pattern.finditer(text))
+        if -FURTHER_TERM in found:
+            found[-FURTHER_TERM] = within_expression(text, found[-FURTHER_TERM])
         return resolved(found)
 
 
+def within_expression(text: bytes, terms: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The matches that begin within an SPDX tag's expression: terms joined by or, and, with, in the tag's line."""
+    spans = [m.span(1) for m in _EXPRESSION.finditer(text)]
+    starts = [a for a, _ in spans]
+    kept = []
+    for term in terms:
+        i = bisect_right(starts, term[0]) - 1
+        if i >= 0 and -term[1] <= spans[i][1]:
+            kept.append(term)
+    return kept
+
+
 def resolved(found: dict[int, list[tuple[int, int, int, str]]]) -> list[tuple[int, int, str, int]]:
     """What remains of matches (start, -stop, rank, label) by negative priority: a match that overlaps a kept one of higher
     priority goes, and so does one that lies within a kept one of its own priority; of equal spans the first rule stays.

@@ -166,6 +166,24 @@ def test_rules_label_what_stands_in_real_files():
         assert [d[2] for d in scan.detections(text)] == labels, text
 
 
+def test_prose_has_no_licence():
+    scan = licenses.scanner()
+    prose = (
+        "Stored as xml and json, or vim and emacs, with ruby and zlib, or icu. Her work is protected by copyright by law. These are the trade secrets of her cakes."
+        " The remote network interaction of the probes was slow. Set in a face with the font exception of a few glyphs, and with openssl or curl."
+    )
+    assert [d[2] for d in scan.detections(prose.lower().encode())] == []
+    tagged = "# SPDX-License-Identifier: MIT\n" + prose + " or apache-2.0 and json with ruby"
+    assert [d[2] for d in scan.detections(tagged.lower().encode())] == ["mit"]
+    for text, labels in {
+        "spdx-license-identifier: (mit or apache-2.0) and json": ["mit", "apache", "json"], "spdx-license-identifier: gpl-2.0-only with classpath-exception-2.0\nor json": ["gpl", "gpl"],
+        "spdx-license-identifier: foo-1.0 or mit": ["mit"], "spdx-license-identifier: mit, or json": ["mit"], "copyright by the example foundation": ["copyright"],
+        "contains valuable trade secrets of example inc": ["proprietary"], "with the gnu classpath exception": ["gpl"],
+    }.items():
+        got = [d[2] for d in scan.detections(text.encode())]
+        assert list(dict.fromkeys(got)) == list(dict.fromkeys(labels)), (text, got)
+
+
 def test_every_rule_matches_its_plain_text():
     """A rule's pattern, read as plain words, is found: no keyword keeps it from running."""
     scan = licenses.scanner()
@@ -205,11 +223,18 @@ def test_resolution_equals_brute_force():
     scan = licenses.scanner()
     for _ in range(300):
         text = " ".join(random.choice(words) for _ in range(random.randint(1, 60))).encode()
-        found = {}
-        for rule, pattern in scan.rules:  # every rule, no keyword but the one that says that there are tags
-            if rule.pattern.startswith("(?:or|and|with) ") and b"spdx" not in text:
-                continue
-            found.setdefault(-rule.priority, []).extend((m.start(), -m.end(), rule.rank, rule.label) for m in pattern.finditer(text))
+        found, spans, said = {}, [], text.decode().split(" ")
+        for i in range(len(said) - 3):
+            if said[i : i + 3] == ["spdx", "license", "identifier"]:
+                j = i + 3
+                while j + 2 < len(said) and said[j + 1] in ("or", "and", "with"):
+                    j += 2
+                spans.append((len(" ".join(said[: i + 3])), len(" ".join(said[: j + 1]))))
+        for rule, pattern in scan.rules:  # every rule, without its keywords
+            matches = [(m.start(), -m.end(), rule.rank, rule.label) for m in pattern.finditer(text)]
+            if rule.pattern.startswith("(?:or|and|with) "):
+                matches = [m for m in matches if any(a < m[0] and -m[1] <= b for a, b in spans)]
+            found.setdefault(-rule.priority, []).extend(matches)
         assert scan.detections(text) == brute_resolved(found)
 
 
