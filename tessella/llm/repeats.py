@@ -33,6 +33,8 @@ SHARD_BYTES = 1 << 20
 #: Pieces of one anchor of more bytes are split by longer anchors.
 HOT_BYTES = 2 << 20
 SLICE_BYTES = 2 << 20
+#: Starts of strings that are hashed at once, so that a long text takes no more memory than a stride and its anchors.
+STRIDE = 1 << 20
 _SEPARATOR = 256
 _LOWEST = -(1 << 63)
 
@@ -51,16 +53,27 @@ def pieces_of(raw: np.ndarray, size: int, match: int) -> tuple[np.ndarray, ...]:
     """(key, start, stop, times) of the runs of `match`-byte strings that have the same anchor, the least hash of their
     `size`-byte strings; times counts the places of that anchor in `raw`, which has at least `match` bytes.
     """
-    sums = prefix_sums(raw)
-    own = scramble(hashes(sums, np.arange(len(raw) - size + 1), size))
     width = match - size + 1
-    least = _slide(own, width, np.minimum)
-    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    tails = np.concatenate([heads[1:], [len(least)]]) - 1
+    last = len(raw) - match + 1
     edge = np.zeros(width - 1, np.uint64)
-    anchors = own[_slide(np.concatenate([edge, least, edge]), width, np.maximum) == own]
-    names, counts = np.unique(anchors, return_counts=True)
-    keys = least[heads]
+    keys, heads, anchors, before = [], [], [], None
+    for start in range(0, last, STRIDE):
+        stop = min(last, start + STRIDE)
+        low = max(0, start - width + 1)  # strings of the last stride that hold this one's first anchors
+        part = raw[low : stop + match - 1]
+        own = scramble(hashes(prefix_sums(part), np.arange(len(part) - size + 1), size))
+        least = _slide(own, width, np.minimum)
+        mine = least[start - low :]
+        fresh = np.flatnonzero(np.concatenate([[before is None or mine[0] != before], mine[1:] != mine[:-1]]))
+        heads.append(fresh + start)
+        keys.append(mine[fresh])
+        before = mine[-1]
+        anchored = _slide(np.concatenate([edge, least, edge]), width, np.maximum) == own
+        here = slice(start - low, None if stop == last else stop - low)
+        anchors.append(own[here][anchored[here]])
+    keys, heads = np.concatenate(keys), np.concatenate(heads)
+    tails = np.concatenate([heads[1:], [last]]) - 1
+    names, counts = np.unique(np.concatenate(anchors), return_counts=True)
     return keys.view(np.int64), heads, tails + match, counts[np.searchsorted(names, keys)]
 
 

@@ -18,6 +18,9 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once; a longer word is hashed whole.
+STRIDE = 1 << 20
+
 _grown: list[np.ndarray] = []
 
 
@@ -35,14 +38,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts laid end to end, A-Z lower-cased, and the n + 1 offsets of each text's words."""
-    if not len(raw):
+    """64-bit hashes of the words of texts laid end to end, A-Z lower-cased, and the n + 1 offsets of each text's words.
+
+    Long input is hashed by strides that end between words.
+    """
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        stop = min(len(raw), at + STRIDE)
+        while stop < len(raw) and _WORD[raw[stop - 1]] and _WORD[raw[stop]]:
+            gap = np.flatnonzero(~_WORD[raw[stop : stop + STRIDE]])
+            stop = stop + int(gap[0]) if len(gap) else min(len(raw), stop + STRIDE)
+        own, places = _stride_hashes(raw[at:stop], offsets[(offsets > at) & (offsets < stop)] - at)
+        hashes.append(own)
+        starts.append(places + at)
+        at = stop
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _stride_hashes(raw: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a stride; `inner` are the starts of texts within it."""
     powers, inverse = _powers(len(raw))
     inside = _WORD[raw]
     before = np.r_[False, inside[:-1]]
     after = np.r_[inside[1:], False]
-    inner = offsets[(offsets > 0) & (offsets < len(raw))]
     before[inner] = False
     after[inner - 1] = False
     starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
@@ -50,7 +70,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     spread *= powers[: len(raw)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
     hashes = (sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return scramble(hashes), np.searchsorted(starts, offsets)
+    return scramble(hashes), starts
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:

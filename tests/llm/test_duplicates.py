@@ -142,6 +142,28 @@ def test_one_document_of_each_group_stays(spark, docs_of):
     assert minhash.keep_one_of_each(docs_of([])).count() == 0
 
 
+def test_strides_change_nothing(monkeypatch):
+    """Anchors, runs and words of long texts are those of the whole, whatever the stride."""
+    random = np.random.default_rng(6)
+    for n in (30, 31, 64, 700):
+        raw = random.integers(97, 100, n).astype(np.uint8)
+        whole = repeats.pieces_of(raw, 10, 20)
+        for stride in (1, 7, 23):
+            monkeypatch.setattr(repeats, "STRIDE", stride)
+            assert all((a == b).all() for a, b in zip(whole, repeats.pieces_of(raw, 10, 20), strict=True))
+        monkeypatch.setattr(repeats, "STRIDE", 1 << 20)
+    from tessella.llm import shingles
+
+    for _ in range(30):
+        texts = ["".join(random.choice(list("ab \n")) for _ in range(random.integers(0, 60))).encode() for _ in range(6)]
+        raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        whole = shingles.word_hashes(raw, offsets)
+        for stride in (1, 5, 17):
+            monkeypatch.setattr(shingles, "STRIDE", stride)
+            assert all((a == b).all() for a, b in zip(whole, shingles.word_hashes(raw, offsets), strict=True))
+        monkeypatch.setattr(shingles, "STRIDE", 1 << 20)
+
+
 @pytest.mark.parametrize("most", [1024, 3, 2])
 def test_suffix_arrays_equal_sorting(monkeypatch, most):
     """Down to small alphabets, where names are written as digits and sorted again, level by level."""
