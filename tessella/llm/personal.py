@@ -12,6 +12,7 @@ Tokens that are near certain to be of a kind and lie outside the patterns' spans
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,8 @@ CERTAIN = 0.9
 EVIDENCE = 12.0
 #: Messages pass until none changes by more than SETTLED, and at most so many rounds.
 ROUNDS, SETTLED, DAMPING = 100, 1e-3, 0.4
+#: Bytes of texts whose tokens are held at once, and messages that are computed at once.
+SLICE_BYTES, EDGE_BLOCK = 1 << 19, 1 << 16
 NEAR = 24  # characters between tokens that are neighbours
 _MARK = re.compile("[0-9@]")
 _BREAK = re.compile(r"[\s,;:()<>\[\]{}\"'|]")
@@ -122,14 +125,14 @@ def spelled_addresses(text: str) -> list[tuple[int, int, bool]]:
 class Tokens:
     """The nodes of some texts: text number, span, key that equal tokens share, and features."""
 
-    text: list[int]
-    start: list[int]
-    stop: list[int]
+    text: array
+    start: array
+    stop: array
     key: list[str]
-    features: list[list[float]]
+    features: array
 
     def __init__(self) -> None:
-        self.text, self.start, self.stop, self.key, self.features = [], [], [], [], []
+        self.text, self.start, self.stop, self.key, self.features = array("q"), array("q"), array("q"), [], array("f")
 
     def add(self, number: int, text: str, emails: list[tuple[int, int]]) -> None:
         """A text's tokens in order: runs between breaks that hold a digit or an @, spelled addresses, and words that
@@ -182,28 +185,46 @@ class Tokens:
                 self.start.append(start)
                 self.stop.append(stop)
                 self.key.append(digits if written and n >= 5 else (name if at and len(name) >= 5 else token).lower())
-                self.features.append([
+                self.features.extend([
                     1.0, bool(at) and bracketed is None, bool(at) and "." in host, bracketed is True, bracketed is False, token in names,
                     len(own) >= 4, len(own) >= 7, len(own) >= 12, len(own) / max(1, len(token)), "-" in token, letters, written, min(len(token), 40) / 40, *shared,
                 ])
 
     def graph(self) -> tuple[np.ndarray, np.ndarray]:
         """Edges (a, b, kind) as a matrix and features as one; kind 0 joins neighbours, 1 equal keys, 2 similar keys."""
-        edges, first, near = [], {}, {}
-        for i, (text, key) in enumerate(zip(self.text, self.key, strict=True)):
-            if i and self.text[i - 1] == text and self.start[i] - self.stop[i - 1] <= NEAR:
-                edges.append((i - 1, i, 0))
-            hub = first.setdefault((text, key), i)
-            if hub != i:
-                edges.append((hub, i, 1))
-            elif len(key) in SIMILAR:
-                found = set()
-                for variant in {key, *(key[:k] + key[k + 1 :] for k in range(len(key)))}:
-                    other = near.setdefault((text, variant), i)
-                    if other != i:
-                        found.add(other)
-                edges += [(other, i, 2) for other in sorted(found)]
-        return np.array(edges, np.int64).reshape(-1, 3), np.array(self.features, float).reshape(len(self.text), WIDTH)
+        n = len(self.text)
+        text, start, stop = (np.frombuffer(x, np.int64) if n else np.zeros(0, np.int64) for x in (self.text, self.start, self.stop))
+        following = np.flatnonzero((text[1:] == text[:-1]) & (start[1:] - stop[:-1] <= NEAR))
+        first: dict[tuple[int, str], int] = {}
+        hub = np.array([first.setdefault(k, i) for i, k in enumerate(zip(self.text, self.key, strict=True))], np.int64)
+        again = np.flatnonzero(hub != np.arange(n))
+        new = [i for i in first.values() if len(self.key[i]) in SIMILAR]
+        del first
+        similar = self._similar(new)
+        parts = [(following, following + 1, 0), (hub[again], again, 1), (similar[:, 0], similar[:, 1], 2)]
+        edges = np.concatenate([np.stack([a, b, np.full(len(a), kind)], axis=1) for a, b, kind in parts])
+        return edges[np.argsort(edges[:, 1], kind="stable")], np.frombuffer(self.features, np.float32).reshape(n, WIDTH) if n else np.zeros((0, WIDTH), np.float32)
+
+    def _similar(self, tokens: list[int]) -> np.ndarray:
+        """(a, b) of tokens of one text whose keys agree up to a left out character, a being the first that has the variant.
+
+        Variants are told apart by 64-bit hashes, so that a token takes some bytes for each and no strings.
+        """
+        signs, owners = array("q"), array("q")
+        for i in tokens:
+            key, text = self.key[i], self.text[i]
+            own = {hash((text, v)) for v in (key, *(key[:k] + key[k + 1 :] for k in range(len(key))))}
+            signs.extend(own)
+            owners.extend([i] * len(own))
+        if not signs:
+            return np.zeros((0, 2), np.int64)
+        sign, owner = np.frombuffer(signs, np.int64), np.frombuffer(owners, np.int64)
+        order = np.lexsort((owner, sign))
+        sign, owner = sign[order], owner[order]
+        heads = np.concatenate([[True], sign[1:] != sign[:-1]])
+        holder = owner[heads][np.cumsum(heads) - 1]
+        later = holder != owner
+        return np.unique(np.stack([holder[later], owner[later]], axis=1), axis=0)
 
     def truth(self, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
         """Each token's label by the patterns: 0 for none, else 1 + kind of the first span that overlaps it."""
@@ -249,29 +270,40 @@ class Field:
     weights: np.ndarray
     potentials: np.ndarray
 
-    def marginals(self, edges: np.ndarray, features: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    def marginals(self, edges: np.ndarray, features: np.ndarray, evidence: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
         """Each node's label probabilities by damped sum-product messages along both directions of every edge.
 
-        evidence has each node's label by the patterns, 0 for none.
+        evidence has each node's label by the patterns, 0 for none; owner each node's document. A document's messages stop
+        when they have settled, whatever other documents do.
         """
         unary = features @ self.weights
         unary[np.flatnonzero(evidence), evidence[evidence > 0]] += EVIDENCE
         n, m = len(unary), len(edges)
         if not m:
             return _softmax(unary)
+        owner = np.zeros(n, np.int64) if owner is None else owner
         source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-        pair = np.r_[self.potentials[edges[:, 2]], self.potentials[edges[:, 2]].transpose(0, 2, 1)]
-        back = np.r_[np.arange(m, 2 * m), np.arange(m)]
+        kind, turned = np.r_[edges[:, 2], edges[:, 2]], np.arange(2 * m) >= m
+        back, of = np.r_[np.arange(m, 2 * m), np.arange(m)], owner[source]
         messages = np.zeros((2 * m, _LABELS))
+        alive = np.ones(int(owner.max()) + 1, bool)
         for _ in range(ROUNDS):
-            before = messages
             belief = unary + _sums(messages, target, n)
-            cavity = (belief[source] - messages[back])[:, :, None] + pair
-            top = cavity.max(axis=1)
-            new = top + np.log(np.exp(cavity - top[:, None, :]).sum(axis=1))
-            new -= new.max(axis=1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
-            if np.abs(messages - before).max() < SETTLED:
+            after = messages.copy()
+            moved = np.zeros(len(alive))
+            live = np.flatnonzero(alive[of])
+            for at in range(0, len(live), EDGE_BLOCK):
+                e = live[at : at + EDGE_BLOCK]
+                pair = np.where(turned[e][:, None, None], self.potentials[kind[e]].transpose(0, 2, 1), self.potentials[kind[e]])
+                cavity = (belief[source[e]] - messages[back[e]])[:, :, None] + pair
+                top = cavity.max(axis=1)
+                new = top + np.log(np.exp(cavity - top[:, None, :]).sum(axis=1))
+                new -= new.max(axis=1, keepdims=True)
+                after[e] = DAMPING * messages[e] + (1 - DAMPING) * new
+                np.maximum.at(moved, of[e], np.abs(after[e] - messages[e]).max(axis=1))
+            messages = after
+            alive &= moved >= SETTLED
+            if not alive.any():
                 break
         return _softmax(unary + _sums(messages, target, n))
 
@@ -396,7 +428,7 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if tokens.text:
         taken = tokens.truth(base)
-        p = field.marginals(*tokens.graph(), taken)
+        p = field.marginals(*tokens.graph(), taken, np.frombuffer(tokens.text, np.int64))
         label = p.argmax(axis=1)
         before = -2
         for i in np.flatnonzero((label > 0) & (taken == 0) & (p.max(axis=1) >= CERTAIN)).tolist():
@@ -414,7 +446,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int
 
 
 def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "text"):
+    for batch in byte_slices(batches, "text", SLICE_BYTES):
         found = spans_of(texts_of(batch), field)
         columns = [batch.column("doc_id").cast(pa.int64())]
         for k in (0, 1):
@@ -448,7 +480,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "text"):
+    for batch in byte_slices(batches, "text", SLICE_BYTES):
         texts = texts_of(batch)
         done = [redacted(t, spans) for t, (_, spans) in zip(texts, spans_of(texts, field), strict=True)]
         nulls = batch.column("text").is_null().to_pylist()

@@ -1,7 +1,11 @@
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -123,6 +127,30 @@ def test_field_finds_rewritten_matches_that_it_never_saw():
     assert want > 300 and found >= 0.8 * want and right >= 0.95 * added
 
 
+def test_spans_do_not_depend_on_other_texts():
+    random.seed(8)
+    texts = []
+    for i in range(120):
+        parts = [f"mail anna{i}(at)mail.example", "call 0049 30 1234567", f"card 4111/1111/1111/{1000 + i}", "host 10.0.0.1 and 10 0 0 1", "anna.b@mail.example", "in 1984", "nothing", f"+49 30 {i}234567"]
+        texts.append(" ".join(random.choices(parts, k=random.randint(1, 30))))
+    field = personal.fit_field(texts[:40])
+    alone = [personal.spans_of([t], field)[0] for t in texts]
+    assert personal.spans_of(texts, field) == alone
+    assert personal.spans_of(texts[::-1], field)[::-1] == alone and any(len(b) < len(a) for b, a in alone)
+
+
+def test_tokens_of_numbers_take_bounded_memory():
+    """A text of numbers alone, in a process of its own: what is held grows by less than 260 bytes a byte."""
+    code = (
+        "import resource, random; from tessella.llm import personal; random.seed(1);"
+        "text = ' '.join(str(random.randrange(10**9)) for _ in range(60_000));"
+        "field = personal.fit_field(['call +49 30 1234567 or mail a@b.co']); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "personal.spans_of([text], field); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(Path(__file__).resolve().parents[2])})
+    assert float(out.stdout) < 260, out.stdout
+
+
 def test_very_long_texts_of_tokens(spark, docs_of):
     long = "in 1984 " * 60_000 + "x@mail.example.com " + "1 " * 100_000 + "(at)" * 30_000
     docs = docs_of([long, "call +49 30 1234567"])
