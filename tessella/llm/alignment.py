@@ -34,13 +34,13 @@ if TYPE_CHECKING:
     from tokenizers import Encoding
 
 #: Bytes of text of a block, characters of a run that is aligned at once, and distinct words that a worker remembers.
-BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 16 << 20, 1 << 20, 400_000
+BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 4 << 20, 1 << 18, 250_000
 #: Pair numbers in one batch that leaves a task.
 BATCH_PAIRS = 1 << 20
 #: Longer texts are cut here, where either tokenizer has a word's end.
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
-#: Blanks and what follows: no piece holds a blank after another character.
-_CHUNKS = re.compile(" +[^ ]*")
+#: Letters, and marks between which and letters words may end.
+_LETTERS, _MARKS = "A-Za-z\xc0-\u024f", "\n.,!?;:"
 #: What a word's bytes are where its pieces do not give them back.
 _LOST = np.array([[0, 1 << 31]], np.uint32).tobytes()
 
@@ -97,21 +97,34 @@ class PieceTokens(dict):
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.vocab_size()
         self.byte = {i: int(model.id_to_piece(i)[3:5], 16) for i in range(self.size) if model.is_byte(i)}
-        names = map(model.id_to_piece, range(self.size))
+        names = list(map(model.id_to_piece, range(self.size)))
         self.bytes_of = [bytes([self.byte[i]]) if i in self.byte else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.pairs = [_interleaved([i], [len(decoded)]) for i, decoded in enumerate(self.bytes_of)]
         self.blank = _interleaved([model.piece_to_id(SPACE)], [1])
+        # words end before blanks, as no piece holds one after another character, and between letters and such marks as no
+        # piece holds next to a letter
+        marks = "".join(m for m in _MARKS if not any(re.search(f"[{_LETTERS}]{re.escape(m)}|{re.escape(m)}[{_LETTERS}]", n) for n in names))
+        between = f"(?<=[{_LETTERS}])(?=[{marks}])|(?<=[{marks}])(?=[{_LETTERS}])|" if marks else ""
+        quick = f" *[{_LETTERS}]+(?=[{marks} ]|\\Z)|[{marks}]+(?=[{_LETTERS} ]|\\Z)|" if marks else ""
+        self.words = re.compile(f"{quick} *[^ ]+?(?:{between}(?= )|\\Z)| +").findall
+        #: What stands before a word without a blank, by whether it begins with a mark; its pieces are left out.
+        self.before = {begins: (p, len(model.encode(p))) for begins, p in ((True, "a"), (False, ","))}
+        self.marks = frozenset(marks)
 
     def learn(self, words: set[str]) -> None:
         """Remember words; the library adds their first blank. In ASCII a piece has as many bytes as characters."""
-        plain = [w for w in words if w.isascii()]
-        for word, ids in zip(plain, self.model.encode([w[1:] for w in plain], num_threads=1), strict=True):
-            same = b"".join([self.bytes_of[i] for i in ids]) == word.encode()
-            self[word] = b"".join([self.pairs[i] for i in ids]) if same else _LOST
-        others = [w for w in words if not w.isascii()]
-        for word, proto in zip(others, self.model.encode([w[1:] for w in others], out_type="proto", num_threads=1), strict=True):
-            ids, before, sizes, raw = [], -1, [], word.encode()
-            for piece in proto.pieces:
+        plain, others = [], []
+        for word in words:
+            prefix, n = ("", 0) if word[0] == " " else self.before[word[0] in self.marks]
+            (plain if word.isascii() else others).append((word, prefix + word if prefix else word[1:], n))
+        for (word, _, n), ids in zip(plain, self.model.encode([t for _, t, _ in plain], num_threads=1), strict=True):
+            own = ids[n:]
+            same = b"".join([self.bytes_of[i] for i in own]) == word.encode()
+            self[word] = b"".join([self.pairs[i] for i in own]) if same else _LOST
+        for (word, text, n), proto in zip(others, self.model.encode([t for _, t, _ in others], out_type="proto", num_threads=1), strict=True):
+            ids, sizes, raw = [], [], word.encode()
+            before = len(text.encode()) - len(raw)  # -1 where the library adds the blank
+            for piece in list(proto.pieces)[n:]:
                 i, stop = piece.id, piece.end
                 ids.append(i)
                 # a piece of one byte has the span of its character, or none
@@ -188,7 +201,7 @@ class Aligner:
 
     def _run(self, parts: list[tuple[_Document, str]]) -> None:
         words_a = [None if _OTHER.search(part) else _WORDS.findall(part) for _, part in parts]
-        words_b = [_CHUNKS.findall(part) for _, part in parts]
+        words_b = [self.b.words(part) for _, part in parts]
         for memo, words in ((self.a, words_a), (self.b, words_b)):
             if len(memo) > MEMO_WORDS:
                 memo.clear()
