@@ -16,7 +16,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -34,7 +34,7 @@ if TYPE_CHECKING:
     from tokenizers import Encoding
 
 #: Bytes of text of a block, characters of a run that is aligned at once, and distinct words that a worker remembers.
-BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 4 << 20, 1 << 18, 250_000
+BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 4 << 20, 1 << 18, 350_000
 #: Pair numbers in one batch that leaves a task.
 BATCH_PAIRS = 1 << 20
 #: Longer texts are cut here, where either tokenizer has a word's end.
@@ -117,10 +117,13 @@ class PieceTokens(dict):
         for word in words:
             prefix, n = ("", 0) if word[0] == " " else self.before[word[0] in self.marks]
             (plain if word.isascii() else others).append((word, prefix + word if prefix else word[1:], n))
-        for (word, _, n), ids in zip(plain, self.model.encode([t for _, t, _ in plain], num_threads=1), strict=True):
-            own = ids[n:]
-            same = b"".join([self.bytes_of[i] for i in own]) == word.encode()
-            self[word] = b"".join([self.pairs[i] for i in own]) if same else _LOST
+        found = [ids[n:] for (_, _, n), ids in zip(plain, self.model.encode([t for _, t, _ in plain], num_threads=1), strict=True)]
+        names, pairs, decoded = [word for word, _, _ in plain], self.pairs.__getitem__, self.bytes_of.__getitem__
+        if b"".join(map(decoded, chain.from_iterable(found))) == "".join(names).encode():
+            self.update(zip(names, [b"".join(map(pairs, ids)) for ids in found], strict=True))
+        else:
+            for word, ids in zip(names, found, strict=True):
+                self[word] = b"".join(map(pairs, ids)) if b"".join(map(decoded, ids)) == word.encode() else _LOST
         for (word, text, n), proto in zip(others, self.model.encode([t for _, t, _ in others], out_type="proto", num_threads=1), strict=True):
             ids, sizes, raw = [], [], word.encode()
             before = len(text.encode()) - len(raw)  # -1 where the library adds the blank
@@ -205,7 +208,7 @@ class Aligner:
         for memo, words in ((self.a, words_a), (self.b, words_b)):
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            memo.learn({w for own in words if own for w in own if w not in memo})
+            memo.learn(set().union(*filter(None, words)).difference(memo))
         run = []
         for (document, part), own_a, own_b in zip(parts, words_a, words_b, strict=True):
             size = len(part) if part.isascii() else len(part.encode())
