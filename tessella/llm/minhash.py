@@ -37,7 +37,7 @@ STRIDE = 1 << 15
 #: Hubs that more pairs have are copied for so many parts of their pairs.
 SALTS = 32
 #: Sets of a bucket that one task compares with the bucket's others.
-BUCKET_ROWS = 256
+BUCKET_ROWS = 4096
 
 _SEEDS = scramble(np.arange(1, 2 * COLLECTIONS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _FACTOR = _SEEDS[: COLLECTIONS * ROWS, None], _SEEDS[COLLECTIONS * ROWS :, None] | np.uint64(1)
