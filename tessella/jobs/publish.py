@@ -1,53 +1,124 @@
-"""Tables published by generation: written beside what is there, then named by a manifest."""
+"""Tables published by generation: written beside what is there, then named by a manifest that only one writer can claim."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _manifest(base: str) -> str:
-    return f"{base.rstrip('/')}/manifest"
+from tessella.jobs import manifest
 
 
 def current(spark: SparkSession, base: str) -> dict | None:
     """The manifest of the last published generation, None before the first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_manifest(base))
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    newest = spark.read.text(_manifest(base)).select(F.col("value"), F.get_json_object("value", "$.generation").cast("int").alias("g"))
-    row = newest.orderBy(F.desc("g")).first()
-    return json.loads(row["value"]) if row else None
+    numbers = manifest.numbers(spark, _manifests(base))
+    return manifest.content(spark, _manifest(base, numbers[-1])) if numbers else None
 
 
-def publish(tables: dict[str, DataFrame], base: str, must_have_rows: str) -> dict:
-    """Write the tables as the next generation and append it to the manifest.
+def publish(tables: dict[str, DataFrame], base: str, must_have_rows: str, contract: dict | None = None, after: int | None = None) -> dict:
+    """Write the tables to folders of their own, then claim the next generation for them by a manifest.
 
-    The manifest line is written last, so readers see the old generation or the whole new one. With no rows in the named
-    table nothing is published and the old generation stays.
+    Readers see the old generation or the whole new one. Of writers that started from the same generation (the current one,
+    or `after`, which a caller names whose tables were made from it) one succeeds; the others get Conflict, and what they
+    wrote goes. With no rows in the named table nothing is published. The contract is what readers must agree with: the
+    model, its size, prefixes and the like.
     """
     spark = next(iter(tables.values())).sparkSession
-    before = current(spark, base)
-    generation = (before["generation"] if before else 0) + 1
-    paths = {}
-    for name, table in tables.items():
-        paths[name] = f"{base.rstrip('/')}/gen={generation}/{name}"
-        table.write.mode("overwrite").parquet(paths[name])
-    counts = {name: spark.read.parquet(path).count() for name, path in paths.items()}
-    if not counts[must_have_rows]:
-        raise ValueError(f"{must_have_rows} has no rows; generation {generation} is not published")
-    manifest = {"generation": generation, "tables": paths, "rows": counts}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("append").text(_manifest(base))
-    return manifest
-
-
-def load(spark: SparkSession, base: str, table: str) -> DataFrame:
-    manifest = current(spark, base)
-    if manifest is None:
+    if after is None:
+        before = current(spark, base)
+        after = before["generation"] if before else 0
+    folder = f"{base.rstrip('/')}/gen-{after + 1}-{uuid.uuid4().hex}"
+    try:
+        paths = {name: f"{folder}/{name}" for name in tables}
+        for name, table in tables.items():
+            table.write.parquet(paths[name])
+        counts = {name: spark.read.parquet(path).count() for name, path in paths.items()}
+        if not counts[must_have_rows]:
+            raise ValueError(f"{must_have_rows} has no rows; generation {after + 1} is not published")
+        named = {"generation": after + 1, "folder": folder, "tables": paths, "rows": counts, "contract": contract, "contract_hash": _digest(contract)}
+        return claim_next(spark, base, named)
+    except BaseException:
+        manifest.remove(spark, folder)
+        raise
+
+
+def claim_next(spark: SparkSession, base: str, named: dict) -> dict:
+    """Make a manifest the one of its generation; Conflict where another writer has."""
+    manifest.claim(spark, _manifest(base, named["generation"]), named)
+    return named
+
+
+def load(spark: SparkSession, base: str, table: str, contract: dict | None = None) -> DataFrame:
+    """A table of the current generation, once the reader's contract, if it has one, is found to be that of the manifest."""
+    named = current(spark, base)
+    if named is None:
         raise ValueError(f"nothing is published in {base}")
-    return spark.read.parquet(manifest["tables"][table])
+    check_contract(named, contract)
+    return spark.read.parquet(named["tables"][table])
+
+
+def check_contract(named: dict, contract: dict | None) -> None:
+    """Raise where a reader's contract is not the manifest's, naming what differs; texts may differ in outer blanks."""
+    kept = named.get("contract")
+    if named.get("contract_hash") != _digest(kept):
+        raise ValueError(f"the contract of generation {named['generation']} is not what was published")
+    if contract is None:
+        return
+    if kept is None:
+        raise ValueError(f"generation {named['generation']} has no contract")
+    if named["contract_hash"] != _digest(contract):
+        mine, theirs = _trimmed(contract), _trimmed(kept)
+        wrong = sorted(k for k in mine.keys() | theirs.keys() if k not in mine or k not in theirs or mine[k] != theirs[k])
+        raise ValueError(f"generation {named['generation']} differs in {', '.join(wrong)}")
+
+
+def drop_old(spark: SparkSession, base: str, keep: int = 2) -> list[int]:
+    """Delete the folders of all generations but the newest `keep`, for readers that still hold the one before; the numbers dropped.
+
+    Manifests stay: a writer that started long ago must not find its generation free. A folder that is gone is passed over,
+    and one that a later manifest names (an upsert's bucket) stays.
+    """
+    if keep < 1:
+        raise ValueError("the current generation stays")
+    known = [manifest.content(spark, _manifest(base, n)) for n in manifest.numbers(spark, _manifests(base))]
+    wanted = {path for named in known[-keep:] for path in named["tables"].values()}
+    dropped = []
+    for named in known[:-keep]:
+        gone = [manifest.remove(spark, path) for path in named["tables"].values() if path not in wanted]
+        if any(gone):
+            dropped.append(named["generation"])
+        if not any(path.startswith(named["folder"] + "/") for path in wanted):
+            manifest.remove(spark, named["folder"])
+    return dropped
+
+
+def write_report(report: DataFrame, path: str) -> dict:
+    """A report of one row as a JSON file, put there whole."""
+    rows = report.select(F.to_json(F.struct(*report.columns)).alias("json")).take(2)
+    if len(rows) != 1:
+        raise ValueError("a report has one row")
+    found = json.loads(rows[0]["json"])
+    manifest.replace(report.sparkSession, path, found)
+    return found
+
+
+def _manifests(base: str) -> str:
+    return f"{base.rstrip('/')}/manifests"
+
+
+def _manifest(base: str, generation: int) -> str:
+    return f"{_manifests(base)}/{generation:010d}.json"
+
+
+def _trimmed(contract: dict) -> dict:
+    return {k: v.strip() if isinstance(v, str) else v for k, v in contract.items()}
+
+
+def _digest(contract: dict | None) -> str | None:
+    return None if contract is None else hashlib.sha256(json.dumps(_trimmed(contract), sort_keys=True).encode()).hexdigest()
 
 
 def write_flat_csv(rows: DataFrame, columns: list[str], path: str) -> None:

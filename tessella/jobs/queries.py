@@ -568,6 +568,14 @@ def query_log_stream(spark, sf_dir):
     return querylog.daily_counts(spark, sf_dir)
 
 
+@register("""
+SELECT user_id, event_type, event_id, ts, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) = 1""")
+def stream_upsert(spark, sf_dir):
+    """The last event of each user and kind, merged batch by batch from the log's stream."""
+    return querylog.last_events(spark, sf_dir)
+
+
 @register(r"""
 SELECT event_id, array_to_string([CAST(x AS VARCHAR) FOR x IN list_sort(list_distinct(regexp_extract_all('see [' || user_id || '] and [' || CAST(event_id % 7 AS VARCHAR) || ']', '\[(\d+)\]', 1)))], ',') AS numbers
 FROM events""")

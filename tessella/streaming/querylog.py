@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.storage import shared_folder
+from tessella.streaming import upserts
 
 
 def daily(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -23,19 +22,27 @@ def once_per_event(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the daily counts over what the log's folder holds; each batch replaces the result table."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    log = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
-    name = f"counts_{uuid.uuid4().hex}"
-    out = shared_folder(spark, name)
+    """Run the daily counts over what the log's folder holds.
+
+    Each batch sends the days that changed, which replace theirs in a table; days past the watermark leave the state.
+    """
+    base = shared_folder(spark, "counts")
+    upserts.start(daily(_log(spark, sf_dir)), base, ["day", "event_type"], ["n"], "update").awaitTermination()
+    return upserts.table(spark, base, "day date, event_type string, n long, total double")
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/table")
 
-    query = daily(log).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(replace).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and kind by a stream that merges each batch of the log into a table."""
+    base = shared_folder(spark, "last")
+    events = _log(spark, sf_dir).select("user_id", "event_type", "event_id", "ts", "value")
+    upserts.start(events, base, ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
+    return upserts.table(spark, base, "user_id long, event_type string, event_id long, ts timestamp, value double")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
