@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import catalog, chunking, conversation, evaluation, index, lookup, rechunking, relational, retrieval
+from tessella.operators import catalog, chunking, conversation, evaluation, golden, index, lookup, rechunking, records, relational, retrieval
 from tessella.sources import pages as page_source
 from tessella.storage import materialize
 from tessella.streaming import querylog
@@ -925,3 +925,111 @@ def chunk_enrichment(spark, sf_dir):
     facts = F.create_map(F.lit("part_type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
     text = T.enriched(F.col("p_type"), F.col("p_name"), facts, F.col("p_partkey") % 2 == 0)
     return read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+@register(r"""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'r' ELSE 'tt' END || p_partkey AS imdb_id, p_name AS title,
+  CASE p_partkey % 4 WHEN 0 THEN 1950 + p_size WHEN 1 THEN 1999 END AS year, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DOUBLE) END AS imdb_rating,
+  CASE p_partkey % 3 WHEN 2 THEN '' ELSE p_type || '|' || p_brand END AS genres, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS names,
+  CASE p_partkey % 5 WHEN 0 THEN 'https://films/' || p_partkey WHEN 4 THEN '' ELSE 'https://own/' || p_partkey END AS url FROM part""")
+def record_normalisation(spark, sf_dir):
+    """Parts written as loose JSON (lists or texts between commas, numbers as texts, objects that are none), normalised and
+    shown as callers see them.
+    """
+    key = F.col("p_partkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    pick = lambda n, *values: F.element_at(F.array(*(F.lit(v) if isinstance(v, str) else v for v in values)), (key % n).cast("int") + 1)
+    fields = {
+        "imdb_id": pick(3, '""', *[quoted(text(" tt", key, " "))] * 2), "id": quoted(text("r", key)), "title": quoted(text(" ", F.col("p_name"), "\n")),
+        "year": pick(4, text(F.col("p_size") + 1950), '" 1999 "', '"n/a"', "null"), "imdb_rating": pick(2, text(F.col("p_retailprice")), '"unrated"'),
+        "genres": pick(3, text("[", quoted(F.col("p_type")), ', " ", null, ', quoted(F.col("p_brand")), "]"), quoted(text(F.col("p_type"), ", ", F.col("p_brand"), ",,")), "7"),
+        "top_cast": pick(2, text('[{"name": ', quoted(F.col("p_name")), '}, {"name": " "}, 5, null]'), '"none"'),
+        "source_urls": pick(5, text('{"imdb": "https://films/', key, '"}'), '{"imdb": ""}', '"text"', "[]", "null"),
+        "url": pick(5, *[quoted(text("https://own/", key))] * 4, "null"),
+    }
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items())), F.lit("}"))
+    rows = records.normalized(read(spark, sf_dir, "part").select("p_partkey", F.parse_json(body).alias("record")))
+    names = F.array_join(F.transform("top_cast", lambda person: records.text_at(person, "name")), "|").alias("names")
+    shown = records.public(rows.withColumn("overview", F.col("p_partkey").cast("string")))
+    return shown.select(F.col("overview").cast("long").alias("p_partkey"), "imdb_id", "title", "year", "imdb_rating", F.array_join("genres", "|").alias("genres"), names, "url")
+
+
+@register("""
+SELECT p_partkey, 'qf_brand_name=' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '|qf_part=' || p_type END || '|qf_size=' || p_size AS fields FROM part""")
+def metadata_keys(spark, sf_dir):
+    """Facts of parts under keys that an index takes; two keys become equal, and a null value goes."""
+    facts = F.create_map(
+        F.lit("Size (cm)"), F.lit("0"), F.lit("-size-"), F.col("p_size").cast("string"), F.lit("Brand Name"), F.col("p_brand"),
+        F.lit("__Part"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")),
+    )
+    facts = F.map_filter(facts, lambda k, _: k != "Size (cm)")
+    pairs = F.array_sort(F.transform(F.map_entries(records.metadata_fields(facts)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(pairs, "|").alias("fields"))
+
+
+@register(r"""
+WITH i AS (SELECT doc_id, coalesce(text, '') AS text, 'q' || (doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END) AS id,
+    CASE doc_id % 7 WHEN 0 THEN 'single_hop' WHEN 1 THEN 'multi_hop' WHEN 2 THEN 'comparative' WHEN 3 THEN 'temporal' WHEN 4 THEN 'unanswerable' WHEN 5 THEN 'ambiguous_adversarial' ELSE 'other' END AS category,
+    CASE WHEN doc_id % 31 = 0 THEN 'train' WHEN doc_id % 5 < 3 THEN 'dev' ELSE 'test' END AS split, doc_id % 37 <> 0 AS flags, doc_id % 7 <> 4 AS open FROM documents),
+e AS (SELECT id, 'unsupported_category' AS error FROM i WHERE category = 'other'
+  UNION ALL SELECT id, 'split_must_be_dev_or_test' FROM i WHERE split = 'train'
+  UNION ALL SELECT id, 'flag_must_be_true_or_false' FROM i WHERE NOT flags
+  UNION ALL SELECT id, 'documents_and_urls_must_align' FROM i WHERE flags AND open AND doc_id % 9 = 0
+  UNION ALL SELECT id, 'multi_hop_needs_two_documents' FROM i WHERE flags AND doc_id % 7 = 1 AND doc_id % 2 = 0
+  UNION ALL SELECT id, 'evidence_without_answer' FROM i WHERE flags AND NOT open
+  UNION ALL SELECT id, 'searched_for_missing' FROM i WHERE flags AND NOT open AND doc_id % 3 = 0
+  UNION ALL SELECT id, 'duplicate_id' FROM i GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT id, 'unknown_document' FROM i WHERE flags AND open AND doc_id % 11 = 0
+  UNION ALL SELECT id, 'quote_not_found' FROM i WHERE flags AND open AND doc_id % 11 <> 0 AND doc_id % 13 = 0
+  UNION ALL SELECT id, CASE WHEN n.doc_id IS NULL THEN 'unknown_document' ELSE 'quote_not_found' END FROM i LEFT JOIN (SELECT DISTINCT doc_id FROM documents) n ON n.doc_id = i.doc_id + 1
+    WHERE flags AND i.doc_id % 7 = 1 AND i.doc_id % 2 = 1
+  UNION ALL SELECT NULL, 'split_is_not_60_40' FROM (SELECT count(*) AS n, count(*) FILTER (split = 'dev') AS d, count(*) FILTER (split = 'test') AS t FROM i) WHERE d <> round(n * 0.6) OR t <> n - round(n * 0.6))
+SELECT id, error, count(*) AS n FROM e GROUP BY 1, 2""")
+def golden_audit(spark, sf_dir):
+    """The rules of a golden set on a question of each document, with evidence looked up in the documents; many break one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    kind = F.element_at(F.array(*map(F.lit, [*golden.MINIMA, "other"])), (key % 7).cast("int") + 1)
+    two = (key % 7 == 1) & (key % 2 == 1)
+    first = F.when(key % 11 == 0, "none").otherwise(name)
+    quote = F.when(key % 13 == 0, "\u0001").otherwise(F.upper(F.concat(F.lit(" "), F.substring("text", 5, 30), F.lit("\n"))))
+    documents = F.when(two, F.array(first, (key + 1).cast("string"))).otherwise(F.array(first))
+    items = docs.select(
+        F.concat(F.lit("q"), F.when(key % 50 == 1, key - 1).otherwise(key).cast("string")).alias("id"), kind.alias("category"),
+        F.when(key % 31 == 0, "train").when(key % 5 < 3, "dev").otherwise("test").alias("split"),
+        F.when(key % 37 == 0, "maybe").when(key % 7 == 4, "false").otherwise(" TRUE").alias("answerable"), F.lit("true").alias("human_verified"), F.lit("yes").alias("gold_answer"),
+        documents.alias("document_ids"), F.when(key % 9 == 0, F.array().cast("array<string>")).otherwise(documents).alias("source_urls"),
+        F.when(two, F.array(quote, F.lit("\u0001"))).otherwise(F.array(quote)).alias("quotes"), F.when((key % 7 == 4) & (key % 3 != 0), "it").otherwise("").alias("searched_for"),
+    )
+    found = golden.errors(items, docs.select(name.alias("id"), "text"))
+    found = found.filter("NOT (id IS NULL AND (error LIKE 'too_few%' OR error LIKE 'no_%'))")  # what a small table lacks
+    return found.groupBy("id", "error").agg(F.count("*").alias("n"))
+
+
+@register(r"""
+WITH r AS (SELECT p_name AS title, min(p_size) AS size, min(p_brand) AS brand, min(p_type) AS kind FROM part GROUP BY 1),
+q AS (SELECT p_partkey AS query_id, p_partkey % 2 AS odd, p_partkey % 5 AS ask, CASE WHEN p_partkey % 13 = 0 THEN 'What is the runtime?' ELSE
+    CASE p_partkey % 5 WHEN 0 THEN 'What is the Release Date of ' WHEN 1 THEN 'Who directed ' WHEN 2 THEN 'What is the runtime of ' WHEN 3 THEN 'Who wrote ' ELSE 'Where is ' END || upper(p_name) || '?' END AS query FROM part),
+l AS (SELECT query_id, arg_max(title, {'n': length(title), 't': title}) AS title FROM q LEFT JOIN r ON contains(lower(query), lower(title)) GROUP BY 1)
+SELECT query_id, title, CASE WHEN title IS NULL THEN '' ELSE ['release_date', 'directors', 'runtime', 'writers', 'unknown'][ask + 1] END AS field,
+  CASE WHEN title IS NULL THEN '' ELSE [strftime(DATE '1990-01-01' + size, '%B %-d, %Y'), brand || ', ' || kind, (size + 60) || ' minutes', '', ''][ask + 1] END AS answer,
+  CASE WHEN title IS NULL THEN 'title_not_found' WHEN ask = 4 THEN 'unsupported_question_pattern' WHEN ask = 3 THEN 'gold_not_supported_by_corpus'
+    WHEN odd = 0 THEN 'matches_corpus' ELSE 'mismatch' END AS status
+FROM q JOIN l USING (query_id) LEFT JOIN r USING (title)""")
+def seed_audit(spark, sf_dir):
+    """Questions on parts, half of them with wrong answers, against the records that they name."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type")
+    grouped = parts.groupBy(F.col("p_name").alias("title")).agg(F.min("p_size").alias("size"), F.min("p_brand").alias("brand"), F.min("p_type").alias("kind"))
+    none, least = F.array().cast("array<string>"), F.col("size")
+    films = grouped.select(
+        "title", F.date_add(F.lit("1990-01-01").cast("date"), least).alias("release_date"), F.array("brand", "kind").alias("directors"), none.alias("writers"),
+        (least + 60).alias("runtime"), none.alias("genres"), none.alias("top_cast"), F.lit("").alias("overview"), "size", "brand", "kind",
+    )
+    key = F.col("p_partkey")
+    asks = F.element_at(F.array(*map(F.lit, ["What is the Release Date of ", "Who directed ", "What is the runtime of ", "Who wrote ", "Where is "])), (key % 5).cast("int") + 1)
+    query = F.when(key % 13 == 0, "What is the runtime?").otherwise(F.concat(asks, F.upper("p_name"), F.lit("?")))
+    right = F.concat(F.lit("On "), F.date_format("release_date", "MMMM d, yyyy"), F.lit(" by "), "kind", F.lit(" and "), "brand", F.lit(", 1 hour "), F.col("size").cast("string"), F.lit(" minutes"))
+    asked = parts.join(films.select(F.col("title").alias("p_name"), right.alias("right")), "p_name")
+    asked = asked.select(key.alias("query_id"), query.alias("query"), F.when(key % 2 == 0, F.col("right")).otherwise("Nobody knows").alias("expected"))
+    return golden.seed_audit(asked, films.drop("size", "brand", "kind"))

@@ -242,8 +242,20 @@ def rewritten_with_title(query: Column, candidate: Column, canonical: Column) ->
     return F.when((at > 0) & (put != query), put).otherwise(F.concat(query, F.lit(" "), canonical))
 
 
-def longest_contained(questions: DataFrame, catalog: DataFrame, title: str) -> DataFrame:
-    """Questions (query_id, query) with the longest of a small catalog's titles that they contain; none keeps null."""
-    titles = F.broadcast(catalog.select(F.col(title).alias("title")).distinct())
-    hit = questions.join(titles, F.contains(normalize(F.col("query")), normalize(F.col("title"))), "left")
-    return hit.groupBy("query_id").agg(F.max_by("title", F.struct(F.char_length("title"), "title")).alias("title"))
+def longest_contained(questions: DataFrame, catalog: DataFrame, title: str, head: int = 8) -> DataFrame:
+    """Questions (query_id, query) with the longest of a catalog's titles that they contain, the greatest of equal length;
+    none keeps null. Null and empty titles are in none.
+
+    Titles meet places of a question by their first `head` characters, short ones by all of them, so that an ordinary join
+    finds each title that stands anywhere; what follows is compared there.
+    """
+    flat = catalog.select(F.col(title).alias("title"), normalize(F.col(title)).alias("plain")).filter("plain != ''").distinct()
+    titles = flat.withColumn("head", F.substring("plain", 1, head))
+    asked = questions.select("query_id", normalize(F.col("query")).alias("q"))
+    places = asked.filter("q != ''").select("query_id", "q", F.explode(F.sequence(F.lit(1), F.char_length("q"))).alias("at"))
+    rest = places.select("query_id", F.expr("substring(q, at)").alias("rest"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(head), F.char_length("rest")))
+    heads = rest.select("query_id", "rest", F.explode(F.transform(sizes, lambda n: F.substring(F.col("rest"), F.lit(1), n))).alias("head"))
+    hit = heads.join(titles, "head").filter(F.startswith("rest", "plain"))
+    best = hit.groupBy("query_id").agg(F.max_by("title", F.struct(F.char_length("title"), "title")).alias("title"))
+    return questions.select("query_id").distinct().join(best, "query_id", "left")
