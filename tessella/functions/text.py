@@ -105,8 +105,8 @@ def unit(a: Column, least: float = 1e-12) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of unit vectors, clamped to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b)))
+    """Cosine of unit vectors, clamped to 0..1; null where a vector is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b))))
 
 
 def duration_minutes(text: Column) -> Column:
