@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import extension
 from tessella.functions import text as T
-from tessella.operators import catalog, chunking, conversation, evaluation, golden, index, lookup, rechunking, records, relational, retrieval
+from tessella.operators import catalog, chunking, conversation, evaluation, golden, index, ingest, lookup, rechunking, records, relational, retrieval
 from tessella.sources import pages as page_source
 from tessella.storage import materialize
 from tessella.streaming import querylog
@@ -1033,3 +1034,71 @@ def seed_audit(spark, sf_dir):
     asked = parts.join(films.select(F.col("title").alias("p_name"), right.alias("right")), "p_name")
     asked = asked.select(key.alias("query_id"), query.alias("query"), F.when(key % 2 == 0, F.col("right")).otherwise("Nobody knows").alias("expected"))
     return golden.seed_audit(asked, films.drop("size", "brand", "kind"))
+
+
+@register(r"""
+WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS said FROM documents),
+c AS (SELECT doc_id AS line, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'c' || (doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END) END AS id,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE said END AS text, said, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 1 END AS generation, doc_id % 5 AS chunk_number FROM r),
+e AS (SELECT *, CASE WHEN line % 29 = 0 THEN 'chunk_must_be_an_object' WHEN id = '' THEN 'missing_chunk_id' WHEN text = '' THEN 'empty_text' WHEN line % 11 = 0 THEN 'missing_content_hash'
+    WHEN line % 7 = 0 THEN 'content_hash_mismatch' WHEN generation IS NULL THEN 'invalid_operational_metadata' END AS error FROM c),
+f AS (SELECT id, min(line) AS line FROM e WHERE error IS NULL GROUP BY 1)
+SELECT e.line, CASE WHEN e.line % 29 = 0 THEN '' ELSE e.id END AS id, CASE WHEN e.error IS NULL AND f.line IS NULL THEN 'duplicate_chunk_id' ELSE e.error END AS error,
+  CASE WHEN e.line % 29 <> 0 THEN e.chunk_number END AS chunk_number, CASE WHEN e.line % 29 = 0 THEN 0 ELSE length(e.text) END AS n_chars
+FROM e LEFT JOIN f ON e.line = f.line""")
+def ingest_checks(spark, sf_dir):
+    """Each document written as a loose chunk, many with a fault, and the first rule that it breaks."""
+    key, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    digest = F.sha2(records.stripped(text), 256)
+    chunk = F.struct(
+        F.when(key % 17 == 0, " ").otherwise(F.concat(F.lit("c"), F.when(key % 50 == 1, key - 1).otherwise(key).cast("string"), F.lit(" "))).alias("id"),
+        F.when(key % 13 == 0, "\n").otherwise(text).alias("text"), F.when(key % 11 == 0, "").when(key % 7 == 0, "0").otherwise(digest).alias("content_hash"),
+        F.when(key % 19 == 0, "first").otherwise("1").alias("generation"), (key % 5 + 0.5).alias("chunk_number"),
+    )
+    body = F.when(key % 29 == 0, "[1]").otherwise(F.to_json(chunk))
+    rows = read(spark, sf_dir, "documents").select(key.alias("line"), F.parse_json(body).alias("chunk"))
+    return ingest.checked(rows).select("line", "id", "error", "chunk_number", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# what plain SQL calls
+
+
+@register(r"""
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, len(words) AS n, word, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS word FROM w) GROUP BY ALL),
+d AS (SELECT word, count(*) AS holding FROM t WHERE word IN ('the', 'model', 'data') GROUP BY 1)
+SELECT doc_id, round(sum(greatest(ln(((SELECT count(*) FROM w) - holding + 0.5) / (holding + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(words)) FROM w)))), 6) AS score
+FROM t JOIN d USING (word) GROUP BY 1""")
+def sql_bm25(spark, sf_dir):
+    """BM25 of three words over all texts, in plain SQL with the helper functions; the idf is bounded below."""
+    extension.register(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spark.sql("SELECT doc_id, split(plain_words(text), ' ') AS words FROM {docs} WHERE text IS NOT NULL", docs=docs)
+    each = spark.sql("SELECT doc_id, size(words) AS n, explode(words) AS word FROM {words}", words=words)
+    posted = spark.sql("SELECT doc_id, n, word, count(*) AS tf FROM {each} WHERE word IN ('the', 'model', 'data') GROUP BY ALL", each=each)
+    texts = spark.sql("SELECT count(*) AS texts, avg(size(words)) AS avg_len FROM {words}", words=words)  # one row
+    holding = spark.sql("SELECT word, count(*) AS holding FROM {posted} GROUP BY word", posted=posted).join(F.broadcast(texts))  # three rows
+    met = posted.join(F.broadcast(holding), "word")
+    parts = spark.sql("SELECT doc_id, bm25_idf(texts, holding) * bm25_weight(tf, n, avg_len) AS part FROM {met}", met=met)
+    return spark.sql("SELECT doc_id, round(sum(part), 6) AS score FROM {parts} GROUP BY doc_id", parts=parts)
+
+
+@register("""
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_number, length(c) AS n_chars, CAST(ceil(length(c) / 4.0) AS BIGINT) AS n_tokens FROM (
+  SELECT doc_id, i, substring(text, i * 700 + 1, 700) AS c
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 700.0) AS BIGINT), 1))) AS i FROM documents)) WHERE trim(c) <> ''""")
+def sql_fixed_chunks(spark, sf_dir):
+    """Windows of all texts by a table function of plain SQL."""
+    extension.register(spark)
+    return spark.sql(
+        "SELECT doc_id, c.chunk_number, CAST(char_length(c.text) AS BIGINT) AS n_chars, chunk_tokens(c.text) AS n_tokens FROM {documents}, LATERAL fixed_chunks(text, 700) AS c",
+        documents=read(spark, sf_dir, "documents").select("doc_id", "text"),
+    )
+
+
+@register()
+def sql_section_chunks(spark, sf_dir):
+    """Chunks of all documents, their lines as sections, by a table function partitioned by document."""
+    extension.register(spark)
+    lines = _sectioned(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.posexplode("sections").alias("n", "s")).select("id", "n", "s.heading", "s.content")
+    return spark.sql("SELECT id, pos, section, sha2(text, 256) AS text_sha256 FROM section_chunks(TABLE({lines}) PARTITION BY id ORDER BY n)", lines=lines)
