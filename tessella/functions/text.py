@@ -164,6 +164,11 @@ def natural_join(items: Column, word: str = "and") -> Column:
     return F.when(n == 0, "").when(n == 1, F.get(items, F.lit(0))).when(n == 2, F.array_join(items, f" {word} ")).otherwise(many)
 
 
+def display_name(name: Column) -> Column:
+    """White space collapsed and trimmed, each word with a capital first and small letters after it."""
+    return F.initcap(squeeze(name))
+
+
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z0-9_-]", "_")
 

@@ -68,6 +68,25 @@ def catalog_rank_asc(spark, sf_dir):
     return catalog.ranked(rows.select("p_partkey", "p_name", "p_size"), "p_size", "p_name", "p_partkey", descending=False, limit=20)
 
 
+@register("""
+SELECT p_partkey, p_name, p_retailprice, votes, CAST(row_number() OVER (ORDER BY p_retailprice DESC, lower(p_name), p_partkey) AS INTEGER) AS ordinal
+FROM (SELECT *, p_size * 40 AS votes FROM part) WHERE votes >= 1000 ORDER BY p_retailprice DESC, lower(p_name), p_partkey LIMIT 10""")
+def rank_with_vote_floor(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", (F.col("p_size") * 40).alias("votes"))
+    return catalog.rated(rows, "p_retailprice", "votes", "p_name", "p_partkey")
+
+
+@register("""
+SELECT 'No movies featuring Ann De Lee were found in this dataset.' AS answer UNION ALL
+SELECT 'No movies matched all requested filters for Ann De Lee in this ' || CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate)) || ' ' ELSE '' END || 'dataset.'
+FROM orders WHERE year(o_orderdate) = 1996 UNION ALL SELECT 'No movies matched those structured filters.'""")
+def no_matches_answers(spark, sf_dir):
+    """What is said where nothing matches, over all orders and those of one year."""
+    rows = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    one = catalog.no_matches_text(rows.filter("year = 1996"), "year", "ANN  de lee", narrowed=True)
+    return catalog.no_matches_text(rows, "year", " ann de Lee").unionByName(one).unionByName(catalog.no_matches_text(rows, "year"))
+
+
 @register("""
 SELECT 'year' AS kind, CAST(year(o_orderdate) AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY 2
 UNION ALL SELECT 'priority', coalesce(o_orderpriority, 'Uncategorized'), count(*) FROM orders GROUP BY 2""")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import all_of, normalize
+from tessella.functions.text import all_of, display_name, normalize
 
 RANK_LIMIT, LIST_LIMIT, VOTE_FLOOR = 10, 50, 1000
 
@@ -55,6 +55,26 @@ def ranked(rows: DataFrame, value: str, title: str, key: str, descending: bool =
     return top.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))  # over `limit` rows
 
 
+def rated(rows: DataFrame, rating: str, votes: str, title: str, key: str, least_votes: int | None = None, limit: int = RANK_LIMIT) -> DataFrame:
+    """The best rated rows among those with enough votes: VOTE_FLOOR of them where no number is asked for; unknown votes are not enough."""
+    floor = VOTE_FLOOR if least_votes is None else least_votes
+    return ranked(rows.filter(F.col(votes) >= floor), rating, title, key, limit=limit)
+
+
+def no_matches_text(rows: DataFrame, year: str, person: str | None = None, narrowed: bool = False) -> DataFrame:
+    """One line (answer) for filters that no row of a catalog meets. With a person, it names the catalog's year if that is
+    one; years that are null or 0 do not count.
+    """
+    # The sentences.
+    if not person:
+        return rows.agg(F.lit("No movies matched those structured filters.").alias("answer"))
+    known = F.nullif(F.col(year), F.lit(0))
+    one = F.min(known) == F.max(known)
+    place = F.when(one, F.concat(F.lit("this "), F.min(known).cast("string"), F.lit(" dataset."))).otherwise("this dataset.")
+    words = ("No movies matched all requested filters for ", " in ") if narrowed else ("No movies featuring ", " were found in ")
+    return rows.agg(F.concat(F.lit(words[0]), display_name(F.lit(person)), F.lit(words[1]), place).alias("answer"))
+
+
 def listed(rows: DataFrame, key: str, limit: int = LIST_LIMIT) -> DataFrame:
     """The first rows by key, with the number of all rows and whether some are left out."""
     total = rows.agg(F.count("*").alias("total"))

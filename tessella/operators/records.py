@@ -107,3 +107,16 @@ def metadata_fields(facts: Column) -> Column:
     pairs = F.transform(F.filter(given, lambda e: e["value"].isNotNull()), lambda e: F.struct(safe(e["key"]).alias("key"), e["value"].alias("value")))
     later = lambda i: F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda e: e["key"])
     return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.array_contains(later(i), e["key"])))
+
+
+def of_documents(documents: DataFrame) -> DataFrame:
+    """Stand-alone documents (id, runtime_minutes, top_cast of names, url, source_file) with the columns of film records beside
+    their own. Blank and null names are left out; a null list has none; null addresses are empty.
+    """
+    # The addresses' keys and the status.
+    names = F.filter(F.coalesce("top_cast", F.array().cast("array<string>")), lambda name: F.coalesce(stripped(name), F.lit("")) != "")
+    address = F.create_map(F.lit("pdf"), F.coalesce("url", F.lit("")), F.lit("local_file"), F.coalesce("source_file", F.lit("")))
+    return documents.withColumns({
+        "imdb_id": F.col("id").cast("string"), "runtime": F.col("runtime_minutes"), "top_cast": F.transform(names, lambda name: F.struct(name.alias("name"), F.lit("[]").alias("characters"))),
+        "source_urls": address, "window_status": F.lit("fictional_mock"),
+    })

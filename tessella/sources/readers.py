@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -60,3 +61,20 @@ def seed_urls(spark: SparkSession, path: str, host: str, pattern: str, most: int
 
 def alias_rows(spark: SparkSession, aliases: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in aliases.items() if k and v], "alias string, target string")
+
+
+def alias_file(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, target) of a JSON object of texts, whole or under "aliases"; other values and blank texts are left out.
+
+    A missing file, and one that is no such object, has no rows.
+    """
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "alias string, target string")
+    found = whole.select(F.try_parse_json("value").alias("v")).select(F.coalesce(F.try_variant_get("v", "$.aliases", "variant"), "v").alias("v"))
+    each = found.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("alias", "v")).filter(F.schema_of_variant("v") == "STRING")
+    texts = each.select(F.btrim("alias").alias("alias"), F.btrim(F.try_variant_get("v", "$", "string")).alias("target"))
+    return texts.filter("alias <> '' AND target <> ''")
