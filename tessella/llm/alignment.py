@@ -1,9 +1,12 @@
 """Alignment of two tokenizers' tokens over the bytes of each text.
 
-Token spans come from the libraries: character offsets of the byte-level tokenizer, begin and end of each piece in the piece
-model's proto. They are coarse cuts: a character that several byte-level tokens share, and a piece that stands for one byte,
-are refined by the tokens' decoded bytes. Both tokenizers work within words of their own, so each distinct word is asked for
-once and remembered. Byte offsets where both have a token's end cut a text into groups.
+Both tokenizers work within words of their own. A text is cut into units, at whose ends both have a word's end; each distinct
+unit is asked for once, aligned once and remembered with its links and groups, so that a document is the sum of its units.
+Units that are a word of both are asked for by the line: the ids' decoded bytes must give the line back, and say which tokens
+are whose. Of the others token spans come from the libraries: character offsets of the byte-level tokenizer, begin and end of
+each piece in the piece model's proto. They are coarse cuts: a character that several byte-level tokens share, and a piece
+that stands for one byte, are refined by the tokens' decoded bytes. Byte offsets where both have a token's end cut a text into
+groups.
 
 Counts over the corpus meet the documents by blocks. A task sums up the pairs of a block of documents; a block's distinct
 pairs, numbered, are counted over all blocks and return to it with the totals. Documents hold numbers of pairs alone, so
@@ -16,13 +19,14 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate, chain
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.batches import byte_slices, texts_of
@@ -33,14 +37,21 @@ from tessella.storage import materialize
 if TYPE_CHECKING:
     from tokenizers import Encoding
 
-#: Bytes of text of a block, characters of a run that is aligned at once, and distinct words that a worker remembers.
-BLOCK_BYTES, RUN_CHARS, MEMO_WORDS = 4 << 20, 1 << 18, 350_000
+#: Bytes of text of a block, characters of a run that is aligned at once, distinct units that a worker remembers, and their links.
+BLOCK_BYTES, RUN_CHARS, MEMO_UNITS, MEMO_LINKS = 4 << 20, 1 << 18, 250_000, 4 << 20
+#: Units in a line that is tokenized at once.
+LINE_UNITS = 100
 #: Pair numbers in one batch that leaves a task.
 BATCH_PAIRS = 1 << 20
+#: Texts in one batch that reaches a task.
+BATCH_ROWS = 500
 #: Longer texts are cut here, where either tokenizer has a word's end.
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 #: Letters, and marks between which and letters words may end.
 _LETTERS, _MARKS = "A-Za-z\xc0-\u024f", "\n.,!?;:"
+#: Those of the letters that the byte-level tokenizer takes for letters too.
+_BOTH = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PLAIN = re.compile(f" ?[{_BOTH}]+").fullmatch
 #: What a word's bytes are where its pieces do not give them back.
 _LOST = np.array([[0, 1 << 31]], np.uint32).tobytes()
 
@@ -103,7 +114,8 @@ class PieceTokens(dict):
         self.blank = _interleaved([model.piece_to_id(SPACE)], [1])
         # words end before blanks, as no piece holds one after another character, and between letters and such marks as no
         # piece holds next to a letter
-        marks = "".join(m for m in _MARKS if not any(re.search(f"[{_LETTERS}]{re.escape(m)}|{re.escape(m)}[{_LETTERS}]", n) for n in names))
+        listed = "\0".join(names)
+        marks = "".join(m for m in _MARKS if not re.search(f"[{_LETTERS}]{re.escape(m)}|{re.escape(m)}[{_LETTERS}]", listed))
         between = f"(?<=[{_LETTERS}])(?=[{marks}])|(?<=[{marks}])(?=[{_LETTERS}])|" if marks else ""
         quick = f" *[{_LETTERS}]+(?=[{marks} ]|\\Z)|[{marks}]+(?=[{_LETTERS} ]|\\Z)|" if marks else ""
         self.words = re.compile(f"{quick} *[^ ]+?(?:{between}(?= )|\\Z)| +").findall
@@ -180,13 +192,187 @@ class _Document:
         return keys, self.times[0]
 
 
+def unit_pattern(marks: frozenset[str]) -> str:
+    """Stretches of text, each up to a place where words of both tokenizers end whatever follows: before a blank after what is
+    no white space; between a letter and one of `marks`; and between a line feed that stands alone and a letter.
+    """
+    points = "".join(sorted(marks - {"\n"}))
+    before, after = "".join(sorted(marks)), f"(?<=[{_BOTH}])(?=[{{}}])"
+    ends = [r"(?<=\S)(?= )", r"\Z"]
+    if before:
+        ends.append(after.format(before))
+    if points:
+        ends.append(f"(?<=[{points}])(?=[{_BOTH}])")
+    if "\n" in marks:
+        ends.append(rf"(?<=\S\n)(?=[{_BOTH}])")
+    quick = [f" ?[{_BOTH}]+(?=[{before} ]|\\Z)"]
+    if points:
+        quick.append(f"[{points}]+(?=[{_BOTH} ]|\\Z)")
+    return "|".join([*quick, f"(?s:.)+?(?:{'|'.join(ends)})"])
+
+
+class _Table:
+    """Numbers by row, with room to grow."""
+
+    def __init__(self, kind: type, *width: int) -> None:
+        self.held, self.n = np.zeros((1 << 12, *width), kind), 0
+
+    def append(self, rows: np.ndarray) -> None:
+        n = self.n + len(rows)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros((n * 5 // 4 - self.n, *self.held.shape[1:]), self.held.dtype)])
+        self.held[self.n : n] = rows
+        self.n = n
+
+
+class Units(dict):
+    """Units of text to their numbers, under which `facts`, `texts` and, by start, `links` and, if asked for, `ends` tell
+    their alignment.
+    """
+
+    #: Columns of `facts`: tokens, groups, links, bytes, whether a tokenizer does not give the unit back, first link and end.
+    A, B, GROUPS, LINKS, BYTES, LOST, LINK, END = range(8)
+
+    def __init__(self, byte_path: str, piece_path: str, with_ends: bool = False) -> None:
+        super().__init__()
+        self.a, self.b, self.with_ends = ByteTokens(byte_path), PieceTokens(piece_path), with_ends
+        sizes = np.zeros(max(self.a.size, *(i + 1 for i in self.a.bytes_of)), np.int64)
+        sizes[list(self.a.bytes_of)] = list(map(len, self.a.bytes_of.values()))
+        self.sizes_a, self.sizes_b = sizes, np.array(list(map(len, self.b.bytes_of)))
+        #: Of a group's text the ids, and behind them the marks after one: another follows, `b` follows, the group ends, the unit ends.
+        self.names = [*map(str, range(max(len(sizes), self.b.size))), ",", "|", ";", ";\n"]
+        self.cut = re.compile(unit_pattern(self.b.marks)).findall
+        self.new: list[str] = []
+        self.forget()
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.new.append(unit)
+        return n
+
+    def forget(self) -> None:
+        self.clear()
+        self.facts, self.links, self.ends, self.texts = _Table(np.int32, 8), _Table(np.int64), _Table(np.int64), []
+
+    def numbers(self, parts: list[str]) -> list[np.ndarray]:
+        """The numbers of each part's units in order, all of them learned."""
+        if len(self) > MEMO_UNITS or self.links.n > MEMO_LINKS:
+            self.forget()
+        found = [np.fromiter(map(self.__getitem__, units), np.int64, len(units)) for units in map(self.cut, parts)]
+        if self.new:
+            self._learn(self.new)
+            self.new = []
+        return found
+
+    def _learn(self, units: list[str]) -> None:
+        led, bare, others = [], [], []
+        for i, unit in enumerate(units):
+            (others if not _PLAIN(unit) else led if unit[0] == " " else bare).append(i)
+        lines = [led[k : k + LINE_UNITS] for k in range(0, len(led), LINE_UNITS)]
+        words = [list(map(units.__getitem__, line)) for line in lines]
+        if "," in self.b.marks:
+            # letters without a blank stand after a comma, which is left out
+            more = [bare[k : k + LINE_UNITS] for k in range(0, len(bare), LINE_UNITS)]
+            lines += [[-1, *chain.from_iterable((-1, i) for i in line)] for line in more]
+            words += [[" a", *chain.from_iterable((",", units[i]) for i in line)] for line in more]
+        else:
+            others += bare
+        order, tokens_a, tokens_b, counts = [], [], [], []
+        texts = list(map("".join, words))
+        all_a = [self.a.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]  # on this task's thread alone
+        all_b = self.b.model.encode([text[1:] for text in texts], num_threads=1)
+        of_a, of_b = self.a.bytes_of.get, self.b.bytes_of.__getitem__
+        for line, own, text, ids_a, ids_b in zip(lines, words, texts, all_a, all_b, strict=True):
+            raw = text.encode()
+            same = b"".join([of_a(i, b"") for i in ids_a]) == raw and b"".join(map(of_b, ids_b)) == raw
+            ids_a, ids_b, stops = np.array(ids_a), np.array(ids_b), np.cumsum([len(w.encode()) for w in own])
+            a, b = np.stack([ids_a, self.sizes_a[ids_a]], 1) if same else None, np.stack([ids_b, self.sizes_b[ids_b]], 1) if same else None
+            if same:
+                ends_a, ends_b = np.cumsum(a[:, 1]), np.cumsum(b[:, 1])
+                at_a, at_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
+                same = bool((ends_a[at_a] == stops).all() and (ends_b[at_b] == stops).all())
+            if not same:
+                others += [i for i in line if i >= 0]
+                continue
+            n_a, n_b, kept = np.diff(at_a + 1, prepend=0), np.diff(at_b + 1, prepend=0), np.array(line) >= 0
+            order.append(np.array(line)[kept])
+            tokens_a.append(a[np.repeat(kept, n_a)])
+            tokens_b.append(b[np.repeat(kept, n_b)])
+            counts.append(np.stack([n_a, n_b, np.diff(stops, prepend=0), np.zeros(len(line), np.int64)], 1)[kept])
+        self._learn_by_words([units[i] for i in others], tokens_a, tokens_b, counts)
+        order.append(np.array(others, np.int64))
+        self._align(np.concatenate(order), np.concatenate(tokens_a), np.concatenate(tokens_b), np.concatenate(counts))
+
+    def _learn_by_words(self, units: list[str], tokens_a: list[np.ndarray], tokens_b: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        words_a = [None if _OTHER.search(unit) else _WORDS.findall(unit) for unit in units]
+        words_b = list(map(self.b.words, units))
+        for memo, words in ((self.a, words_a), (self.b, words_b)):
+            memo.learn(set(chain.from_iterable(filter(None, words))))
+        found = []
+        for unit, own_a, own_b in zip(units, words_a, words_b, strict=True):
+            size = len(unit.encode())
+            a = _pairs(self.a.spans(unit) if own_a is None else b"".join(map(self.a.__getitem__, own_a)))
+            b = _pairs(b"".join(map(self.b.__getitem__, own_b)))
+            lost = int(b[:, 1].sum()) != size or int(a[:, 1].sum()) != size
+            tokens_a.append(a[: 0 if lost else None])
+            tokens_b.append(b[: 0 if lost else None])
+            found.append((len(tokens_a[-1]), len(tokens_b[-1]), 0 if lost else size, lost))
+        for memo in (self.a, self.b):
+            memo.clear()
+        tokens_a.append(np.zeros((0, 2), np.int64))
+        tokens_b.append(np.zeros((0, 2), np.int64))
+        counts.append(np.array(found, np.int64).reshape(-1, 4))
+
+    def _align(self, order: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> None:
+        """Take in units by their places in `order` among the new ones: all their tokens, and a row of counts of each."""
+        ends_a, ends_b = np.cumsum(a[:, 1]), np.cumsum(b[:, 1])
+        starts_a, starts_b = ends_a - a[:, 1], ends_b - b[:, 1]
+        shared_a, shared_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        done_a, done_b = np.cumsum(shared_a), np.cumsum(shared_b)
+        # all pairs of tokens whose bytes overlap
+        first = np.searchsorted(ends_b, starts_a, "right")
+        n = np.searchsorted(starts_b, ends_a, "left") - first
+        before = np.cumsum(n) - n
+        of_a = np.repeat(np.arange(len(a)), n)
+        of_b = np.arange(len(of_a)) + np.repeat(first - before, n)
+        # a group's tokens side by side, those of `a` first
+        to_a, to_b = np.cumsum(counts[:, :2], axis=0).T
+        closing = np.zeros(len(b), np.int64)
+        closing[to_b[counts[:, 1] > 0] - 1] = 1
+        codes = np.empty((len(a) + len(b), 2), np.int64)
+        last_a, last_b = np.flatnonzero(shared_a) + 1, np.flatnonzero(shared_b) + 1
+        follows = len(self.names) - 4
+        codes[np.arange(len(a)) + np.append(0, last_b)[done_a - shared_a]] = np.stack([a[:, 0], follows + shared_a], 1)
+        codes[np.arange(len(b)) + last_a[done_b - shared_b]] = np.stack([b[:, 0], follows + 2 * shared_b + closing], 1)
+        texts = iter("".join(map(self.names.__getitem__, codes.ravel().tolist())).split("\n"))
+        upto, links = np.append(0, done_a), np.append(0, np.cumsum(n))
+        facts, from_a = np.empty((len(order), 8), np.int64), to_a - counts[:, 0]
+        facts[:, [self.A, self.B, self.BYTES, self.LOST]] = counts
+        facts[:, self.GROUPS] = upto[to_a] - upto[from_a]
+        facts[:, self.LINKS] = links[to_a] - links[from_a]
+        facts[:, self.LINK] = links[from_a] + self.links.n
+        facts[:, self.END] = upto[from_a] + self.ends.n
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        own = [next(texts) if n else "" for n in counts[:, 0].tolist()]
+        self.texts += map(own.__getitem__, at.tolist())
+        self.facts.append(facts[at])
+        self.links.append(a[of_a, 0] * self.b.size + b[of_b, 0])
+        if self.with_ends:
+            starts = np.cumsum(counts[:, 2]) - counts[:, 2]
+            self.ends.append((ends_a - np.repeat(starts, counts[:, 0]))[shared_a])
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places from each first one, n of them, one list after the other."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class Aligner:
     """Aligns the segments of documents, a run of them at once."""
 
     def __init__(self, byte_path: str, piece_path: str, with_groups: bool = False) -> None:
-        self.a, self.b, self.with_groups = ByteTokens(byte_path), PieceTokens(piece_path), with_groups
-        ids = [range(self.a.size)] * 2 + [range(self.b.size)] * 2
-        self.names = [f"{i}{mark}" for numbers, mark in zip(ids, ",|,;", strict=True) for i in numbers]
+        self.units, self.with_groups = Units(byte_path, piece_path, with_groups), with_groups
 
     def documents(self, texts: list[str]) -> list[_Document]:
         """Each text's alignment; texts that the pieces do not give back, and empty ones, have none."""
@@ -203,64 +389,36 @@ class Aligner:
         return [_Document(self.with_groups) if d.lost else d for d in out]
 
     def _run(self, parts: list[tuple[_Document, str]]) -> None:
-        words_a = [None if _OTHER.search(part) else _WORDS.findall(part) for _, part in parts]
-        words_b = [self.b.words(part) for _, part in parts]
-        for memo, words in ((self.a, words_a), (self.b, words_b)):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            memo.learn(set().union(*filter(None, words)).difference(memo))
-        run = []
-        for (document, part), own_a, own_b in zip(parts, words_a, words_b, strict=True):
-            size = len(part) if part.isascii() else len(part.encode())
-            a = _pairs(self.a.spans(part) if own_a is None else b"".join(map(self.a.__getitem__, own_a)))
-            b = _pairs(b"".join(map(self.b.__getitem__, own_b)))
-            document.lost |= int(b[:, 1].sum()) != size or int(a[:, 1].sum()) != size
-            if not document.lost:
-                run.append((document, a, b))
-        self._align(run)
-
-    def _align(self, run: list[tuple[_Document, np.ndarray, np.ndarray]]) -> None:
-        if not run:
+        if not parts:
             return
-        a, b = np.concatenate([r[1] for r in run]), np.concatenate([r[2] for r in run])
-        ends_a, ends_b = np.cumsum(a[:, 1]), np.cumsum(b[:, 1])
-        starts_a, starts_b = ends_a - a[:, 1], ends_b - b[:, 1]
-        shared_a = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a
-        shared_b = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
-        done_a, done_b = np.cumsum(shared_a), np.cumsum(shared_b)
-        # all pairs of tokens whose bytes overlap
-        first = np.searchsorted(ends_b, starts_a, "right")
-        n = np.searchsorted(starts_b, ends_a, "left") - first
-        before = np.cumsum(n) - n
-        of_a = np.repeat(np.arange(len(a)), n)
-        of_b = np.arange(len(of_a)) + np.repeat(first - before, n)
-        # a group's tokens side by side, those of `a` first
-        codes = np.empty(len(a) + len(b), np.int64)
-        group_a, group_b = done_a - shared_a, done_b - shared_b
-        last_a, last_b = np.flatnonzero(shared_a) + 1, np.flatnonzero(shared_b) + 1
-        codes[np.arange(len(a)) + np.append(0, last_b)[group_a]] = a[:, 0] + self.a.size * shared_a
-        codes[np.arange(len(b)) + last_a[group_b]] = b[:, 0] + 2 * self.a.size + self.b.size * shared_b
-        counts = np.array([(len(r[1]), len(r[2])) for r in run])
-        to_a, to_b = np.cumsum(counts, axis=0).T
-        own = np.repeat(np.arange(len(run)), counts[:, 0])
-        pairs = own[of_a] * (self.a.size * self.b.size) + a[of_a, 0] * self.b.size + b[of_b, 0]
+        units = self.units
+        own = units.numbers([part for _, part in parts])
+        stops = np.cumsum(list(map(len, own)))
+        facts = units.facts.held[np.concatenate(own)].astype(np.int64)
+        sums = np.add.reduceat(facts[:, : units.LOST + 1], np.append(0, stops[:-1]), axis=0)
+        # each part's distinct pairs and how often it has them
+        span = len(units.sizes_a) * units.b.size
+        pairs = units.links.held[_spread(facts[:, units.LINK], facts[:, units.LINKS])]
+        pairs += np.repeat(np.arange(len(parts)) * span, sums[:, units.LINKS])
         pairs, times = np.unique(pairs, return_counts=True)
-        edges = np.searchsorted(pairs, np.arange(len(run) + 1) * (self.a.size * self.b.size))
-        keys, links, name = pairs % (self.a.size * self.b.size), np.append(0, np.cumsum(n)), self.names.__getitem__
-        for i, (document, own_a, own_b) in enumerate(run):
-            to, at = to_a[i] + to_b[i], to_a[i] + to_b[i] - len(own_a) - len(own_b)
-            text = "".join(map(name, codes[at:to].tolist()))[:-1]
-            later = bool(document.numbers[0])
-            document.digest.update(b";" * later + text.encode())
-            from_a = to_a[i] - len(own_a)
-            groups = done_a[to_a[i] - 1] - (done_a[from_a - 1] if from_a else 0)
-            document.numbers += [len(own_a), len(own_b), groups, links[to_a[i]] - links[from_a]]
+        edges = np.searchsorted(pairs, np.arange(len(parts) + 1) * span)
+        keys, text_of = pairs % span, units.texts.__getitem__
+        for i, (document, _) in enumerate(parts):
+            document.lost |= bool(sums[i, units.LOST])
+            if document.lost:
+                continue
+            text = "".join(map(text_of, own[i].tolist()))[:-1]
+            document.digest.update(b";" * bool(document.numbers[0]) + text.encode())
+            document.numbers += sums[i, : units.BYTES]
             document.keys.append(keys[edges[i] : edges[i + 1]])
             document.times.append(times[edges[i] : edges[i + 1]])
             if document.text is not None:
                 document.text.append(text)
-                document.cuts.append(ends_a[from_a : to_a[i]][shared_a[from_a : to_a[i]]] - starts_a[from_a] + document.bytes)
-            document.bytes += int(ends_a[to_a[i] - 1] - starts_a[from_a])
+                mine = facts[stops[i] - len(own[i]) : stops[i]]
+                starts = np.cumsum(mine[:, units.BYTES]) - mine[:, units.BYTES] + document.bytes
+                ends = units.ends.held[_spread(mine[:, units.END], mine[:, units.GROUPS])]
+                document.cuts.append(ends + np.repeat(starts, mine[:, units.GROUPS]))
+            document.bytes += int(sums[i, units.BYTES])
             if len(document.keys) > 16:
                 document.pairs()
 
@@ -345,6 +503,18 @@ def _scored(documents: pa.Table, counts: pa.Table) -> pa.Table:
     return kept
 
 
+@contextmanager
+def _batches_of(rows: int, spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of so many rows, as ten thousand texts are held at once by both the JVM and the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, with_groups: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum; with_groups also the groups
     as text and `cuts`, the byte offsets at which they end in a blank and the text.
@@ -355,7 +525,8 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, with_grou
     each; a null doc_id is kept; an empty table gives no rows. Columns beside doc_id and text are not read.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    aligned = materialize(kept.mapInArrow(lambda b: _aligned(b, byte_path, piece_path, with_groups), _KIND), "aligned-tokens")
+    with _batches_of(BATCH_ROWS, docs.sparkSession):
+        aligned = materialize(kept.mapInArrow(lambda b: _aligned(b, byte_path, piece_path, with_groups), _KIND), "aligned-tokens")
     blocks = aligned.filter("keys IS NOT NULL").select(F.col("block").alias("of_block"), F.posexplode(F.arrays_zip("keys", "held")).alias("number", "pair"))
     blocks = blocks.select("of_block", "number", F.col("pair.keys").alias("key"), F.col("pair.held").alias("held"))
     size = _piece_count(piece_path)

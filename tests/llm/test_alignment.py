@@ -127,3 +127,30 @@ def test_query_like_brute_force(spark, sf_dir):
     assert len(got) == len(texts)
     want = digests(brute([t if i in short else None for i, t in enumerate(texts)]))
     assert all(got[i][:4] == want[i][:4] and got[i][6] == want[i][6] for i in short)
+
+
+def odd_joins(n, seed):
+    """Short texts of characters whose splits depend on what stands beside them."""
+    random.seed(seed)
+    marks = [" ", " ", "\n", "\n", "\t", "\x1c", "\x85", "　", "a", "a", "The", "É", "×", "÷", "1", ",", ".", ".", "'s", "'", "&", "漢", "▁", "́", "ſ", "ŀ", "￼"]
+    return ["".join(random.choice(marks) for _ in range(random.randint(1, 14))) for _ in range(n)]
+
+
+def test_units_end_where_words_of_both_end():
+    aligner = alignment.Aligner(BPE, MODEL, with_groups=True)
+    texts = odd_joins(1500, 5) + ["a\n\nb", ".\n\nThe", "a\n b", "a \nb", "×,a", "x ÷.b", "a.\nThe, b", "The The's The.", "a  b", "a　 b,c", "ſ a ſ", "The ŀa The"]
+    found = aligner.documents(texts)
+    for text, document, want in zip(texts, found, brute(texts), strict=True):
+        assert (*document.numbers, ";".join(document.text)) == (*want[:4], want[6]), repr(text)
+
+
+def test_units_met_before_are_not_asked_for_again(monkeypatch):
+    aligner = alignment.Aligner(BPE, MODEL)
+    texts = noise(40, 2)
+    first = [(d.numbers.tolist(), d.digest.hexdigest(), *map(list, d.pairs())) for d in aligner.documents(texts)]
+    aligner.units.a = aligner.units.b.model = None  # neither library is at hand any more
+    again = [(d.numbers.tolist(), d.digest.hexdigest(), *map(list, d.pairs())) for d in aligner.documents(texts[::-1])]
+    assert again == first[::-1]
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 10)
+    aligner = alignment.Aligner(BPE, MODEL)  # forgets all before each text
+    assert first == [(d.numbers.tolist(), d.digest.hexdigest(), *map(list, d.pairs())) for t in texts for d in aligner.documents([t])]
