@@ -27,7 +27,7 @@ WORD = r"[\p{L}\p{N}\p{Co}\p{Mn}]+"
 BROADCAST_TERMS = 200_000
 
 
-def _bounded(frame: DataFrame) -> DataFrame:
+def bounded(frame: DataFrame) -> DataFrame:
     """A stored frame with a broadcast hint where it has few rows."""
     return F.broadcast(frame) if frame.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else frame
 
@@ -41,7 +41,7 @@ def postings(texts: DataFrame, key: str, text: str = "text", only: DataFrame | N
     terms = F.regexp_extract_all(F.lower(text), F.lit(f"({token})"), 1)
     tokens = texts.select(key, terms.alias("terms")).select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
     if only is not None:
-        tokens = tokens.join(_bounded(only.select("term").distinct()), "term", "left_semi")
+        tokens = tokens.join(bounded(only.select("term").distinct()), "term", "left_semi")
     return tokens.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -52,7 +52,7 @@ def stemmed_postings(texts: DataFrame, key: str, text: str = "text") -> DataFram
     """
     counted = materialize(postings(texts, key, text, token=WORD), "posted-words")
     words = materialize(term_dictionary(counted), "term-dictionary")
-    stems = counted.join(_bounded(words), "term").drop("term").withColumnRenamed("stem", "term")
+    stems = counted.join(bounded(words), "term").drop("term").withColumnRenamed("stem", "term")
     return stems.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
 
 
@@ -76,12 +76,12 @@ def bm25_scores(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key:
     is shuffled is the scores of terms met, by query and text.
     """
     stats = F.broadcast(corpus_stats(lengths))  # one row
-    terms = _bounded(queries.select("term").distinct())
+    terms = bounded(queries.select("term").distinct())
     frequent = term_stats(posted.join(terms, "term", "left_semi"))
     wanted = queries.join(frequent, "term").join(stats)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     asked = materialize(wanted.select("query_id", "term", idf.alias("idf"), "avg_len"), "query-terms")
-    hit = posted.join(_bounded(asked), "term")
+    hit = posted.join(bounded(asked), "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hit.groupBy("query_id", key).agg(F.sum(F.col("idf") * weight).alias("score"))
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from tessella.functions import text as T
 from tessella.functions.text import fold_title, normalize, plain_words
+from tessella.operators.index import bounded
 from tessella.storage import materialize
 
 LEAST_SCORE, MARGIN = 86.0, 3.0
@@ -247,15 +248,18 @@ def longest_contained(questions: DataFrame, catalog: DataFrame, title: str, head
     none keeps null. Null and empty titles are in none.
 
     Titles meet places of a question by their first `head` characters, short ones by all of them, so that an ordinary join
-    finds each title that stands anywhere; what follows is compared there.
+    finds each title that stands anywhere; what follows is compared there. Each distinct text is searched once. Places are
+    many times the questions, which Spark's estimates don't tell: they are never broadcast; titles are, where they are few.
     """
     flat = catalog.select(F.col(title).alias("title"), normalize(F.col(title)).alias("plain")).filter("plain != ''").distinct()
-    titles = flat.withColumn("head", F.substring("plain", 1, head))
+    stored = materialize(flat.withColumn("head", F.substring("plain", 1, head)), "titles")
     asked = questions.select("query_id", normalize(F.col("query")).alias("q"))
-    places = asked.filter("q != ''").select("query_id", "q", F.explode(F.sequence(F.lit(1), F.char_length("q"))).alias("at"))
-    rest = places.select("query_id", F.expr("substring(q, at)").alias("rest"))
+    texts = asked.select("q").filter("q != ''").distinct()
+    places = texts.select("q", F.explode(F.sequence(F.lit(1), F.char_length("q"))).alias("at"))
+    rest = places.select("q", F.expr("substring(q, at)").alias("rest"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(head), F.char_length("rest")))
-    heads = rest.select("query_id", "rest", F.explode(F.transform(sizes, lambda n: F.substring(F.col("rest"), F.lit(1), n))).alias("head"))
-    hit = heads.join(titles, "head").filter(F.startswith("rest", "plain"))
-    best = hit.groupBy("query_id").agg(F.max_by("title", F.struct(F.char_length("title"), "title")).alias("title"))
-    return questions.select("query_id").distinct().join(best, "query_id", "left")
+    heads = rest.select("q", "rest", F.explode(F.transform(sizes, lambda n: F.substring(F.col("rest"), F.lit(1), n))).alias("head"))
+    titles = bounded(stored)
+    hit = (heads if titles is not stored else heads.hint("merge")).join(titles, "head").filter(F.startswith("rest", "plain"))
+    longest = F.max_by("title", F.struct(F.char_length("title"), "title")).alias("title")
+    return asked.join(hit.groupBy("q").agg(longest), "q", "left").groupBy("query_id").agg(longest)

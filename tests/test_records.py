@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import golden, lookup, records
+from tessella.operators import golden, index, lookup, records
 
 
 def normal(spark, *texts):
@@ -103,6 +103,22 @@ def test_longest_title_is_that_of_brute_force(spark):
     assert {r.query_id: r.title for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_places_of_questions_are_never_broadcast(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(index, "BROADCAST_TERMS", few)
+    spark.range(3000).selectExpr("id AS query_id", "concat('which of all the many parts is ', repeat(concat(id, ' '), 5), 'ring ', id % 7) AS query").write.parquet(f"{tmp_path}/q")
+    spark.range(5).selectExpr("concat('ring ', id) AS t").unionByName(spark.range(20_000).selectExpr("concat(sha1(string(id)), ' is nowhere') AS t")).write.parquet(f"{tmp_path}/t")
+    questions = spark.read.parquet(f"{tmp_path}/q")
+    key = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "32m")  # a hash table takes 16 at least
+    try:
+        found = lookup.longest_contained(questions.unionByName(questions.limit(9)), spark.read.parquet(f"{tmp_path}/t"), "t").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.query_id: r.title for r in found} == {n: f"ring {n % 7}" if n % 7 < 5 else None for n in range(3000)} and len(found) == 3000
+
+
 @pytest.mark.parametrize(
     "question, want",
     [
