@@ -436,8 +436,7 @@ def hybrid_search(spark, sf_dir):
     chunks = chunks.select("chunk_id", "doc_id", "text")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     terms = materialize(index.postings(asked, "query_id").select("query_id", "term"), "query-terms")
-    posted = materialize(index.postings(chunks, "chunk_id", only=terms), "postings")
-    sparse = retrieval.ranked_lists(index.bm25_scores(posted, index.text_lengths(chunks, "chunk_id"), terms, "chunk_id"), "chunk_id", 20)
+    sparse = retrieval.sparse_topk(chunks, terms, 20, "chunk_id")
     queries = index.embed(asked, "query_id", "text").withColumnRenamed("vector", "embedding")
     dense = retrieval.dense_topk(index.embed(chunks, "chunk_id", "text").withColumnRenamed("vector", "embedding"), queries, 20, key="chunk_id")
     return retrieval.hybrid(dense, sparse, chunks, asked, "chunk_id", "doc_id")

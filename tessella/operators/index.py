@@ -56,6 +56,13 @@ def stemmed_postings(texts: DataFrame, key: str, text: str = "text") -> DataFram
     return stems.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
 
 
+def word_stems(texts: DataFrame, only: DataFrame, text: str = "text") -> DataFrame:
+    """(word, term) of each distinct word of the texts whose stem is a term of `only` (a column term)."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)).alias("term"))
+    stems = term_dictionary(words).select(F.col("term").alias("word"), F.col("stem").alias("term"))
+    return stems.join(bounded(only.select("term").distinct()), "term", "left_semi")
+
+
 def text_lengths(texts: DataFrame, key: str, text: str = "text", token: str = TOKEN) -> DataFrame:
     return texts.select(key, F.regexp_count(F.lower(text), F.lit(token)).cast("long").alias("len"))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,57 @@ def test_bm25_prefers_the_rare_term(spark):
     assert scores[0].id == 1 and {r.id for r in scores} == {1, 2, 3}
 
 
+def test_blocks_of_texts_and_queries_change_no_list(spark, monkeypatch):
+    draw, folder = random.Random(8), retrieval.shared_folder(spark, "weights")
+    entries = [(q, 9.5, [(t, t, 0.5 + n) for n, t in enumerate("abcdef") if draw.random() < 0.6]) for q in range(7)]
+    spark.createDataFrame(entries, "query_id long, avg_len double, entries array<struct<term:string,word:string,idf:double>>").write.parquet(folder)
+    tokens = [draw.choices("abcdefgh"[: 1 + n % 8], k=draw.choice([0, 1, 9, 30])) for n in range(90)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(91)), pa.array(tokens, pa.list_(pa.string()))], names=["id", "tokens"])
+
+    def lists():
+        rows = [r for b in retrieval._best_texts(iter([batch, batch.slice(91)]), folder, 8) for r in b.to_pylist()]
+        firsts = {q: sorted((-r["score"], r["id"]) for r in rows if r["query_id"] == q)[:8] for q in range(7)}
+        return {q: [i for _, i in rows] for q, rows in firsts.items()}
+
+    whole = lists()
+    for name, size in {"QUERY_BLOCK": 2, "TEXT_BLOCK": 11, "TOKEN_BLOCK": 60, "COUNT_BLOCK": 3}.items():
+        monkeypatch.setattr(retrieval, name, size)
+    assert all(whole.values()) and lists() == whole
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_sparse_topk_equals_scores_of_all_pairs(spark, stemmed):
+    draw = random.Random(5)
+    words = ["run", "runs", "running", "cat", "cats", "a", "of", "zebra", "été", "x9"]
+    rows = [(f"d{n}", None if n == 3 else " ".join(draw.choice(words[: 2 + n % 9]).title() for _ in range(draw.choice([0, 1, 5, 40])))) for n in range(60)]
+    docs = spark.createDataFrame(rows + [(f"e{n}", rows[9][1]) for n in range(9)], "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(q, t) for q in range(5) for t in draw.sample(["run", "cat", "a", "of", "zebra", "et", "x9", "nowhere"], 3)] + [(9, "nowhere")], "query_id int, term string")
+    if stemmed:
+        token, posted, meant = index.WORD, index.stemmed_postings(docs, "id"), index.word_stems(docs, only=asked)
+    else:
+        token, posted, meant = index.TOKEN, index.postings(docs, "id"), None
+    scores = index.bm25_scores(posted, index.text_lengths(docs, "id", token=token), asked, "id").withColumn("score", F.round("score", 9))
+    plain = lambda frame: sorted((r.query_id, r["rank"], r.id, r.score) for r in frame.collect())
+    got, want = plain(retrieval.sparse_topk(docs, asked, 6, "id", token=token, words=meant)), plain(retrieval.ranked_lists(scores, "id", 6))
+    assert len(want) > 20 and [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-9)
+    assert retrieval.sparse_topk(docs.limit(0), asked, 6, "id").count() == 0
+
+
+def test_hybrid_shuffles_no_text_of_its_chunks(spark, tmp_path):
+    spark.range(60).selectExpr("id", "id div 3 AS doc", "concat(repeat('alpha ', id), id) AS text").write.parquet(f"{tmp_path}/c")
+    lists = spark.range(60).selectExpr("0L AS query_id", "id", "int(id) + 1 AS rank")
+    asked = spark.createDataFrame([(0, "alpha")], "query_id long, text string")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        found = retrieval.hybrid(lists, lists, spark.read.parquet(f"{tmp_path}/c"), asked, "id", "doc")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 5
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin [id#" in plan and "SortMergeJoin [id#" not in plan
+
+
 def test_vector_errors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, None)], "id long, v array<double>")
     got = {r.id: r.error for r in index.vector_errors(rows, "v", 2).collect()}
