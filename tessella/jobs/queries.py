@@ -337,10 +337,10 @@ def bm25_topk(spark, sf_dir):
 def bm25_stemmed_topk(spark, sf_dir):
     """The twenty best documents for each benchmark text by stems: accents aside, English words by Porter's rules."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = index.stemmed_postings(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select(F.col("item_id").alias("query_id"), "term")
-    posted = materialize(index.stemmed_postings(docs, "doc_id"), "postings")
-    scores = index.bm25_scores(posted, index.text_lengths(docs, "doc_id", token=index.WORD), materialize(asked, "query-terms"), "doc_id")
-    found = retrieval.ranked_lists(scores.withColumn("score", F.round("score", 9)), "doc_id", 20)
+    stems = index.stemmed_postings(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+    asked = materialize(stems.select(F.col("item_id").alias("query_id"), "term"), "query-terms")
+    words = materialize(index.word_stems(docs, asked), "word-stems")
+    found = retrieval.sparse_topk(docs, asked, 20, "doc_id", token=index.WORD, words=words)
     return found.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 

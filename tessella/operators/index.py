@@ -59,8 +59,9 @@ def stemmed_postings(texts: DataFrame, key: str, text: str = "text") -> DataFram
 def word_stems(texts: DataFrame, only: DataFrame, text: str = "text") -> DataFrame:
     """(word, term) of each distinct word of the texts whose stem is a term of `only` (a column term)."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)).alias("term"))
-    stems = term_dictionary(words).select(F.col("term").alias("word"), F.col("stem").alias("term"))
-    return stems.join(bounded(only.select("term").distinct()), "term", "left_semi")
+    # stored, as Spark would push the join, and with it the stemmer, below the distinct words
+    stems = materialize(term_dictionary(words), "term-dictionary").select(F.col("term").alias("word"), F.col("stem").alias("term"))
+    return stems.join(bounded(only.select("term").distinct()), "term", "left_semi").select("word", "term")
 
 
 def text_lengths(texts: DataFrame, key: str, text: str = "text", token: str = TOKEN) -> DataFrame:

@@ -1,7 +1,9 @@
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,18 @@ def test_query_like_brute_force(spark, sf_dir):
                 scores[doc] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * docs[doc].total() / mean))
         best = sorted(((-round(s, 9), d) for d, s in scores.items()))[:20]
         assert [s for _, s in got[item.item_id]] == pytest.approx([-s for s, _ in best], abs=2e-3)
+
+
+def test_stored_rows_follow_the_queries_words(spark, sf_dir, tmp_path):
+    """Copies of the documents add nothing to what is stored beside them."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.join(spark.range(3)).withColumn("doc_id", F.col("doc_id") * 3 + F.col("id")).drop("id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def stored(folder):
+        before = set(root.iterdir())
+        QUERIES["bm25_stemmed_topk"](spark, folder).collect()
+        return sum(pq.read_metadata(p).num_rows for new in set(root.iterdir()) - before for p in new.rglob("*.parquet"))
+
+    assert stored(str(tmp_path)) == stored(sf_dir)
