@@ -88,10 +88,10 @@ def sparse_topk(texts: DataFrame, queries: DataFrame, k: int, key: str, text: st
     """(query_id, key, score, rank) of the k best texts by BM25 for each query (query_id, term), exactly; scores have nine
     places, ties go by key, and texts without a term of a query are not in its list.
 
-    A token stands for itself, or with `words` (word, term; each word once) for its term. The terms that are asked for, then the queries
-    with their terms' weights, are written to the shared folder. Tasks read texts twice: for how many hold a term, and, block by
-    block, for scores, of which they send the k best of each query. Keys are unique. Neither postings nor scores of all
-    pairs are shuffled or stored.
+    A token stands for itself, or with `words` (word, term; each word once) for its term. The terms that are asked for, then
+    the queries with their terms' weights, are written to the shared folder. Tasks read texts twice: for how many hold a
+    term, and, block by block, for scores, of which they send the k best of each query. Keys are unique. Neither postings
+    nor scores of all pairs are shuffled or stored.
     """
     asked = queries.select("query_id", "term").filter("term IS NOT NULL").distinct()
     wanted = asked.select("term").distinct()
